@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from textquarry.llm.encoding import encode_texts
+from textquarry.llm.leakage import leaked_items
 from textquarry.llm.neighbours import neighbour_pairs
 from textquarry.session import table
 
@@ -17,5 +18,9 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbour_pairs(table(spark, sf_dir, "embedding_store"))
 
 
-QUERIES = {"p3_found": p3_found, "p7_ids": p7_ids}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+QUERIES = {"p3_found": p3_found, "p7_ids": p7_ids, "p8_found": p8_found}
 SQL: dict[str, str] = {}
