@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from textquarry.llm.encoding import encode_texts
 from textquarry.llm.leakage import leaked_items
 from textquarry.llm.neighbours import neighbour_pairs
+from textquarry.llm.transcripts import speaker_turns, turn_md5
 from textquarry.session import table
 
 
@@ -14,6 +15,11 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"))
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = speaker_turns(table(spark, sf_dir, "raw_documents"))
+    return found.select("document_id", "turn_no", "speaker", turn_md5(found["turn_text"]).alias("turn_md5"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbour_pairs(table(spark, sf_dir, "embedding_store"))
 
@@ -22,5 +28,5 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {"p3_found": p3_found, "p7_ids": p7_ids, "p8_found": p8_found}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p7_ids": p7_ids, "p8_found": p8_found}
 SQL: dict[str, str] = {}
