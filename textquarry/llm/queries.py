@@ -7,10 +7,15 @@ from pyspark.sql import DataFrame, SparkSession
 from textquarry.llm.encoding import encode_texts
 from textquarry.llm.leakage import leaked_items
 from textquarry.llm.neighbours import neighbour_pairs
+from textquarry.llm.pairs import pair_defects
 from textquarry.llm.transcripts import speaker_turns, turn_md5
 from textquarry.session import table
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pair_defects(table(spark, sf_dir, "fine_tune_examples"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"))
 
@@ -28,5 +33,5 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p7_ids": p7_ids, "p8_found": p8_found}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found}
 SQL: dict[str, str] = {}
