@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textquarry.session import cut_lineage
+
 DEFECTS = ("empty", "refusal", "copy", "wrong_language", "truncated")
 COPY_RATIO = 0.55
 COPY_SHARE = 0.75
@@ -249,7 +251,7 @@ def pair_defects(examples: DataFrame) -> DataFrame:
     labels = latest.select("example_id", "instruction", "input", "output").mapInPandas(
         label, f"example_id {id_type}, defect string, before string, last string"
     )
-    counts = terminal_contexts(latest)
+    counts = cut_lineage(terminal_contexts(latest))
     by_word = counts.groupBy("last").agg(F.sum("ends").alias("word_ends"), F.sum("uses").alias("word_uses"))
     judged = (
         labels.join(counts, ["before", "last"], "left")

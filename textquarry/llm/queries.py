@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from textquarry.llm.encoding import encode_texts
 from textquarry.llm.leakage import leaked_items
 from textquarry.llm.neighbours import neighbour_pairs
+from textquarry.llm.pages import main_body
 from textquarry.llm.pairs import pair_defects
 from textquarry.llm.transcripts import speaker_turns, turn_md5
 from textquarry.session import table
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_body(table(spark, sf_dir, "crawl_results")).select("page_id", F.md5("block").alias("para_md5")).distinct()
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair_defects(table(spark, sf_dir, "fine_tune_examples"))
 
@@ -33,5 +39,5 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found}
 SQL: dict[str, str] = {}
