@@ -10,6 +10,7 @@ from textquarry.llm.leakage import leaked_items
 from textquarry.llm.neighbours import neighbour_pairs
 from textquarry.llm.pages import main_body
 from textquarry.llm.pairs import pair_defects
+from textquarry.llm.scans import scan_repairs
 from textquarry.llm.transcripts import speaker_turns, turn_md5
 from textquarry.session import table
 
@@ -18,6 +19,10 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_body(table(spark, sf_dir, "crawl_results")).select("page_id", F.md5("block").alias("para_md5")).distinct()
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_repairs(table(spark, sf_dir, "raw_documents")).distinct()
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair_defects(table(spark, sf_dir, "fine_tune_examples"))
 
@@ -39,5 +44,5 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found}
 SQL: dict[str, str] = {}
