@@ -11,6 +11,7 @@ from textquarry.llm.neighbours import neighbour_pairs
 from textquarry.llm.pages import main_body
 from textquarry.llm.pairs import pair_defects
 from textquarry.llm.scans import scan_repairs
+from textquarry.llm.subjects import document_subjects
 from textquarry.llm.transcripts import speaker_turns, turn_md5
 from textquarry.session import table
 
@@ -44,5 +45,10 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ("documents", "subject_labels", "subject_areas")
+    return document_subjects(*(table(spark, sf_dir, name) for name in names))
+
+
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
 SQL: dict[str, str] = {}
