@@ -23,8 +23,8 @@ from textquarry.session import cut_lineage
 
 MOST_LABELS = 20_000
 MOST_WORDS = 50_000
-LEXICON_SHARE = 0.6
-LEAST_DOCS, LEAST_SENTENCES = 3, 10
+LEXICON_SHARE = 0.7
+LEAST_DOCS, LEAST_SENTENCES = 3, 4
 # Bounds of the bins of the share of sentences; about a quarter makes a subject.
 BINS = (0.001, 0.1, 0.175, 0.25, 0.4)
 START = (0.005, 0.01, 0.08, 0.6, 0.97, 0.995)
@@ -187,7 +187,6 @@ def document_subjects(
     second_counts = decided.join(telling.select("word"), "word").toPandas()
     sizes = {r["subject"]: r["n"] for r in decided.groupBy("subject").agg(F.sum("n").alias("n")).collect()}
     second = fit_lexicon(second_counts, sizes, names, LEAST_SENTENCES)
-    second.entries = {**{w: e for w, e in first.entries.items() if w not in second.entries and w not in set(second_counts["word"])}, **second.entries}
     shared = spark.sparkContext.broadcast(second)
 
     def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
