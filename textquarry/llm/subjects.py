@@ -180,10 +180,9 @@ def document_subjects(
                         found.update((w, k) for w in set(words))
             yield pd.DataFrame([(w, k, float(n)) for (w, k), n in found.items()], columns=["word", "subject", "n"])
 
-    decided = texts.select("text").mapInPandas(count_decided, schema).groupBy("word", "subject").agg(F.sum("n").alias("n"))
+    decided = cut_lineage(texts.select("text").mapInPandas(count_decided, schema).groupBy("word", "subject").agg(F.sum("n").alias("n")))
     summed = decided.groupBy("word").agg(F.sum("n").alias("all"), F.max("n").alias("top"))
     telling = summed.where((F.col("all") >= LEAST_SENTENCES) & (F.col("top") >= LEXICON_SHARE / 2 * F.col("all"))).orderBy(F.desc("all"), "word").limit(2 * MOST_WORDS)
-    decided = cut_lineage(decided)
     second_counts = decided.join(telling.select("word"), "word").toPandas()
     sizes = {r["subject"]: r["n"] for r in decided.groupBy("subject").agg(F.sum("n").alias("n")).collect()}
     second = fit_lexicon(second_counts, sizes, names, LEAST_SENTENCES)
