@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Scripts and letter ranges that tell them apart.
@@ -19,7 +19,6 @@ SCRIPTS = {
     "latin_extended": r"[\x{00C0}-\x{024F}]",
     "thai": r"[\x{0E00}-\x{0E7F}]",
 }
-BLANKS = " \\t\\n\\r\\f"
 
 
 def strip(text: Column) -> Column:
@@ -58,6 +57,15 @@ def syllables(word: Column) -> Column:
     return F.when(bare == "", 0).otherwise(F.greatest(F.lit(1), F.regexp_count(bare, F.lit("[aeiouy]+"))))
 
 
+def syllables_of(words: Column) -> Column:
+    """The sum of syllables over an array of words, from two scans of the joined words.
+
+    Groups of vowels, plus the words that have letters or digits but no vowel.
+    """
+    joined = F.regexp_replace(F.lower(F.array_join(words, " ")), "[^a-z0-9 ]", "")
+    return F.regexp_count(joined, F.lit("[aeiouy]+")) + F.regexp_count(joined, F.lit("(?<![^ ])[b-df-hj-np-tv-xz0-9]+(?![^ ])"))
+
+
 def sanitise_input(text: Column, most: int = 100_000) -> Column:
     """Text without control characters other than tab and line ends, cut to ``most`` characters."""
     return F.substring(F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", ""), 1, most)
@@ -78,19 +86,26 @@ def clock(seconds: Column) -> Column:
     return F.when(h > 0, F.concat(h.cast("string"), F.lit(":"), two(m), F.lit(":"), two(s % 60))).otherwise(F.concat(m.cast("string"), F.lit(":"), two(s % 60)))
 
 
-def quality(text: Column) -> dict[str, Column]:
-    """Columns density, readability (Flesch, 0 to 100; 50 where it can't be told) and overall."""
-    n = F.coalesce(F.length(text), F.lit(0))
-    solid = F.length(F.regexp_replace(text, r"[ \t\n\r\f\x0B]", ""))
-    density = F.when(n > 0, F.least(F.lit(100), F.floor(solid * 100 / n))).otherwise(0).cast("bigint")
-    words = split_words(text)
-    sentences = F.regexp_count(text, F.lit("[.!?]"))
-    counted = F.least(F.size(words), F.lit(1000))
-    spoken = F.aggregate(F.transform(F.slice(words, 1, 1000), syllables), F.lit(0), lambda a, x: a + x)
-    flesch = F.lit(206.835) - F.lit(1.015) * (F.size(words) / sentences) - F.lit(84.6) * (spoken / counted)
-    told = (n > 50) & (sentences > 0) & (F.size(words) > 0)
-    whole = F.when(flesch < 0, F.ceil(flesch)).otherwise(F.floor(flesch))
-    readability = F.when(told, F.least(F.lit(100), F.greatest(F.lit(0), whole))).otherwise(50).cast("bigint")
-    structure, completeness = F.when(n > 0, 40).otherwise(20), F.when(n > 0, 100).otherwise(0)
-    overall = F.floor((density * 20 + readability * 15 + structure * 25 + completeness * 25 + F.lit(50 * 15)) / 100).cast("bigint")
-    return {"density": density, "readability": readability, "overall": overall}
+def quality(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` with words, density, readability (Flesch, 0 to 100; 50 where it can't be told) and overall.
+
+    The words are split once in a stage of their own, which the optimiser keeps because later
+    columns use them more than once.
+    """
+    text = F.col(text_col)
+    one = docs.withColumns({"_words": split_words(text), "_n": F.coalesce(F.length(text), F.lit(0)), "_ends": F.regexp_count(text, F.lit("[.!?]"))})
+    two = one.withColumns(
+        {
+            "words": F.coalesce(F.size("_words"), F.lit(0)),
+            "_spoken": syllables_of(F.slice("_words", 1, 1000)),
+            "density": F.when(F.col("_n") > 0, F.least(F.lit(100), F.floor(F.length(F.regexp_replace(text, r"[ \t\n\r\f\x0B]", "")) * 100 / F.col("_n")))).otherwise(0).cast("bigint"),
+        }
+    )
+    counted = F.least("words", F.lit(1000))
+    three = two.withColumn("_flesch", F.lit(206.835) - F.lit(1.015) * F.try_divide("words", "_ends") - F.lit(84.6) * F.try_divide(F.col("_spoken"), counted))
+    told = (F.col("_n") > 50) & (F.col("_ends") > 0) & (F.col("words") > 0)
+    whole = F.when(F.col("_flesch") < 0, F.ceil("_flesch")).otherwise(F.floor("_flesch"))
+    four = three.withColumn("readability", F.when(told, F.least(F.lit(100), F.greatest(F.lit(0), whole))).otherwise(50).cast("bigint"))
+    structure, completeness = F.when(F.col("_n") > 0, 40).otherwise(20), F.when(F.col("_n") > 0, 100).otherwise(0)
+    overall = F.floor((F.col("density") * 20 + F.col("readability") * 15 + structure * 25 + completeness * 25 + F.lit(50 * 15)) / 100).cast("bigint")
+    return four.withColumn("overall", overall).drop("_words", "_n", "_ends", "_spoken", "_flesch")

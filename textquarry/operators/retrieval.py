@@ -90,7 +90,7 @@ def query_weights(query: Column) -> dict[str, Column]:
 def linear_fusion(dense: DataFrame, sparse: DataFrame, weights: DataFrame, k: int = 10, id_col: str = "doc_id") -> DataFrame:
     """dense_weight * dense + sparse_weight * sparse / max sparse, over the union of both lists; ``weights`` per query_id."""
     top = sparse.groupBy("query_id").agg(F.max("score").alias("top"))
-    s = sparse.join(top, "query_id").select("query_id", id_col, (F.col("score") / F.col("top")).alias("sparse"))
+    s = sparse.join(top, "query_id").select("query_id", id_col, F.coalesce(F.try_divide("score", "top"), F.lit(0.0)).alias("sparse"))
     both = dense.select("query_id", id_col, F.col("score").alias("dense")).join(s, ["query_id", id_col], "full_outer").join(weights, "query_id")
     score = F.coalesce("dense", F.lit(0.0)) * F.col("dense_weight") + F.coalesce("sparse", F.lit(0.0)) * F.col("sparse_weight")
     return top_per_query(both.select("query_id", id_col, F.round(score, 6).alias("score")), k, id_col)

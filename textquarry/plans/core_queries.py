@@ -141,13 +141,15 @@ def text_clean(spark: SparkSession, sf: str) -> DataFrame:
 )
 def text_quality(spark: SparkSession, sf: str) -> DataFrame:
     text = F.col("text")
-    scores = T.quality(text)
-    return table(spark, sf, "documents").where(text.isNotNull()).select(
+    scored = T.quality(table(spark, sf, "documents").where(text.isNotNull()).select("doc_id", "text"))
+    return scored.select(
         "doc_id",
         T.estimated_tokens(text).alias("tokens"),
-        F.size(T.split_words(text)).alias("words"),
-        T.compressed_tokens(text).alias("model_tokens"),
-        *(c.alias(name) for name, c in scores.items()),
+        "words",
+        F.floor(F.col("words") * 1.33).cast("bigint").alias("model_tokens"),
+        "density",
+        "readability",
+        "overall",
     )
 
 
@@ -537,7 +539,9 @@ def layout_elements(spark: SparkSession, sf: str) -> DataFrame:
     return G.layout(table(spark, sf, "documents"))
 
 
-_E = " UNION ALL ".join(f"SELECT doc_id, '{t}' AS entity_type, unnest(regexp_extract_all(text, '{p}')) AS label FROM documents" for t, p in G.ENTITIES)
+# \b knows only ASCII in DuckDB: other letters become an ASCII word character first
+_ASCII_WORDS = r"regexp_replace(text, '[\x{AA}\x{B5}\x{BA}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{2FF}\x{370}-\x{1FFF}\x{2C00}-\x{2DFF}\x{3040}-\x{D7FF}\x{F900}-\x{FDFF}]', '_', 'g')"
+_E = " UNION ALL ".join(f"SELECT doc_id, '{t}' AS entity_type, unnest(regexp_extract_all({_ASCII_WORDS}, '{p}')) AS label FROM documents" for t, p in G.ENTITIES)
 
 
 @query(f"SELECT entity_type, label, count(*)::BIGINT AS mentions, count(DISTINCT doc_id)::BIGINT AS docs FROM ({_E}) GROUP BY 1, 2")
