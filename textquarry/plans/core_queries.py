@@ -18,8 +18,10 @@ from textquarry.operators import governance as V
 from textquarry.operators import graph as G
 from textquarry.operators import questions as Q
 from textquarry.operators import retrieval as R
+from textquarry.operators import trees
 from textquarry.operators.snapshots import latest_files, snapshot_changes, snapshot_order
 from textquarry.session import table
+from textquarry.sources import sinks
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -713,3 +715,60 @@ def embedding_upsert(spark: SparkSession, sf: str) -> DataFrame:
 def cache_tiers(spark: SparkSession, sf: str) -> DataFrame:
     n = F.max("access_count")
     return table(spark, sf, "embedding_store").groupBy("vec_id").agg(F.when(n >= 10, "hot").when(n >= 3, "warm").otherwise("cold").alias("tier"))
+
+
+# ---- trees, diffs, exports
+
+
+@query()
+def summary_tree(spark: SparkSession, sf: str) -> DataFrame:
+    return trees.summary_tree(C.sentence_windows(table(spark, sf, "documents")))
+
+
+@query()
+def document_topics(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents").where(F.length("text") > 0)
+    return d.select("doc_id", F.array_join(trees.topics(F.col("text")), "; ").alias("topics"))
+
+
+@query()
+def answer_diffs(spark: SparkSession, sf: str) -> DataFrame:
+    x = table(spark, sf, "fine_tune_examples").dropDuplicates(["example_id"])
+    return trees.diff_counts(trees.line_diff(x.select(F.col("example_id").alias("id"), F.col("input").alias("old"), F.col("output").alias("new"))))
+
+
+_ONE = "(SELECT DISTINCT ON (example_id) * FROM fine_tune_examples)"
+_ASKED = "CASE WHEN coalesce(input, '') = '' THEN coalesce(instruction, '') ELSE coalesce(instruction, '') || chr(10) || chr(10) || input END"
+
+
+@query(f"SELECT example_id, to_json({{'instruction': coalesce(instruction, ''), 'input': coalesce(input, ''), 'output': coalesce(output, '')}})::VARCHAR AS json FROM {_ONE}")
+def export_alpaca(spark: SparkSession, sf: str) -> DataFrame:
+    return sinks.alpaca(table(spark, sf, "fine_tune_examples").dropDuplicates(["example_id"]))
+
+
+@query(f"SELECT example_id, to_json({{'conversations': [{{'from': 'human', 'value': {_ASKED}}}, {{'from': 'gpt', 'value': coalesce(output, '')}}]}})::VARCHAR AS json FROM {_ONE}")
+def export_sharegpt(spark: SparkSession, sf: str) -> DataFrame:
+    return sinks.sharegpt(table(spark, sf, "fine_tune_examples").dropDuplicates(["example_id"]))
+
+
+@query(f"SELECT example_id, to_json({{'messages': [{{'role': 'user', 'content': {_ASKED}}}, {{'role': 'assistant', 'content': coalesce(output, '')}}]}})::VARCHAR AS json FROM {_ONE}")
+def export_messages(spark: SparkSession, sf: str) -> DataFrame:
+    return sinks.messages(table(spark, sf, "fine_tune_examples").dropDuplicates(["example_id"]))
+
+
+@query("SELECT item_id, to_json({'question': coalesce(question, ''), 'answer': coalesce(answer, ''), 'contexts': [coalesce(passage, '')], 'ground_truth': coalesce(answer, '')})::VARCHAR AS json FROM eval_items")
+def export_evaluation(spark: SparkSession, sf: str) -> DataFrame:
+    return sinks.evaluation_records(table(spark, sf, "eval_items"))
+
+
+@query()
+def export_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return sinks.document_records(table(spark, sf, "documents"))
+
+
+@query(
+    SQL["contents_tree"].replace("SELECT doc_id, seq::INT AS seq, level::INT AS level, title, (SELECT", "SELECT doc_id, string_agg(repeat('  ', level - 1) || '- ' || title, chr(10) ORDER BY seq) AS contents FROM h GROUP BY 1 --")
+    .split("--")[0]
+)
+def contents_list(spark: SparkSession, sf: str) -> DataFrame:
+    return sinks.contents_markdown(G.headings(table(spark, sf, "documents")))
