@@ -28,7 +28,7 @@ def totals(log: DataFrame, error: str = "error") -> DataFrame:
     return x.agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("event_type") == error).alias("errors"),
-        F.round(F.count_if(F.col("event_type") == error) / F.count(F.lit(1)), 6).alias("error_rate"),
+        F.round(F.try_divide(F.count_if(F.col("event_type") == error), F.count(F.lit(1))), 6).alias("error_rate"),
         F.count_if(hour).alias("last_hour"),
         F.count_if(day).alias("last_day"),
         F.round(F.coalesce(F.sum(F.when(day, F.col("value"))), F.lit(0.0)), 4).alias("value_last_day"),

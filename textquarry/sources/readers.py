@@ -74,7 +74,7 @@ def sitemap_urls(spark: SparkSession, path: str) -> DataFrame:
 def feed_items(spark: SparkSession, path: str) -> DataFrame:
     """(title, link, summary, published) of RSS items."""
     x = spark.read.format("xml").schema("title string, link string, description string, pubDate string").option("rowTag", "item").load(path)
-    when = F.coalesce(F.try_to_timestamp("pubDate", F.lit("EEE, d MMM yyyy HH:mm:ss Z")), F.try_to_timestamp("pubDate"))
+    when = F.coalesce(F.try_to_timestamp(F.regexp_replace("pubDate", r"^[A-Za-z]+,\s*", ""), F.lit("d MMM yyyy HH:mm:ss Z")), F.try_to_timestamp("pubDate"))
     return x.select(F.trim("title").alias("title"), F.trim("link").alias("link"), F.col("description").alias("summary"), when.alias("published"))
 
 
