@@ -78,30 +78,44 @@ def isotonic(values: list[float]) -> list[float]:
 def repair_clock(times: list[float], reset: float = RESET_SECONDS, off: float = OFF_SECONDS) -> list[float]:
     """Times on one clock, in the order of the file.
 
-    The clock starts again where a time falls far below the latest one (by ``reset`` seconds and to
-    under a fifth of it) and none of the times after it comes back near; later times are shifted. A
-    time further than ``off`` seconds from the isotonic fit of its file segment takes the fitted value.
+    The clock starts again where a time falls far below the latest ones (by ``reset`` seconds and to
+    under a fifth of them) and none of the times after it comes back near; later times are shifted. A
+    time further than ``off`` seconds from the isotonic fit of its file segment takes the time before it.
     """
     if not times:
         return []
-    parts, start, top = [], 0, times[0]
+    parts, start = [], 0
+    top, second = times[0], times[0]
     for i in range(1, len(times)):
         near = max(times[i : i + 4])
-        if top - times[i] > reset and times[i] < 0.2 * top and near < 0.5 * top:
+        if second - times[i] > reset and times[i] < 0.2 * second and near < 0.5 * second:
             parts.append((start, i))
-            start, top = i, times[i]
-        top = max(top, times[i])
+            start, top, second = i, times[i], times[i]
+        elif times[i] > top:
+            top, second = times[i], top if i > start + 1 else times[i]
+        elif times[i] > second:
+            second = times[i]
     parts.append((start, len(times)))
     out, shift = [], 0.0
     for a, b in parts:
-        own = times[a:b]
-        fit = isotonic(own)
-        fixed = [f if abs(t - f) > off else t for t, f in zip(own, fit)]
-        out += [t + shift for t in fixed]
+        out += [t + shift for t in _without_strays(times[a:b], off)]
         shift = max(out)
     return out
 
 
+def _without_strays(times: list[float], off: float) -> list[float]:
+    """Times with those that no order can explain put beside the ones before them, the worst first."""
+    times = list(times)
+    for _ in range(len(times)):
+        fit = isotonic(times)
+        worst = max(range(len(times)), key=lambda k: abs(times[k] - fit[k]))
+        if abs(times[worst] - fit[worst]) <= off:
+            break
+        around = times[max(0, worst - 2) : worst] + times[worst + 1 : worst + 3]
+        times[worst] = times[worst - 1] if worst and abs(times[worst - 1] - times[worst]) > off else min(around, default=fit[worst])
+    return times
+
+
 def _letters(s: str) -> str:
     return re.sub(r"[^a-z]", "", s.lower())
 
