@@ -184,19 +184,9 @@ def _tag(label: str) -> str:
     return re.match(r"[a-z0-9:-]*", label).group(0)
 
 
-def _heading_key(text: str) -> str:
-    return "# " + re.sub(r"\d+", "#", plain(text))
-
-
-def page_hashes(nodes: list[list], blocks: list[list]) -> set[int]:
-    """Hashes of a page's sentences, and of its headings with numbers made equal."""
-    found = set()
-    for node, text, *_ in blocks:
-        if text:
-            found.update(_hash(s) for s in sentences(text))
-            if _tag(nodes[node][1]) in HEADINGS:
-                found.add(_hash(_heading_key(text)))
-    return found
+def page_hashes(blocks: list[list]) -> set[int]:
+    """Hashes of a page's sentences."""
+    return {_hash(s) for _, text, *_ in blocks if text for s in sentences(text)}
 
 
 def host_of(url: str | None) -> str:
@@ -225,8 +215,6 @@ class Page:
         if not total or 2 * sum(len(s.split()) for s in told if _hash(s) in known) >= total:
             return True
         tag = _tag(self.nodes[node][1])
-        if tag in HEADINGS and _hash(_heading_key(text)) in known:
-            return True
         if links >= 3 and link_words >= 0.8 * words and tag not in ("li", "td", "th"):
             return True
         return links >= 1 and len(TRAIL.findall(text)) >= 2 and text.count(".") == 0 and tag not in ("td", "pre")
@@ -235,8 +223,8 @@ class Page:
         """Own words of each container: its paragraphs count fully, its children's by half."""
         found: dict[int, float] = {}
         for (node, _, words, link_words, _), furniture in zip(self.blocks, self.furniture):
-            parent = self.nodes[node][0]
-            if furniture or words == 0 or parent < 0 or 2 * link_words >= words or any(self._apart(n) for n in self._up(node)):
+            parent = max(self.nodes[node][0], 0)
+            if furniture or words == 0 or 2 * link_words >= words or any(self._apart(n) for n in self._up(node)):
                 continue
             inline = _tag(self.nodes[node][1]) in ("td", "th", "body")
             good = (words - link_words) * (1.0 if words >= 5 else 0.2)
@@ -275,7 +263,7 @@ class Page:
         mine = []
         for k, (node, *_rest) in enumerate(self.blocks):
             above = []
-            for n in self._up(node):
+            for n in (*self._up(node), 0):
                 if n == root:
                     mine.append(k)
                     for a in above:
@@ -347,7 +335,7 @@ def parsed_pages(crawl: DataFrame) -> DataFrame:
             for page_id, url, source in zip(pdf["page_id"], pdf["url"], pdf["html"]):
                 nodes, blocks = parse(source)
                 if blocks:
-                    rows.append((page_id, host_of(url), url, json.dumps([nodes, blocks], ensure_ascii=False, separators=(",", ":")), sorted(page_hashes(nodes, blocks))))
+                    rows.append((page_id, host_of(url), url, json.dumps([nodes, blocks], ensure_ascii=False, separators=(",", ":")), sorted(page_hashes(blocks))))
             yield pd.DataFrame(rows, columns=["page_id", "host", "address", "page", "hashes"])
 
     id_type = last.schema["page_id"].dataType.simpleString()
