@@ -20,13 +20,20 @@ from textquarry.operators import questions as Q
 from textquarry.operators import retrieval as R
 from textquarry.operators import trees
 from textquarry.operators.snapshots import latest_files, snapshot_changes, snapshot_order
-from textquarry.session import table
+from textquarry.session import spread, table
 from textquarry.sources import sinks
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
+def documents(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """The documents' columns that a query needs, spread over all cores."""
+    d = table(spark, sf, "documents")
+    return spread(d.select(*columns) if columns else d.select("doc_id", "text", "source", "lang", "title"))
+
+
+
 def query(sql: str | None = None):
     """Register a query under its function's name, with its SQL."""
 
@@ -51,7 +58,7 @@ _WS = r"[ \t\n\r\f]"
     """
 )
 def chunk_fixed(spark: SparkSession, sf: str) -> DataFrame:
-    return C.fixed_chunks(table(spark, sf, "documents"))
+    return C.fixed_chunks(documents(spark, sf, "doc_id", "text"))
 
 
 @query(
@@ -65,7 +72,7 @@ def chunk_fixed(spark: SparkSession, sf: str) -> DataFrame:
     """
 )
 def chunk_hierarchical(spark: SparkSession, sf: str) -> DataFrame:
-    return C.parent_child_chunks(table(spark, sf, "documents"))
+    return C.parent_child_chunks(documents(spark, sf, "doc_id", "text"))
 
 
 _SENTENCES = rf"""
@@ -82,7 +89,7 @@ _SENTENCES = rf"""
     """
 )
 def chunk_sentence_window(spark: SparkSession, sf: str) -> DataFrame:
-    return C.sentence_windows(table(spark, sf, "documents"))
+    return C.sentence_windows(documents(spark, sf, "doc_id", "text"))
 
 
 @query(
@@ -107,17 +114,17 @@ def chunk_by_page(spark: SparkSession, sf: str) -> DataFrame:
     """
 )
 def chunk_by_heading(spark: SparkSession, sf: str) -> DataFrame:
-    return C.heading_chunks(table(spark, sf, "documents"))
+    return C.heading_chunks(documents(spark, sf, "doc_id", "text"))
 
 
 @query()
 def chunk_semantic(spark: SparkSession, sf: str) -> DataFrame:
-    return C.paragraph_chunks(table(spark, sf, "documents"))
+    return C.paragraph_chunks(documents(spark, sf, "doc_id", "text"))
 
 
 @query()
 def chunk_strategy(spark: SparkSession, sf: str) -> DataFrame:
-    return C.chosen_strategy(table(spark, sf, "documents"))
+    return C.chosen_strategy(documents(spark, sf, "doc_id", "text"))
 
 
 # ---- scalar functions
@@ -143,7 +150,7 @@ def text_clean(spark: SparkSession, sf: str) -> DataFrame:
 )
 def text_quality(spark: SparkSession, sf: str) -> DataFrame:
     text = F.col("text")
-    scored = T.quality(table(spark, sf, "documents").where(text.isNotNull()).select("doc_id", "text"))
+    scored = T.quality(documents(spark, sf, "doc_id", "text").where(text.isNotNull()))
     return scored.select(
         "doc_id",
         T.estimated_tokens(text).alias("tokens"),
@@ -163,7 +170,7 @@ def _sql_replace(column: str, rules) -> str:
 
 @query(f"SELECT doc_id, {_sql_replace('text', redact.PII)} AS redacted FROM documents")
 def redact_pii(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", redact.redact_pii(F.col("text")).alias("redacted"))
+    return documents(spark, sf, "doc_id", "text").select("doc_id", redact.redact_pii(F.col("text")).alias("redacted"))
 
 
 @query(
@@ -172,12 +179,12 @@ def redact_pii(spark: SparkSession, sf: str) -> DataFrame:
     + " FROM documents WHERE text IS NOT NULL"
 )
 def secret_scan(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").where(F.col("text").isNotNull()).select("doc_id", *redact.secret_counts(F.col("text")))
+    return documents(spark, sf, "doc_id", "text").where(F.col("text").isNotNull()).select("doc_id", *redact.secret_counts(F.col("text")))
 
 
 @query(f"SELECT doc_id, {_sql_replace('text', [(p, label) for _, _, p, label in redact.SECRETS])} AS redacted FROM documents")
 def secret_redaction(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", redact.redact_secrets(F.col("text")).alias("redacted"))
+    return documents(spark, sf, "doc_id", "text").select("doc_id", redact.redact_secrets(F.col("text")).alias("redacted"))
 
 
 @query(r"SELECT doc_id, substr(regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), 1, 100000) AS safe FROM documents")
@@ -190,7 +197,7 @@ _SCRIPT_ROWS = " UNION ALL ".join(f"SELECT doc_id, '{s}' AS script, len(regexp_e
 
 @query(f"SELECT doc_id, script FROM (SELECT doc_id, CASE WHEN n > 0 THEN script END AS script, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, script) AS r FROM ({_SCRIPT_ROWS})) WHERE r = 1")
 def text_script(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").where(F.col("text").isNotNull()).select("doc_id", T.script_of(F.col("text")).alias("script"))
+    return documents(spark, sf, "doc_id", "text").where(F.col("text").isNotNull()).select("doc_id", T.script_of(F.col("text")).alias("script"))
 
 
 @query("SELECT doc_id, md5(text) AS text_md5, sha256(text) AS text_sha256, substr(sha256(text), 1, 16) AS short_hash FROM documents WHERE text IS NOT NULL")
@@ -218,7 +225,7 @@ _TERMS = "regexp_extract_all(lower(text), '[a-z0-9]+')"
 
 @query(f"SELECT term, count(DISTINCT doc_id)::BIGINT AS df, count(*)::BIGINT AS cf FROM (SELECT doc_id, unnest({_TERMS}) AS term FROM documents) GROUP BY term")
 def term_statistics(spark: SparkSession, sf: str) -> DataFrame:
-    return R.term_statistics(table(spark, sf, "documents"))
+    return R.term_statistics(documents(spark, sf, "doc_id", "text"))
 
 
 def _title_queries(spark: SparkSession, sf: str) -> DataFrame:
@@ -241,7 +248,7 @@ _BM25 = f"""
 
 @query(f"WITH {_BM25} SELECT * FROM bm")
 def bm25_top(spark: SparkSession, sf: str) -> DataFrame:
-    return R.bm25(table(spark, sf, "documents"), _title_queries(spark, sf))
+    return R.bm25(documents(spark, sf, "doc_id", "text"), _title_queries(spark, sf))
 
 
 _OVERLAP = rf"""
@@ -255,7 +262,7 @@ _OVERLAP = rf"""
 
 @query(f"WITH {_OVERLAP} SELECT * FROM ov")
 def keyword_top(spark: SparkSession, sf: str) -> DataFrame:
-    return R.keyword_overlap(table(spark, sf, "documents"), _title_queries(spark, sf))
+    return R.keyword_overlap(documents(spark, sf, "doc_id", "text"), _title_queries(spark, sf))
 
 
 @query(
@@ -266,7 +273,7 @@ def keyword_top(spark: SparkSession, sf: str) -> DataFrame:
     """
 )
 def rank_fusion(spark: SparkSession, sf: str) -> DataFrame:
-    d, q = table(spark, sf, "documents"), _title_queries(spark, sf)
+    d, q = documents(spark, sf, "doc_id", "text"), _title_queries(spark, sf)
     return R.reciprocal_rank_fusion([R.bm25(d, q), R.keyword_overlap(d, q)])
 
 
@@ -282,7 +289,7 @@ def rank_fusion(spark: SparkSession, sf: str) -> DataFrame:
     """
 )
 def linear_fusion(spark: SparkSession, sf: str) -> DataFrame:
-    d, q = table(spark, sf, "documents"), _title_queries(spark, sf)
+    d, q = documents(spark, sf, "doc_id", "text"), _title_queries(spark, sf)
     weights = q.select("query_id", *(c.alias(n) for n, c in R.query_weights(F.col("query")).items()))
     return R.linear_fusion(R.keyword_overlap(d, q), R.bm25(d, q), weights)
 
@@ -326,7 +333,7 @@ def duplicate_heads(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
-    return D.minhash_classes(table(spark, sf, "documents"))
+    return D.minhash_classes(documents(spark, sf, "doc_id", "text"))
 
 
 # ---- context and evaluation
@@ -361,7 +368,7 @@ def cited_passages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _retrieved(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents")
+    d = documents(spark, sf, "doc_id", "text", "source")
     top = R.bm25(d, _title_queries(spark, sf))
     return top.join(d.select("doc_id", "text", "source"), "doc_id").withColumnsRenamed({"doc_id": "chunk_id", "rank": "position"})
 
@@ -517,7 +524,7 @@ def embedding_cost(spark: SparkSession, sf: str) -> DataFrame:
     """
 )
 def contents_tree(spark: SparkSession, sf: str) -> DataFrame:
-    return G.headings(table(spark, sf, "documents"))
+    return G.headings(documents(spark, sf, "doc_id", "text"))
 
 
 _H = " UNION ALL ".join(
@@ -538,7 +545,7 @@ def page_headings(spark: SparkSession, sf: str) -> DataFrame:
     """
 )
 def layout_elements(spark: SparkSession, sf: str) -> DataFrame:
-    return G.layout(table(spark, sf, "documents"))
+    return G.layout(documents(spark, sf, "doc_id", "text"))
 
 
 # \b knows only ASCII in DuckDB: other letters become an ASCII word character first
@@ -548,12 +555,12 @@ _E = " UNION ALL ".join(f"SELECT doc_id, '{t}' AS entity_type, unnest(regexp_ext
 
 @query(f"SELECT entity_type, label, count(*)::BIGINT AS mentions, count(DISTINCT doc_id)::BIGINT AS docs FROM ({_E}) GROUP BY 1, 2")
 def entity_index(spark: SparkSession, sf: str) -> DataFrame:
-    return G.entities(table(spark, sf, "documents"))
+    return G.entities(documents(spark, sf, "doc_id", "text"))
 
 
 @query()
 def entity_relations(spark: SparkSession, sf: str) -> DataFrame:
-    return G.relations(table(spark, sf, "documents"))
+    return G.relations(documents(spark, sf, "doc_id", "text"))
 
 
 _LINKS = r"""
@@ -722,7 +729,7 @@ def cache_tiers(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def summary_tree(spark: SparkSession, sf: str) -> DataFrame:
-    return trees.summary_tree(C.sentence_windows(table(spark, sf, "documents")))
+    return trees.summary_tree(C.sentence_windows(documents(spark, sf, "doc_id", "text")))
 
 
 @query()
@@ -771,4 +778,4 @@ def export_documents(spark: SparkSession, sf: str) -> DataFrame:
     .split("--")[0]
 )
 def contents_list(spark: SparkSession, sf: str) -> DataFrame:
-    return sinks.contents_markdown(G.headings(table(spark, sf, "documents")))
+    return sinks.contents_markdown(G.headings(documents(spark, sf, "doc_id", "text")))

@@ -43,3 +43,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def shuffle_width(spark: SparkSession, least: int = 1) -> int:
     """The session's number of shuffle partitions."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, repartitioned only if a scan gives fewer partitions than the cluster has cores.
+
+    A few large row groups would else keep all but a few cores idle; a large table is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
