@@ -13,7 +13,7 @@ from textquarry.llm.pairs import pair_defects
 from textquarry.llm.scans import scan_repairs
 from textquarry.llm.subjects import document_subjects
 from textquarry.llm.transcripts import speaker_turns, turn_md5
-from textquarry.session import table
+from textquarry.session import spread, table
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,12 +42,12 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return leaked_items(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "eval_items"))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = ("documents", "subject_labels", "subject_areas")
-    return document_subjects(*(table(spark, sf_dir, name) for name in names))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "title", "source", "source_path")
+    return document_subjects(spread(docs), table(spark, sf_dir, "subject_labels"), table(spark, sf_dir, "subject_areas"))
 
 
 QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
