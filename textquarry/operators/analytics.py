@@ -148,3 +148,39 @@ def token_cost(tokens_in: Column, tokens_out: Column, model: Column, rates: dict
     for name, (a, b) in rates.items():
         out = F.when(model == name, tokens_in / 1000 * a + tokens_out / 1000 * b).otherwise(out)
     return F.round(out, 6)
+
+
+def score_aggregate(scores: DataFrame, by: str, value: str) -> DataFrame:
+    """(by, mean, std, min, max, n) with the deviation of the population."""
+    return scores.where(F.col(value).isNotNull()).groupBy(by).agg(
+        F.round(F.avg(value), 6).alias("mean"),
+        F.round(F.stddev_pop(value), 6).alias("std"),
+        F.min(value).alias("min"),
+        F.max(value).alias("max"),
+        F.count(F.lit(1)).alias("n"),
+    )
+
+
+def regressions(now: DataFrame, baseline: DataFrame, tolerance: float = 0.02) -> DataFrame:
+    """(metric, now, before, verdict) of metrics (metric, value) in both: regression, improvement or same."""
+    both = now.select("metric", F.col("value").alias("now")).join(baseline.select("metric", F.col("value").alias("before")), "metric")
+    delta = F.col("now") - F.col("before")
+    return both.withColumn("verdict", F.when(delta < -tolerance, "regression").when(delta > tolerance, "improvement").otherwise("same"))
+
+
+def step_confidence(steps: DataFrame) -> DataFrame:
+    """(question_id, confidence) of reasoning steps (question_id, step, confidence): later steps weigh more."""
+    return steps.groupBy("question_id").agg(F.round(F.coalesce(F.try_divide(F.sum(F.col("step") * F.col("confidence")), F.sum("step")), F.lit(0.0)), 6).alias("confidence"))
+
+
+def audit_report(audit: DataFrame) -> DataFrame:
+    """(user, requests, denied, denial_rate) of access decisions (user, allowed)."""
+    return audit.groupBy("user").agg(
+        F.count(F.lit(1)).alias("requests"), F.count_if(~F.col("allowed")).alias("denied"), F.round(F.count_if(~F.col("allowed")) / F.count(F.lit(1)), 6).alias("denial_rate")
+    )
+
+
+def laplace_noise(value: Column, key: Column, sensitivity: float = 1.0, epsilon: float = 1.0) -> Column:
+    """Value with Laplace noise of scale sensitivity / epsilon, the same for the same key."""
+    u = F.pmod(F.xxhash64(key, F.lit(7)), F.lit(1_000_003)) / 1_000_003.0 - 0.4999995
+    return value - F.lit(sensitivity / epsilon) * F.signum(u) * F.log(1 - 2 * F.abs(u))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textquarry.functions.text import split_words, strip
+from textquarry.functions.tokens import TOKENIZERS, encoder
 
 
 def fixed_chunks(docs: DataFrame, size: int = 1000, overlap: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -117,3 +121,77 @@ def chosen_strategy(docs: DataFrame) -> DataFrame:
         .otherwise("sentence_window")
     )
     return docs.where(F.length("text") > 0).select("doc_id", kind.alias("strategy"))
+
+
+def token_windows(text: str, size: int, overlap: int, folder: str, name: str) -> list[tuple[int, int, int, str]]:
+    """(seq, start, end, chunk) of windows of ``size`` tokens; a character cut by a window's edge belongs to both."""
+    enc = encoder(folder, name)
+    ids = enc.encode_ordinary(text)
+    ends = [0]
+    for token in ids:
+        ends.append(ends[-1] + len(enc.decode_single_token_bytes(token)))
+    data = text.encode()
+    # characters that begin before each byte
+    before = [0]
+    for byte in data:
+        before.append(before[-1] + (byte & 0xC0 != 0x80))
+    out = []
+    for seq, at in enumerate(range(0, len(ids), max(size - overlap, 1))):
+        to = min(at + size, len(ids))
+        start = before[ends[at]] if ends[at] == len(data) or data[ends[at]] & 0xC0 != 0x80 else before[ends[at]] - 1
+        end = before[ends[to]]
+        out.append((seq, start, end, text[start:end]))
+    return out
+
+
+def token_chunks(docs: DataFrame, size: int = 256, overlap: int = 32, folder: str = TOKENIZERS, name: str = "byte_bpe_50k") -> DataFrame:
+    """(doc_id, chunk_seq, start_index, end_index, chunk): windows of ``size`` tokens every ``size - overlap``.
+
+    Without a vocabulary (folder None) a token counts as four characters.
+    """
+    if folder is None:
+        return fixed_chunks(docs, size * 4, overlap * 4)
+    kind = dict(docs.dtypes)["doc_id"]
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(i, *w) for i, t in zip(pdf["doc_id"], pdf["text"]) for w in token_windows(t, size, overlap, folder, name)]
+            yield pd.DataFrame(rows, columns=["doc_id", "chunk_seq", "start_index", "end_index", "chunk"])
+
+    schema = f"doc_id {kind}, chunk_seq int, start_index int, end_index int, chunk string"
+    return docs.where(F.length("text") > 0).select("doc_id", "text").mapInPandas(cut, schema)
+
+
+def corpus_strategy(docs: DataFrame) -> DataFrame:
+    """One row (texts, headings, code, pages, strategy): the cut that suits a corpus, from its averages.
+
+    by_page for texts with form feeds, fixed_size for tables, by_heading for headings or code, else semantic.
+    """
+    text = F.col("text")
+    means = docs.where(F.length("text") > 0).agg(
+        F.count(F.lit(1)).alias("texts"),
+        F.round(F.avg(F.regexp_count(text, F.lit(r"(?m)^#{1,6} "))), 6).alias("headings"),
+        F.round(F.avg(F.regexp_count(text, F.lit(r"(?m)^```"))), 6).alias("code"),
+        F.round(F.avg(F.regexp_count(text, F.lit("\f"))), 6).alias("pages"),
+        F.round(F.avg(F.regexp_count(text, F.lit(r"(?m)^\|.*\|"))), 6).alias("rows"),
+    )
+    kind = F.when(F.col("pages") > 0.5, "by_page").when(F.col("rows") > 3, "fixed_size").when((F.col("headings") > 2) | (F.col("code") > 1), "by_heading").otherwise("semantic")
+    return means.withColumn("strategy", kind)
+
+
+STRATEGIES = {
+    "fixed_size": fixed_chunks,
+    "by_heading": heading_chunks,
+    "semantic": paragraph_chunks,
+    "sentence_window": sentence_windows,
+    "by_token": token_chunks,
+    "hierarchical": parent_child_chunks,
+    "by_page": page_chunks,
+}
+
+
+def chunk(docs: DataFrame, strategy: str, **options) -> DataFrame:
+    """The chunks of a strategy by its name."""
+    if strategy not in STRATEGIES:
+        raise ValueError(f"unknown strategy {strategy!r}; one of {', '.join(STRATEGIES)}")
+    return STRATEGIES[strategy](docs, **options)

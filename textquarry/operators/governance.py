@@ -90,3 +90,16 @@ def latest_version(rows: DataFrame, key: str, at: str) -> DataFrame:
     """The row of each key with the greatest ``at`` (upsert)."""
     w = Window.partitionBy(key).orderBy(F.desc(at))
     return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
+def copy_plan(source: DataFrame, target: DataFrame, overwrite: bool = True) -> DataFrame:
+    """(path, action) to make a folder like another: copy what is missing and, with ``overwrite``, what differs (path, md5)."""
+    both = source.select("path", F.col("md5").alias("a")).join(target.select("path", F.col("md5").alias("b")), "path", "left")
+    action = F.when(F.col("b").isNull(), "copy").when((F.col("a") != F.col("b")) & F.lit(overwrite), "overwrite")
+    return both.select("path", action.alias("action")).where(F.col("action").isNotNull())
+
+
+def file_verdict(path: Column, length: Column, extensions: list[str], most: int = 500_000_000) -> Column:
+    """ok, or why a file isn't read: empty, too large, or of an unknown extension."""
+    kind = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
+    return F.when(length == 0, "empty").when(length > most, "too_large").when(~kind.isin(*extensions), "extension").otherwise("ok")

@@ -128,3 +128,26 @@ def paths(edges: DataFrame, starts: DataFrame, most_nodes: int = 3) -> DataFrame
         )
         out = grown if out is None else out.unionByName(grown)
     return out
+
+
+def related_entities(questions: DataFrame, nodes: DataFrame, edges: DataFrame, most: int = 10) -> DataFrame:
+    """(query_id, label, via): entities one edge away from those that a question (query_id, query) names by a word.
+
+    Words and labels meet by an equi-join on words of four letters or more; at most ``most`` for a question,
+    in the order of their labels.
+    """
+    words = lambda c: F.array_distinct(F.filter(F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}]+)"), 1), lambda w: F.length(w) >= 4))
+    q = questions.select("query_id", F.explode(words(F.col("query"))).alias("w"))
+    n = nodes.select("node", "label", F.explode(words(F.col("label"))).alias("w"))
+    hit = q.join(n, "w").select("query_id", "node", F.col("label").alias("via")).distinct()
+    far = hit.join(neighbours(edges), "node").join(nodes.select(F.col("node").alias("neighbour"), "label"), "neighbour")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("label", "via"))
+    return far.select("query_id", "label", "via").distinct().withColumn("r", rank).where(F.col("r") <= most).drop("r")
+
+
+def node_matches(nodes: DataFrame, terms: list[str]) -> DataFrame:
+    """(node, score): 2 for each term in the label, 1 for each in the text of its metadata."""
+    score = F.lit(0)
+    for t in terms:
+        score = score + F.when(F.contains(F.lower("label"), F.lit(t.lower())), 2).otherwise(0) + F.when(F.contains(F.lower(F.coalesce("metadata", F.lit(""))), F.lit(t.lower())), 1).otherwise(0)
+    return nodes.select("node", score.alias("score")).where("score > 0")

@@ -95,9 +95,11 @@ def parts(questions: DataFrame) -> DataFrame:
 def routes(questions: DataFrame, targets: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(query_id, target, score): each target (target, keywords) by the share of its keywords in the question.
 
+    Keywords may stand anywhere in a question, so every question meets every target, of which there are few.
+
     At or above the threshold the best target alone, at 0.6 of it those with half the threshold, else all.
     """
-    x = questions.join(F.broadcast(targets.select("target", "keywords").limit(10_000)))
+    x = questions.join(targets.select("target", "keywords"))
     hits = F.size(F.filter("keywords", lambda k: F.contains(F.lower("query"), F.lower(k))))
     scored = x.select("query_id", "target", F.round(hits / F.greatest(F.size("keywords"), F.lit(1)), 6).alias("score"))
     from pyspark.sql import Window
@@ -106,3 +108,29 @@ def routes(questions: DataFrame, targets: DataFrame, threshold: float = 0.5) ->
     ranked = scored.withColumns({"best": F.max("score").over(w), "r": F.row_number().over(w.orderBy(F.desc("score"), "target"))})
     keep = F.when(F.col("best") >= threshold, F.col("r") == 1).when(F.col("best") >= 0.6 * threshold, F.col("score") >= 0.5 * threshold).otherwise(True)
     return ranked.where(keep).select("query_id", "target", "score")
+
+
+# Fixed values: (domain, chunk size, overlap, question words that point to it).
+PRESETS = (
+    ("financial", 800, 50, ("revenue", "profit", "loan", "budget", "fiscal", "audit")),
+    ("legal", 1200, 100, ("contract", "clause", "liability", "court", "statute", "lawsuit")),
+    ("medical", 600, 30, ("patient", "diagnosis", "therapy", "dosage", "symptom", "clinic")),
+    ("academic", 1000, 50, ("abstract", "hypothesis", "methodology", "citation", "thesis", "experiment")),
+)
+
+
+def domain(text: Column) -> Column:
+    """The preset whose words a text has most often (ties: the first); general without any."""
+    words = F.regexp_extract_all(F.lower(text), F.lit("([a-z]+)"), 1)
+    best, name = F.lit(0), F.lit("general")
+    for kind, _, _, keys in PRESETS:
+        n = F.size(F.array_intersect(words, F.array(*map(F.lit, keys))))
+        name, best = F.when(n > best, kind).otherwise(name), F.greatest(best, n)
+    return name
+
+
+def tuned(history: DataFrame, base_k: int = 5) -> DataFrame:
+    """(session_id, top_k, hyde, multi_query) from the mean confidence of a session's questions; unchanged under five."""
+    x = history.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.avg("confidence").alias("c"))
+    low, middle = (F.col("n") >= 5) & (F.col("c") < 0.5), (F.col("n") >= 5) & (F.col("c") < 0.7)
+    return x.select("session_id", F.when(low, base_k + 5).when(middle, base_k + 2).otherwise(base_k).alias("top_k"), low.alias("hyde"), middle.alias("multi_query"))

@@ -145,3 +145,48 @@ def vector_search(rows: DataFrame, queries: DataFrame, k: int = 10, metric: str
 
     found = tiles.repartition(shuffle_width(spark), "q_block", "r_block").mapInPandas(multiply, f"query_id bigint, {id_col} bigint, score double")
     return top_per_query(found, k, id_col)
+
+
+def cached_answers(queries: DataFrame, cache: DataFrame, least: float = 0.95) -> DataFrame:
+    """(query_id, cached_id, similarity): for each query (query_id, query, embedding) the cached one it may take.
+
+    ``cache``: cached_id, query, embedding, expires; expired entries don't count. An equal text is a hit
+    of 1.0, else the nearest cached vector of a cosine of at least ``least``.
+    """
+    alive = cache.where(F.col("expires").isNull() | (F.col("expires") > F.current_timestamp()))
+    same = queries.join(alive.groupBy(F.lower("query").alias("k")).agg(F.min("cached_id").alias("cached_id")), F.lower(F.col("query")) == F.col("k"))
+    exact = same.select("query_id", "cached_id", F.lit(1.0).alias("similarity"))
+    near = vector_search(
+        alive.select((-F.col("cached_id") - 1).alias("vec_id"), "embedding"), queries.select(F.col("query_id").alias("vec_id"), "embedding"), 1
+    ).where(F.col("score") >= least)
+    close = near.select("query_id", (-F.col("vec_id") - 1).alias("cached_id"), F.col("score").alias("similarity")).join(exact.select("query_id"), "query_id", "left_anti")
+    return exact.unionByName(close)
+
+
+def merged_results(results: DataFrame, k: int = 10) -> DataFrame:
+    """(question_id, confidence, latency_ms, cost) of the answers of several engines: confidence is sum(c * c) / sum(c)."""
+    return results.groupBy("question_id").agg(
+        F.round(F.coalesce(F.try_divide(F.sum(F.col("confidence") * F.col("confidence")), F.sum("confidence")), F.lit(0.0)), 6).alias("confidence"),
+        F.sum("latency_ms").alias("latency_ms"),
+        F.round(F.sum("cost"), 6).alias("cost"),
+    )
+
+
+def hashed_terms(docs: DataFrame, dims: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, bucket, weight): a text's terms hashed into ``dims`` buckets with signs, scaled to length 1.
+
+    The default embedding where no model is injected; zero weights are left out.
+    """
+    h = F.md5("term")
+    number = lambda at: F.conv(F.substring(h, at, 8), 16, 10).cast("bigint")
+    signed = postings(docs, id_col, text_col).select(id_col, (number(1) % dims).cast("int").alias("bucket"), (F.when(number(9) % 2 == 0, 1).otherwise(-1) * F.col("tf")).alias("w"))
+    summed = signed.groupBy(id_col, "bucket").agg(F.sum("w").cast("double").alias("w")).where("w <> 0")
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
+    return summed.select(id_col, "bucket", F.round(F.col("w") / norm, 6).alias("weight"))
+
+
+def hashed_embeddings(docs: DataFrame, dims: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, embedding): hashed_terms as dense vectors."""
+    m = hashed_terms(docs, dims, id_col, text_col).groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("m"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda k: F.coalesce(F.col("m")[k], F.lit(0.0)).cast("float"))
+    return m.select(id_col, dense.alias("embedding"))

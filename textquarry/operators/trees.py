@@ -77,3 +77,40 @@ def topics(text: Column, most: int = 5) -> Column:
     named = F.transform(parts, lambda s: F.array_join(F.slice(F.regexp_extract_all(s, F.lit(r"\b([A-Z][a-z]{4,})\b"), 1), 1, 3), " "))
     found = F.slice(F.array_distinct(F.filter(named, lambda t: t != "")), 1, most)
     return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("document content")))
+
+
+def node_scores(nodes: DataFrame, question: str, k: int = 5) -> DataFrame:
+    """The k nodes (doc_id, node_id, level, text) that fit a question best.
+
+    Share of its words, 1.5 more for the whole phrase, damped for texts over 500 characters, weighed by level.
+    """
+    words = sorted(set(question.lower().split()))
+    low = F.lower("text")
+    recall = sum((F.when(F.contains(low, F.lit(w)), 1.0).otherwise(0.0) for w in words), F.lit(0.0)) / max(1, len(words))
+    phrase = F.when(F.contains(low, F.lit(question.lower())), 1.5).otherwise(0.0)
+    weight = F.when(F.col("level") == 0, 1.0).when(F.col("level") == 1, 0.8).when(F.col("level") == 2, 0.6).when(F.col("level") == 3, 0.5).otherwise(0.3)
+    score = (recall + phrase) * F.least(F.lit(1.0), F.try_divide(F.lit(500.0), F.length("text"))) * weight
+    return nodes.where(F.length("text") > 0).withColumn("score", F.round(score, 6)).where("score > 0").orderBy(F.desc("score"), "doc_id", "node_id").limit(k)
+
+
+# Forms of questions made from a topic.
+FORMS = ("What does the text say about {}?", "Explain {} as told in the text.", "Summarise what is known about {}.")
+
+
+def made_examples(docs: DataFrame, most: int = 5) -> DataFrame:
+    """(doc_id, example_no, instruction, output): questions on a text's topics with the first sentence that has the topic.
+
+    The form is chosen by a hash of the id and the topic, so that every run gives the same.
+    """
+    t = docs.where(F.length("text") > 100).select("doc_id", "text", F.posexplode(topics(F.col("text"), most)).alias("example_no", "topic"))
+    form = F.element_at(F.array(*(F.lit(f) for f in FORMS)), (F.pmod(F.xxhash64("doc_id", "topic"), F.lit(len(FORMS))) + 1).cast("int"))
+    sentences = F.split("text", r"(?<=[.!?])[ \t\n\r]+")
+    answer = F.get(F.filter(sentences, lambda s: F.contains(s, F.element_at(F.split(F.col("topic"), " "), 1))), F.lit(0))
+    return t.select("doc_id", "example_no", F.replace(form, F.lit("{}"), F.col("topic")).alias("instruction"), F.substring(F.coalesce(answer, "text"), 1, 300).alias("output"))
+
+
+def reading_order(elements: DataFrame) -> DataFrame:
+    """Layout elements (doc_id, page, x0, y0, text) with their column (left or right of the mean x0) and place."""
+    mean = F.avg("x0").over(Window.partitionBy("doc_id"))
+    placed = elements.withColumn("side", F.when(F.col("x0") < mean, "left").otherwise("right"))
+    return placed.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "y0", "x0")))

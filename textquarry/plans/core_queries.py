@@ -6,7 +6,7 @@ brute force in tests/.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textquarry.functions import redact, text as T
@@ -779,3 +779,153 @@ def export_documents(spark: SparkSession, sf: str) -> DataFrame:
 )
 def contents_list(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.contents_markdown(G.headings(documents(spark, sf, "doc_id", "text")))
+
+
+# ---- more of the inventory
+
+
+@query()
+def chunk_by_token(spark: SparkSession, sf: str) -> DataFrame:
+    return C.token_chunks(documents(spark, sf, "doc_id", "text"))
+
+
+@query(
+    """
+    SELECT a.vec_id, count(b.vec_id)::BIGINT AS links FROM embeddings a LEFT JOIN embeddings b
+    ON a.vec_id <> b.vec_id AND a.embedding <> b.embedding AND round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) >= 0.4 GROUP BY 1
+    """
+)
+def vector_links(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return D.vector_classes(e, 0.4).select("vec_id", "links")
+
+
+@query()
+def vector_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    return D.vector_classes(table(spark, sf, "embeddings").select("vec_id", "embedding"))
+
+
+@query("SELECT event_type, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, min(value) AS min, max(value) AS max, count(*)::BIGINT AS n FROM events GROUP BY 1")
+def score_aggregate(spark: SparkSession, sf: str) -> DataFrame:
+    return A.score_aggregate(table(spark, sf, "events"), "event_type", "value")
+
+
+@query(
+    """
+    WITH m AS (SELECT event_type AS metric, avg(value) FILTER (ts < TIMESTAMP '2024-01-16') AS before, avg(value) FILTER (ts >= TIMESTAMP '2024-01-16') AS now FROM events GROUP BY 1)
+    SELECT metric, round(now, 6) AS now, round(before, 6) AS before, CASE WHEN round(now, 6) - round(before, 6) < -1 THEN 'regression' WHEN round(now, 6) - round(before, 6) > 1 THEN 'improvement' ELSE 'same' END AS verdict FROM m
+    """
+)
+def metric_regressions(spark: SparkSession, sf: str) -> DataFrame:
+    e, half = table(spark, sf, "events"), F.lit("2024-01-16").cast("timestamp_ntz")
+    mean = lambda x: x.groupBy(F.col("event_type").alias("metric")).agg(F.round(F.avg("value"), 6).alias("value"))
+    return A.regressions(mean(e.where(F.col("ts") >= half)), mean(e.where(F.col("ts") < half)), 1.0)
+
+
+@query("SELECT user_id AS question_id, round(sum(step * value) / sum(step), 6) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step FROM events) GROUP BY 1")
+def step_confidence(spark: SparkSession, sf: str) -> DataFrame:
+    step = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return A.step_confidence(table(spark, sf, "events").select(F.col("user_id").alias("question_id"), step.alias("step"), F.col("value").alias("confidence")))
+
+
+@query("SELECT user_id::VARCHAR AS \"user\", count(*)::BIGINT AS requests, count(*) FILTER (event_type = 'error')::BIGINT AS denied, round(count(*) FILTER (event_type = 'error') / count(*), 6) AS denial_rate FROM events GROUP BY 1")
+def audit_report(spark: SparkSession, sf: str) -> DataFrame:
+    return A.audit_report(table(spark, sf, "events").select(F.col("user_id").cast("string").alias("user"), (F.col("event_type") != "error").alias("allowed")))
+
+
+@query("SELECT user_id AS session_id, (CASE WHEN n >= 5 AND c < 0.5 THEN 10 WHEN n >= 5 AND c < 0.7 THEN 7 ELSE 5 END)::INT AS top_k, n >= 5 AND c < 0.5 AS hyde, n >= 5 AND c < 0.7 AS multi_query FROM (SELECT user_id, count(*) AS n, avg(value / 100) AS c FROM events GROUP BY 1)")
+def tuned_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    return Q.tuned(table(spark, sf, "events").select(F.col("user_id").alias("session_id"), (F.col("value") / 100).alias("confidence")))
+
+
+_DOMAINS = ", ".join("[" + ", ".join(f"'{w}'" for w in keys) + "]" for _, _, _, keys in Q.PRESETS)
+
+
+@query(
+    f"""
+    WITH w AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents WHERE length(text) > 0),
+    n AS (SELECT doc_id, list_transform([{_DOMAINS}], lambda k: len(list_intersect(w, k))) AS n FROM w)
+    SELECT doc_id, CASE WHEN list_max(n) = 0 THEN 'general' ELSE (['financial', 'legal', 'medical', 'academic'])[list_position(n, list_max(n))] END AS domain FROM n
+    """
+)
+def document_domain(spark: SparkSession, sf: str) -> DataFrame:
+    return documents(spark, sf, "doc_id", "text").where(F.length("text") > 0).select("doc_id", Q.domain(F.col("text")).alias("domain"))
+
+
+@query()
+def made_examples(spark: SparkSession, sf: str) -> DataFrame:
+    return trees.made_examples(documents(spark, sf, "doc_id", "text"))
+
+
+@query("SELECT user_id AS question_id, round(sum((value / 1000) * (value / 1000)) / sum(value / 1000), 6) AS confidence, sum(event_id)::BIGINT AS latency_ms, round(sum(value), 6) AS cost FROM events GROUP BY 1")
+def merged_results(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events")
+    return R.merged_results(e.select(F.col("user_id").alias("question_id"), (F.col("value") / 1000).alias("confidence"), F.col("event_id").alias("latency_ms"), F.col("value").alias("cost")))
+
+
+@query(
+    f"""
+    WITH p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TERMS}) AS term FROM documents) GROUP BY 1, 2),
+    s AS (SELECT doc_id, (('0x' || substr(md5(term), 1, 8))::BIGINT % 64)::INT AS bucket, sum(CASE WHEN ('0x' || substr(md5(term), 9, 8))::BIGINT % 2 = 0 THEN tf ELSE -tf END)::DOUBLE AS w FROM p GROUP BY 1, 2)
+    SELECT doc_id, bucket, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM s WHERE w <> 0
+    """
+)
+def hashed_terms(spark: SparkSession, sf: str) -> DataFrame:
+    return R.hashed_terms(documents(spark, sf, "doc_id", "text"))
+
+
+@query()
+def hashed_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    e = R.hashed_embeddings(documents(spark, sf, "doc_id", "text")).withColumnRenamed("doc_id", "vec_id")
+    return R.vector_search(e, e.where(F.col("vec_id") % 100 == 0), 5)
+
+
+@query(
+    r"""
+    SELECT count(*)::BIGINT AS texts, round(avg(len(regexp_extract_all(text, '(?m)^#{1,6} '))), 6) AS headings, round(avg(len(regexp_extract_all(text, '(?m)^```'))), 6) AS code,
+           round(avg(len(regexp_extract_all(text, '\f'))), 6) AS pages, round(avg(len(regexp_extract_all(text, '(?m)^\|.*\|'))), 6) AS rows,
+           CASE WHEN round(avg(len(regexp_extract_all(text, '\f'))), 6) > 0.5 THEN 'by_page' WHEN round(avg(len(regexp_extract_all(text, '(?m)^\|.*\|'))), 6) > 3 THEN 'fixed_size'
+                WHEN round(avg(len(regexp_extract_all(text, '(?m)^#{1,6} '))), 6) > 2 OR round(avg(len(regexp_extract_all(text, '(?m)^```'))), 6) > 1 THEN 'by_heading' ELSE 'semantic' END AS strategy
+    FROM documents WHERE length(text) > 0
+    """
+)
+def corpus_strategy(spark: SparkSession, sf: str) -> DataFrame:
+    return C.corpus_strategy(documents(spark, sf, "doc_id", "text"))
+
+
+_ROUTES = [("facts", ["statement", "passage"]), ("figures", ["many", "total"]), ("texts", ["passage", "summary", "aussage"])]
+
+
+@query(
+    """
+    WITH t(target, k) AS (VALUES ('facts', ['statement', 'passage']), ('figures', ['many', 'total']), ('texts', ['passage', 'summary', 'aussage'])),
+    s AS (SELECT item_id AS query_id, target, round(len(list_filter(k, lambda w: contains(lower(question), w))) / len(k), 6) AS score FROM eval_items, t),
+    r AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS best, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, target) AS r FROM s)
+    SELECT query_id, target, score FROM r WHERE CASE WHEN best >= 0.5 THEN r = 1 WHEN best >= 0.3 THEN score >= 0.25 ELSE true END
+    """
+)
+def question_routes(spark: SparkSession, sf: str) -> DataFrame:
+    return Q.routes(_questions(spark, sf), spark.createDataFrame(_ROUTES, "target string, keywords array<string>"))
+
+
+@query(
+    r"""
+    SELECT path, CASE WHEN chunk_count = 0 THEN 'empty' WHEN chunk_count > 90 THEN 'too_large' WHEN lower(regexp_extract(path, '\.([A-Za-z0-9]+)$', 1)) NOT IN ('csv', 'md', 'html', 'docx', 'pdf') THEN 'extension' ELSE 'ok' END AS verdict
+    FROM source_files WHERE path IS NOT NULL
+    """
+)
+def file_verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    f = table(spark, sf, "source_files").where(F.col("path").isNotNull())
+    return f.select("path", V.file_verdict(F.col("path"), F.col("chunk_count"), ["csv", "md", "html", "docx", "pdf"], 90).alias("verdict"))
+
+
+@query(
+    """
+    WITH a AS (SELECT DISTINCT source_path AS path, md5(text) AS md5 FROM documents WHERE source_path IS NOT NULL AND text IS NOT NULL),
+    b AS (SELECT path, md5(path) AS md5 FROM a WHERE substr(md5, 1, 1) < '8')
+    SELECT a.path, CASE WHEN b.path IS NULL THEN 'copy' ELSE 'overwrite' END AS action FROM a LEFT JOIN b USING (path) WHERE b.path IS NULL OR a.md5 <> b.md5
+    """
+)
+def copy_plan(spark: SparkSession, sf: str) -> DataFrame:
+    a = table(spark, sf, "documents").where(F.col("source_path").isNotNull() & F.col("text").isNotNull()).select(F.col("source_path").alias("path"), F.md5("text").alias("md5")).distinct()
+    return V.copy_plan(a, a.where(F.substring("md5", 1, 1) < "8").select("path", F.md5("path").alias("md5")))
