@@ -10,6 +10,7 @@
 
 from __future__ import annotations
 
+import functools
 import html
 import json
 import re
@@ -54,6 +55,8 @@ TOKEN = re.compile(r"<!--.*?(?:--!?>|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a
 ATTRIBUTE = re.compile(r"\b(id|class)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 WORDS = re.compile(r"[^\W_]+")
 TRAIL = re.compile(r"[›»→>/|·]")
+STOP = re.compile(r"[.!?]\s")
+SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
 
 def plain(text: str) -> str:
@@ -61,6 +64,7 @@ def plain(text: str) -> str:
     return " ".join(WORDS.findall(text.lower()))
 
 
+@functools.lru_cache(maxsize=100_000)
 def _label(tag: str, attributes: str, index: int) -> str:
     """Generalised tag-class step of a path; numbers of three or more digits are dropped."""
     name = ""
@@ -73,7 +77,8 @@ def _label(tag: str, attributes: str, index: int) -> str:
 def parse(source: str) -> tuple[list[list], list[list]]:
     """(nodes, blocks) of a page.
 
-    nodes: [parent, label]; blocks: [node, text, words, link words, links]. An hr is a block without text.
+    nodes: [parent, label]; blocks: [node, plain form, words, link words, links, is a trail, sentences],
+    the last as hash and number of words in turns. An hr is a block without words.
     """
     nodes: list[list] = [[-1, "root"]]
     stack: list[tuple[str, int]] = [("root", 0)]
@@ -86,9 +91,15 @@ def parse(source: str) -> tuple[list[list], list[list]]:
     def close() -> None:
         nonlocal links
         if text:
-            said = html.unescape("".join(text)).strip()
-            if said:
-                blocks.append([stack[-1][1], said, len(WORDS.findall(said)), len(WORDS.findall(html.unescape("".join(link)))), links])
+            said = "".join(text)
+            said = html.unescape(said) if "&" in said else said
+            words = WORDS.findall(said.lower())
+            if words:
+                linked = "".join(link)
+                n = len(WORDS.findall(html.unescape(linked) if "&" in linked else linked)) if linked else 0
+                trail = int(links >= 1 and "." not in said and len(TRAIL.findall(said)) >= 2)
+                told = [x for p in (sentences(said) if STOP.search(said) else (words,)) for x in (_hash(" ".join(p)), len(p))]
+                blocks.append([stack[-1][1], " ".join(words), len(words), n, links, trail, told])
         text.clear()
         link.clear()
         links = 0
@@ -141,7 +152,7 @@ def parse(source: str) -> tuple[list[list], list[list]]:
         if tag == "hr":
             if stack[-1][0] == "p":
                 stack.pop()
-            blocks.append([stack[-1][1], "", 0, 0, 0])
+            blocks.append([stack[-1][1], "", 0, 0, 0, 0, []])
             continue
         if stack[-1][0] == "p" or stack[-1][0] in HEADINGS and tag in HEADINGS:
             stack.pop()
@@ -170,8 +181,9 @@ def parse(source: str) -> tuple[list[list], list[list]]:
     return nodes, blocks
 
 
-def sentences(text: str) -> list[str]:
-    return [p for p in (plain(s) for s in re.split(r"(?<=[.!?])\s+", text)) if p]
+def sentences(text: str) -> list[list[str]]:
+    """The words of each sentence that has any."""
+    return [w for w in (WORDS.findall(s) for s in SENTENCE.split(text.lower())) if w]
 
 
 def _hash(text: str) -> int:
@@ -180,13 +192,20 @@ def _hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text) - (1 << 63)
 
 
+@functools.lru_cache(maxsize=100_000)
 def _tag(label: str) -> str:
     return re.match(r"[a-z0-9:-]*", label).group(0)
 
 
+@functools.lru_cache(maxsize=100_000)
+def _set_apart(label: str) -> bool:
+    """Whether an element is by its tag or name no place for main body."""
+    return _tag(label) in APART or bool(NAMED.search(label[len(_tag(label)) :]))
+
+
 def page_hashes(blocks: list[list]) -> set[int]:
     """Hashes of a page's sentences."""
-    return {_hash(s) for _, text, *_ in blocks if text for s in sentences(text)}
+    return {h for block in blocks for h in block[6][::2]}
 
 
 def host_of(url: str | None) -> str:
@@ -207,22 +226,17 @@ class Page:
         self.furniture = [self._furniture(b, known) for b in blocks]
 
     def _furniture(self, block: list, known: set[int]) -> bool:
-        node, text, words, link_words, links = block
-        if not text:
+        node, _, words, link_words, links, trail, told = block
+        if not words:
             return False
-        told = sentences(text)
-        total = sum(len(s.split()) for s in told)
-        if not total or 2 * sum(len(s.split()) for s in told if _hash(s) in known) >= total:
-            return True
-        tag = _tag(self.nodes[node][1])
-        if links >= 3 and link_words >= 0.8 * words and tag not in ("li", "td", "th"):
+        if 2 * sum(n for h, n in zip(told[::2], told[1::2]) if h in known) >= sum(told[1::2]) or trail and _tag(self.nodes[node][1]) not in ("td", "pre"):
             return True
-        return links >= 1 and len(TRAIL.findall(text)) >= 2 and text.count(".") == 0 and tag not in ("td", "pre")
+        return links >= 3 and link_words >= 0.8 * words and _tag(self.nodes[node][1]) not in ("li", "td", "th")
 
     def scores(self) -> dict[int, float]:
         """Own words of each container: its paragraphs count fully, its children's by half."""
         found: dict[int, float] = {}
-        for (node, _, words, link_words, _), furniture in zip(self.blocks, self.furniture):
+        for (node, _, words, link_words, *_), furniture in zip(self.blocks, self.furniture):
             parent = max(self.nodes[node][0], 0)
             if furniture or words == 0 or 2 * link_words >= words or any(self._apart(n) for n in self._up(node)):
                 continue
@@ -241,8 +255,7 @@ class Page:
             node = self.nodes[node][0]
 
     def _apart(self, node: int) -> bool:
-        label = self.nodes[node][1]
-        return _tag(label) in APART or bool(NAMED.search(label[len(_tag(label)) :]))
+        return _set_apart(self.nodes[node][1])
 
     def path_counts(self) -> dict[str, tuple[int, int]]:
         """(furniture, blocks) on each path."""
@@ -278,7 +291,7 @@ class Page:
             elif spoken and n != self.blocks[spoken[0]][0] or len(spoken) > 1:
                 first = spoken[0] if spoken else None
                 bad = sum(self.furniture[k] for k in spoken)
-                label = first is not None and (self.furniture[first] or bool(SECTION_LABEL.match(plain(self.blocks[first][1]))))
+                label = first is not None and (self.furniture[first] or bool(SECTION_LABEL.match(self.blocks[first][1])))
                 short = first is not None and self.blocks[first][2] <= 6
                 if len(spoken) > 1 and (label and short or 5 * bad >= 3 * len(spoken)):
                     out_nodes.add(n)
@@ -292,13 +305,13 @@ class Page:
             if any(n in out_nodes for n in self._up(node)):
                 continue
             rescued = self.furniture[k] and self.paths[node] in mixed and not heading and not self._furniture(self.blocks[k], self.on_host)
-            if self.furniture[k] and not rescued or heading and SECTION_LABEL.match(plain(text)):
+            if self.furniture[k] and not rescued or heading and SECTION_LABEL.match(text):
                 section = section or heading
                 continue
             if heading:
                 section = False
-            if not section and (p := plain(text)):
-                result.append(p)
+            if not section:
+                result.append(text)
                 own += not rescued and self.blocks[k][2] >= 3 and 2 * self.blocks[k][3] < self.blocks[k][2]
         return result if own else []
 
@@ -415,6 +428,7 @@ def main_body(crawl: DataFrame) -> DataFrame:
         .groupBy("host", "path")
         .agg(F.sum("score").alias("score"), F.sum("furniture").alias("furniture"), F.sum("blocks").alias("blocks"))
     )
+    votes = cut_lineage(votes)
     total = votes.groupBy("host").agg(F.sum("score").alias("total"))
     won = (F.col("score") > 0) & (F.col("score") >= VOTE_SHARE * F.col("total"))
     is_mixed = (F.col("furniture") > 0) & (2 * F.col("furniture") < F.col("blocks"))
