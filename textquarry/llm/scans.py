@@ -9,12 +9,13 @@ corpus uses, and a word that turns into a far more frequent one by undoing usual
 from __future__ import annotations
 
 import difflib
+import functools
 import itertools
 import json
 import re
 from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -44,6 +45,7 @@ ROMAN = re.compile(r"^(?=[ivxlcdm])m{0,3}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:
 HEADING = re.compile(r"^\s*\d{1,3}(?:\.\d{1,3})*[.)]\s+[^\W\d_]")
 
 
+@functools.lru_cache(maxsize=200_000)
 def bare(token: str) -> str:
     """A word in lower case without punctuation at its ends."""
     return token.strip(ENDS).lower()
@@ -56,7 +58,8 @@ def _roman(s: str) -> int | None:
     return sum(-v if v < max(values[k:]) else v for k, v in enumerate(values))
 
 
-def _readings(token: str) -> set[int]:
+@functools.lru_cache(maxsize=200_000)
+def _readings(token: str) -> frozenset[int]:
     """The numbers that a token may be: printed, misread or roman."""
     token = token.lower().strip(ENDS + "-–—[]")
     found = set()
@@ -66,7 +69,7 @@ def _readings(token: str) -> set[int]:
         for form in (token, token.replace("l", "i"), token.replace("e", "c")):
             if (n := _roman(form)) is not None:
                 found.add(n)
-    return found
+    return frozenset(found)
 
 
 def _numbers(line: str) -> set[int]:
@@ -94,12 +97,18 @@ def _alike(a: str, b: str) -> bool:
 class Scan:
     """Lines and pages of one document."""
 
-    def __init__(self, text: str, metadata: dict[str, str] | None):
+    def __init__(self, text: str, metadata: dict[str, str] | None, dropped: Sequence[int] | None = None):
+        """``dropped``: the lines to drop, if they are known already."""
         self.metadata = metadata or {}
         self.lines = [x.replace("\r", "") for x in text.split("\n")]
         self.page = self._pages(text)
         self.blank = [not x.strip("\f \t\xa0") for x in self.lines]
-        self.dropped = self._dropped()
+        if dropped is None:
+            self.dropped = self._dropped()
+        else:
+            self.dropped = [False] * len(self.lines)
+            for k in dropped:
+                self.dropped[k] = True
         self.kept = [k for k in range(len(self.lines)) if not self.blank[k] and not self.dropped[k]]
 
     def _pages(self, text: str) -> list[int]:
@@ -262,6 +271,7 @@ class Scan:
         return line[-1:] not in ".,;:!?" and len(line) <= 0.8 * width + 8 and len(line.split()) <= 10
 
 
+@functools.lru_cache(maxsize=200_000)
 def digits_right(word: str) -> str | None:
     """A number, or the number of a mark such as AB-1234, with letters read for digits put right."""
     m = re.fullmatch(r"([a-z]{2}-)?([\dli|obszgqí]+)", word)
@@ -315,35 +325,32 @@ def candidates(word: str) -> set[str]:
     return found
 
 
-def _scan_rows(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list, list[Scan]]]:
+FACTS = "document_id string, dropped array<int>, words array<string>, counts array<int>, forms array<string>"
+
+
+def looked_at(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The lines to drop, the whole words with their counts, and the possible forms of cut words, of each scan."""
     for pdf in batches:
-        ids, scans = [], []
+        rows = []
         for i, text, meta in zip(pdf["document_id"], pdf["text"], pdf["metadata"]):
             if text and text.strip():
-                ids.append(i)
-                scans.append(Scan(text, json.loads(meta) if meta else None))
-        yield ids, scans
+                s = Scan(text, json.loads(meta) if meta else None)
+                whole, forms = s.words()
+                rows.append((i, [k for k, d in enumerate(s.dropped) if d], list(whole), list(whole.values()), sorted(forms)))
+        yield pd.DataFrame(rows, columns=["document_id", "dropped", "words", "counts", "forms"])
 
 
-def word_counts(raw: DataFrame, scans: DataFrame) -> DataFrame:
+def word_counts(raw: DataFrame, facts: DataFrame) -> DataFrame:
     """(word, n) over all texts: words standing whole in scans, and words of the documents that are no scans or speech."""
 
-    def of_scans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, found in _scan_rows(batches):
-            total: Counter = Counter()
-            for s in found:
-                total.update(s.words()[0])
-            yield pd.DataFrame(list(total.items()), columns=["word", "n"])
-
     def of_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             total = Counter(w for t in pdf["text"] for w in map(bare, t.split()) if w)
             yield pd.DataFrame(list(total.items()), columns=["word", "n"])
 
     others = raw.where(~F.col("source_type").isin(*SCAN_TYPES, *SPEECH_TYPES) & F.col("text").isNotNull()).select("text")
-    schema = "word string, n bigint"
-    parts = scans.mapInPandas(of_scans, schema).unionByName(others.mapInPandas(of_texts, schema))
-    return parts.groupBy("word").agg(F.sum("n").alias("n"))
+    scanned = facts.select(F.explode(F.arrays_zip("words", "counts")).alias("x")).select(F.col("x.words").alias("word"), F.col("x.counts").cast("bigint").alias("n"))
+    return scanned.unionByName(others.mapInPandas(of_texts, "word string, n bigint")).groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def scan_repairs(raw: DataFrame, types: tuple[str, ...] = SCAN_TYPES) -> DataFrame:
@@ -354,23 +361,18 @@ def scan_repairs(raw: DataFrame, types: tuple[str, ...] = SCAN_TYPES) -> DataFra
     last taken in); extra columns are ignored; an empty table gives an empty result.
     """
     scans = latest_documents(raw, types)
-    counts = cut_lineage(word_counts(raw, scans))
-
-    def asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for ids, found in _scan_rows(batches):
-            rows = []
-            for i, s in zip(ids, found):
-                whole, forms = s.words()
-                rows += [(i, w, w in forms) for w in {*whole, *forms} if len(w) > 1 and re.search(r"[^\W\d_]", w)]
-            yield pd.DataFrame(rows, columns=["document_id", "word", "is_form"])
+    facts = cut_lineage(scans.mapInPandas(looked_at, FACTS))
+    counts = cut_lineage(word_counts(raw, facts))
 
     def propose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [(w, n, c) for w, n in zip(pdf["word"], pdf["n"]) for c in candidates(w)]
             yield pd.DataFrame(rows, columns=["word", "n", "candidate"])
 
-    wanted = cut_lineage(scans.mapInPandas(asked, "document_id string, word string, is_form boolean"))
-    distinct = wanted.select("word").distinct().join(counts, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("bigint"))
+    telling = (F.length("word") > 1) & F.col("word").rlike(r"\p{L}")
+    whole = facts.select("document_id", F.explode("words").alias("word")).where(telling)
+    forms = facts.select("document_id", F.explode("forms").alias("word"))
+    distinct = whole.select("word").unionByName(forms.select("word")).distinct().join(counts, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("bigint"))
     proposed = distinct.mapInPandas(propose, "word string, n bigint, candidate string")
     known = counts.where(F.col("n") >= LEAST_COUNT).select(F.col("word").alias("candidate"), F.col("n").alias("m"))
     better = (
@@ -380,27 +382,28 @@ def scan_repairs(raw: DataFrame, types: tuple[str, ...] = SCAN_TYPES) -> DataFra
         .agg(F.max(F.struct("m", "candidate")).alias("best"))
         .select("word", F.col("best.candidate").alias("right"), F.col("best.m").alias("m"))
     )
-    facts = distinct.join(better, "word", "left")
+    # whole words matter only where they are misread, so frequent words never meet their documents
+    misread = distinct.join(better, "word")
+    parted = distinct.join(better, "word", "left").where(F.col("right").isNotNull() | (F.col("n") > 0))
     per_document = (
-        wanted.join(facts, "word")
-        .where(F.col("right").isNotNull() | (F.col("is_form") & (F.col("n") > 0)))
+        whole.join(misread, "word")
+        .unionByName(forms.join(parted, "word"))
         .groupBy("document_id")
-        .agg(F.collect_list(F.struct("word", "n", "right", F.coalesce("m", F.lit(0)).alias("m"))).alias("facts"))
+        .agg(F.collect_list(F.struct("word", "n", "right", F.coalesce("m", F.lit(0)).alias("m"))).alias("told"))
     )
 
     def repair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for i, text, meta, told in zip(pdf["document_id"], pdf["text"], pdf["metadata"], pdf["facts"]):
-                if not text or not text.strip():
-                    continue
+            for i, text, meta, dropped, told in zip(*(pdf[c] for c in ("document_id", "text", "metadata", "dropped", "told"))):
                 n, right = {}, {}
                 for f in told if told is not None else ():
                     n[f["word"]] = f["n"]
                     if f["right"]:
                         right[f["word"]] = f["right"]
                         n.setdefault(f["right"], f["m"])
-                rows += [(i, *r) for r in Scan(text, json.loads(meta) if meta else None).repairs(n, right)]
+                rows += [(i, *r) for r in Scan(text, json.loads(meta) if meta else None, dropped).repairs(n, right)]
             yield pd.DataFrame(rows, columns=["document_id", "line_no", "repair", "repaired"])
 
-    return scans.join(per_document, "document_id", "left").mapInPandas(repair, "document_id string, line_no int, repair string, repaired string")
+    ready = scans.join(facts.select("document_id", "dropped"), "document_id").join(per_document, "document_id", "left")
+    return ready.mapInPandas(repair, "document_id string, line_no int, repair string, repaired string")
