@@ -10,9 +10,6 @@ each neighbouring pair is, so one shared token on either side makes the join exa
 
 from __future__ import annotations
 
-import base64
-import functools
-import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,28 +18,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textquarry.functions.tokens import PATTERN, TOKENIZERS, encoder
 from textquarry.session import shuffle_width
 
-TOKENIZERS = "/opt/tokenizers"
-
-# Fixed value: the pre-token pattern that belongs to the vocabulary.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-
 LONG_TEXT = 20_000
 SEGMENT_CHARS = 8_192
 RUN_CHARS = 4_096
 
 
-@functools.lru_cache(maxsize=4)
-def encoder(folder: str = TOKENIZERS, name: str = "byte_bpe_50k"):
-    """The vocabulary file ``name``.tiktoken as an encoder without special tokens; one per process."""
-    import tiktoken
-
-    with open(os.path.join(folder, f"{name}.tiktoken"), "rb") as f:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
-    return tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-
 def _piece(enc, data: bytes) -> list[int]:
     return list(enc._encode_single_piece(data)) if data else []
 

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from textquarry.session import cut_lineage
 
 MOST_LABELS = 20_000
+MOST_SUBJECTS = 1_000
 MOST_WORDS = 50_000
 LEXICON_SHARE = 0.7
 LEAST_DOCS, LEAST_SENTENCES = 3, 4
@@ -129,7 +130,7 @@ def clean_labels(labels: DataFrame, subjects: DataFrame, most: int = MOST_LABELS
     """(doc_id, subject) without repeats and with the spelling of the list; at most ``most`` rows, by hash of doc_id."""
     plain = labels.select("doc_id", F.lower(F.trim("subject")).alias("subject")).where(F.col("doc_id").isNotNull()).distinct()
     known = subjects.select(F.lower(F.trim("subject")).alias("subject")).distinct()
-    return plain.join(F.broadcast(known.limit(1000)), "subject", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id", "subject").limit(most)
+    return plain.join(known, "subject", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id", "subject").limit(most)
 
 
 def document_subjects(
@@ -146,7 +147,9 @@ def document_subjects(
     ignored; without documents or usable labels the result is empty.
     """
     spark = docs.sparkSession
-    names = sorted(r[0] for r in subjects.select(F.lower(F.trim("subject"))).where(F.col("subject").isNotNull()).distinct().limit(1000).collect() if r[0])
+    names = sorted(r[0] for r in subjects.select(F.lower(F.trim("subject"))).where(F.col("subject").isNotNull()).distinct().limit(MOST_SUBJECTS + 1).collect() if r[0])
+    if len(names) > MOST_SUBJECTS:
+        raise ValueError(f"more than {MOST_SUBJECTS} subjects")
     number = {s: k for k, s in enumerate(names)}
     hand = clean_labels(labels, subjects, most_labels).toPandas()
     hand["k"] = hand["subject"].map(number)

@@ -327,7 +327,7 @@ def turns(text: str | None, metadata: dict[str, str] | None) -> list[tuple[int,
     for s in segments:
         speaker = s.label or speaker
         if s.time is not None:
-            again = (s.time, speaker if s.label else None, _NOT_WORDS.sub(" ", s.text.lower()))
+            again = (s.time, _NOT_WORDS.sub(" ", s.text.lower()))
             if again in seen:
                 continue
             seen.add(again)
