@@ -40,7 +40,10 @@ FUNCTION_WORDS = {
     "es": "el la los las del una un y es era en para sobre con que quien no más este esta estos su sus se lo al pero o donde cuando aunque después"
           " todavía muy pocos muchos nadie según primero luego ha han está como por qué ya mientras siendo sigue cuál",
 }
-_LANGUAGE = {lang: frozenset(words.split()) for lang, words in FUNCTION_WORDS.items()}
+_LANGUAGES = tuple(FUNCTION_WORDS)
+_LANGUAGES_OF: dict[str, tuple[int, ...]] = {
+    w: tuple(k for k, lang in enumerate(_LANGUAGES) if w in FUNCTION_WORDS[lang].split()) for words in FUNCTION_WORDS.values() for w in words.split()
+}
 LANGUAGE_NAMES = {
     "en": r"english|englisch\w*|anglais\w*|ingl[eé]s\w*",
     "de": r"german|deutsch\w*|allemand\w*|alem[aá]n\w*",
@@ -49,7 +52,7 @@ LANGUAGE_NAMES = {
 }
 _ASKED = {lang: re.compile(rf"\b(?:{names})\b", re.I) for lang, names in LANGUAGE_NAMES.items()}
 
-# Ways to decline, in the first person or by rule.
+# Ways to decline, in the first person or by rule, in lower case.
 REFUSALS = re.compile(
     "|".join(
         (
@@ -71,10 +74,17 @@ REFUSALS = re.compile(
             r"\bje (?:suis )?désolée?\b|\bdésolée?,|\bje (?:ne|n['’]) ?(?:peux|puis|suis|ai|souhaite|dispose)\b|\bje préfère ne\b|\bje refuse\b|\bil m['’]est impossible\b|\ben tant que (?:modèle|ia)\b|\bje regrette\b|\bmalheureusement,? je\b",
             r"\blo siento\b|\bno (?:puedo|podré|debo|me es posible|tengo (?:acceso|suficiente|permitido)|estoy (?:autorizad|en condiciones))|\bprefiero no\b|\bcomo modelo\b|\blamento\b|\bme temo\b|\bdesafortunadamente,? no\b",
         )
-    ),
-    re.I,
+    )
 )
+# Each way to decline has one of these in it.
+HINTS = (
+    "i'm", "i’m", "i am", "i can", "i won", "i will", "i could", "i may", "i must", "i have to", "i need to", "i regret", "i respect", "i decline", "i refuse",
+    "i do", "i lack", "i'd", "i’d", "i would", "i prefer", "as a", "appropriate for me", "nothing i", "permitted", "my ", "what i", "unanswered", "no can do",
+    "limits", "reply is not", "regrettably", "sorry", "apolog", "unfortunately", "unable to", "leid", "ich ", "sprachmodell", "als ki", "auskunft", "désol",
+    "je ", "impossible", "en tant que", "malheureusement", "siento", "no p", "no d", "no m", "no t", "no e", "prefiero", "modelo", "lamento", "temo", "desafort",
+)
 QUOTED = re.compile(r"\"[^\"]*\"|“[^”]*”|«[^»]*»|„[^“”]*[“”]")
+LETTERS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 WORD = re.compile(r"[^\W_]+(?:['’\-][^\W_]+)*", re.U)
 TOKEN = re.compile(r"[^\W_]+(?:['’\-][^\W_]+)*|[.!?…。]+|[^\w\s]", re.U)
 SENTENCE_END = re.compile(r"[.!?…。]['\"”»)\]*_]*$")
@@ -99,7 +109,8 @@ def is_refusal(output: str) -> bool:
     """The first sentence, without what it quotes, declines to answer."""
     plain = QUOTED.sub(" ", output).strip()
     first = re.split(r"(?<=[.!?])\s+", plain, maxsplit=1)[0]
-    return bool(REFUSALS.search(first))
+    low = first.lower()
+    return any(h in low for h in HINTS) and bool(REFUSALS.search(low))
 
 
 def shared_words(a: list[str], b: list[str]) -> int:
@@ -144,8 +155,11 @@ def is_copy(instruction: str | None, input_: str | None, output: str) -> bool:
 
 
 def language_scores(text: str | None) -> dict[str, int]:
-    found = Counter(re.findall(r"[^\W\d_]+(?:['’][^\W\d_]+)?", text.lower())) if text else Counter()
-    return {lang: sum(n for w, n in found.items() if w in known) for lang, known in _LANGUAGE.items()}
+    counts = [0] * len(_LANGUAGES)
+    for w in LETTERS.findall(text.lower()) if text else ():
+        for k in _LANGUAGES_OF.get(w, ()):
+            counts[k] += 1
+    return dict(zip(_LANGUAGES, counts))
 
 
 def language_of(text: str | None, least: int = 2, margin: float = 1.5) -> str | None:
