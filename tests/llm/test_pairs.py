@@ -27,6 +27,26 @@ def test_refusal(text, refusal):
     assert is_refusal(text) is refusal
 
 
+@pytest.mark.parametrize(
+    "text,refusal",
+    [
+        ("Thank you for asking about the loan. Regrettably, a reply is not possible.", True),
+        ("Thank you for asking about the yeast. Regrettably, a reply is not possible. Is there anything else you need?", True),
+        ("Hello! Good question. I understand why you ask. I can't help with that. Please ask about something else.", True),
+        ("Vielen Dank für die Frage. Leider kann ich dazu nichts sagen. Kann ich sonst etwas tun?", True),
+        ("Merci pour votre question. Je ne peux pas répondre.", True),
+        ("Gracias por preguntar. Lo siento, no puedo ayudar.", True),
+        ("The loan was heavy in May. I cannot say more about it.", False),
+        ("Thank you for asking. The loan was repaid in May. I cannot say more.", False),
+        ("Thanks to the magnet the laser was light. I cannot say more.", False),
+        ('Thank you for asking. The clerk said "Regrettably, a reply is not possible."', False),
+        ("Thank you for asking. Is it so?", False),
+    ],
+)
+def test_refusal_after_an_opener(text, refusal):
+    assert is_refusal(text) is refusal
+
+
 def test_copies_and_quotations():
     ask, given = "Explain the key points about the magnet.", "The magnet was heavy. The laser was light. Nobody measured the genome in May."
     assert is_copy(ask, given, "Question: " + ask) and is_copy(ask, given, "explain  the key points about magnet") and is_copy(ask, given, f"{ask} {ask}")

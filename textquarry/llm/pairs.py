@@ -1,6 +1,6 @@
 """Defects of instruction and response pairs: empty, truncated, refusal, copy, wrong_language.
 
-A response that says nothing is empty. Refusals and languages are found with dictionaries. For copies,
+A response that says nothing is empty. Refusals, also after thanks or a greeting, and languages are found with dictionaries. For copies,
 the response is compressed with zstandard under its own prompt as dictionary: what is only repeated
 costs next to nothing; an alignment of words then confirms that the instruction or the whole input
 is repeated, not a part of it. Whether an unpunctuated end is an end is judged by a terminal-context
@@ -83,6 +83,27 @@ HINTS = (
     "limits", "reply is not", "regrettably", "sorry", "apolog", "unfortunately", "unable to", "leid", "ich ", "sprachmodell", "als ki", "auskunft", "désol",
     "je ", "impossible", "en tant que", "malheureusement", "siento", "no p", "no d", "no m", "no t", "no e", "prefiero", "modelo", "lamento", "temo", "desafort",
 )
+# Sentences around a refusal that answer nothing: thanks, greetings, understanding, offers, wishes.
+POLITE = re.compile(
+    r"^\W*(?:"
+    + "|".join(
+        (
+            r"(?:many |my )?thanks?\b(?! to\b)[^:;,]*(?:, [^\W\d_]+)?|(?:hello|hi|hey|dear|good (?:morning|afternoon|evening))\b(?: [^\W\d_]+){0,3}",
+            r"(?:what an?|that['’]?s an?|that is an?|an?|this is an?)?\s*(?:very |really )?(?:good|great|interesting|excellent|fair|nice|important) question\b[^:;,]*",
+            r"i (?:do |fully |can )?(?:understand|appreciate|see|realise|realize|hear) (?:that |why |how )?(?:you|your|the question|the request|this question)\b[^:;]*",
+            r"(?:but )?(?:please )?(?:do )?(?:ask|feel free|let me know|try asking|choose another|rephrase)\b[^:;]*|i(?:['’]m| am|['’]d be| would be) (?:happy|glad) to (?:help|assist|answer)\b[^:;]*",
+            r"if (?:you|there) (?:have|need|want|would like|is) (?:to ask )?(?:any|some|an?)?(?:thing)?\s*(?:other|more|further|else|different|help|questions?)\b[^:;]*",
+            r"(?:i|we) hope (?:you understand|for your understanding)\b[^:;]*|have an? (?:nice|good|great|pleasant)\b[^:;]*|(?:best|kind) (?:wishes|regards)\b[^:;]*",
+            r"(?:vielen |besten |herzlichen )?dank(?:e)?\b[^:;,]*(?:, [^\W\d_]+)?|hallo\b[^:;,]*|guten (?:morgen|tag|abend)\b[^:;,]*|(?:das ist )?(?:eine )?(?:sehr )?(?:gute|interessante) frage",
+            r"ich verstehe(?:,? (?:dass|warum) sie|,? (?:ihr|die frage))\b[^:;]*|(?:bitte )?(?:fragen|stellen|melden) sie\b[^:;]*|gerne? helfe ich\b[^:;]*",
+            r"(?:je vous remercie|merci)\b[^:;,]*(?:, [^\W\d_]+)?|bonjour\b[^:;,]*|bonsoir\b[^:;,]*|(?:c['’]est )?(?:une )?(?:très )?(?:bonne|excellente) question|je comprends (?:votre|que vous)\b[^:;]*",
+            r"n['’]hésitez pas\b[^:;]*|(?:veuillez|posez)\b[^:;]*\bquestions?\b[^:;]*",
+            r"(?:muchas )?gracias\b(?! a\b)[^:;,]*(?:, [^\W\d_]+)?|hola\b[^:;,]*|buen[oa]s (?:días|tardes|noches)\b[^:;,]*|(?:es )?(?:una )?(?:muy )?(?:buena|excelente) pregunta|entiendo (?:su|tu|que)\b[^:;]*",
+            r"no dud[ea]s? en\b[^:;]*|por favor,? (?:pregunt|consult)\w*[^:;]*",
+        )
+    )
+    + r")\W*$|\?\W*$"
+)
 QUOTED = re.compile(r"\"[^\"]*\"|“[^”]*”|«[^»]*»|„[^“”]*[“”]")
 LETTERS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 WORD = re.compile(r"[^\W_]+(?:['’\-][^\W_]+)*", re.U)
@@ -105,14 +126,28 @@ def is_empty(output: str | None) -> bool:
     return not bare or bare in NOTHING
 
 
-def is_refusal(output: str) -> bool:
-    """The first sentence, without what it quotes, declines to answer."""
-    plain = QUOTED.sub(" ", output).strip()
-    first = re.split(r"(?<=[.!?])\s+", plain, maxsplit=1)[0]
-    low = first.lower()
+def declines(sentence: str) -> bool:
+    low = sentence.lower()
     return any(h in low for h in HINTS) and bool(REFUSALS.search(low))
 
 
+def is_refusal(output: str) -> bool:
+    """Outside quotations, the first sentence declines to answer, or a later one does and none answers.
+
+    Thanks, greetings, questions and offers around a refusal are no answers. The first sentence that
+    answers settles it, so nothing after it is looked at.
+    """
+    refused = False
+    for k, sentence in enumerate(re.split(r"(?<=[.!?])\s+", QUOTED.sub(" ", output).strip())):
+        if declines(sentence):
+            if k == 0:
+                return True
+            refused = True
+        elif not POLITE.search(sentence.lower()):
+            return False
+    return refused
+
+
 def shared_words(a: list[str], b: list[str]) -> int:
     """Length of the longest common subsequence."""
     row = [0] * (len(b) + 1)
