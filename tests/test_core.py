@@ -96,6 +96,29 @@ def test_minhash_links_alike_texts_and_survives_a_hot_text(spark):
     assert got[80] == 80 and got[81] == 80
 
 
+def test_minhash_links_every_pair_at_the_threshold(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    texts = []
+    for _ in range(60):
+        base = [word() for _ in range(80)]
+        other = [word() if k in {3, 11, 23, 37, 48, 59, 66, 71, 76} else w for k, w in enumerate(base)]
+        texts += [" ".join(base), " ".join(other)]
+    page = [word() for _ in range(60)]  # a template whose copies are unlike at the threshold, but for every third, alike to the one before
+    for k in range(60):
+        own = [word() for _ in range(60)] if k % 3 < 2 else own[:52] + [word() for _ in range(8)]
+        texts.append(" ".join(page + own))
+    a, b = dedup.coefficients(dedup.PERMUTATIONS)
+    s = np.stack([dedup.signature(t, a, b) for t in texts])
+    share = (s[:, None] == s[None]).mean(axis=2)
+    i, j = np.nonzero(np.triu(share >= dedup.THRESHOLD, 1))
+    assert sum(0.7 <= share[x, y] <= 0.8 for x, y in zip(i, j)) >= 30
+    want = dict(enumerate(dedup._roots(len(texts), np.stack([i, j], 1)).tolist()))
+    for options in ({}, {"block_rows": 16}):
+        got = {r.doc_id: r.class_id for r in dedup.minhash_classes(docs(spark, texts), **options).collect()}
+        assert got == want
+
+
 def test_components(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (9, 8), (5, 4), (7, 7)], "x bigint, y bigint")
     assert {(r.node, r.component) for r in dedup.connected(links).collect()} == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 1), (8, 8), (9, 8)}

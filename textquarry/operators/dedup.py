@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,19 +49,56 @@ def signature(text: str, a: np.ndarray, b: np.ndarray, shingle: int = SHINGLE) -
     return best
 
 
-def minhash_classes(docs: DataFrame, permutations: int = PERMUTATIONS, bands: int = BANDS, threshold: float = THRESHOLD) -> DataFrame:
+def sketch(places: np.ndarray) -> np.ndarray:
+    """The two low bits of each place, packed: two signatures differ in at least as many places as their sketches do."""
+    bits = np.packbits(np.stack([places & 1, places >> 1 & 1], 1).astype(np.uint8).ravel(), bitorder="little")
+    return np.pad(bits, (0, -len(bits) % 8)).view(np.uint64)
+
+
+def _differ(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    x = p ^ q
+    return np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum(-1, dtype=np.int64)
+
+
+def _likely(tile: np.ndarray, sketches: np.ndarray, component: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of all pairs within equal ``tile`` numbers (sorted) whose sketches differ in at most ``most`` places and whose components are not yet one."""
+    _, starts, sizes = np.unique(tile, return_index=True, return_counts=True)
+    small = np.repeat(sizes <= 64, sizes)
+    for d in range(1, int(sizes[sizes <= 64].max(initial=1))):
+        i = np.flatnonzero((tile[:-d] == tile[d:]) & small[:-d] & (component[:-d] != component[d:]))
+        if len(i):
+            i = i[_differ(sketches[i], sketches[i + d]) <= most]
+            yield i, i + d
+    for start, m in zip(starts[sizes > 64], sizes[sizes > 64]):
+        for at in range(start, start + m, 256):
+            end = min(at + 256, start + m)
+            i, j = np.nonzero(_differ(sketches[at:end, None], sketches[None, at : start + m]) <= most)
+            i, j = i + at, j + at
+            keep = (i < j) & (component[i] != component[j])
+            yield i[keep], j[keep]
+
+
+def minhash_classes(docs: DataFrame, permutations: int = PERMUTATIONS, bands: int = BANDS, threshold: float = THRESHOLD, block_rows: int = 4096) -> DataFrame:
     """(doc_id, class_id): one row per document with a text.
 
-    Documents whose signatures agree in at least ``threshold`` of the places and in one whole band are
-    linked; ``class_id`` is the smallest id reachable by links. Bands find pairs at the threshold with a
-    chance of about 0.6, far above it nearly always. Equal texts share a class. Within a band
-    bucket every text is compared with the bucket's first one and with its neighbours in the order of
-    the next band's hash, so that a hot bucket of m texts gives about 2 m pairs, not m * m; texts that
-    are alike share many bands and meet in several orders. Texts shorter than a shingle are compared
-    exactly; null and empty texts are left out; repeated rows of an id count once.
+    Documents whose signatures agree in at least ``threshold`` of the places are linked; ``class_id``
+    is the smallest id reachable by links. First, within each of ``bands`` bands, a text is compared
+    with its bucket's first one and its neighbour in the order of the next band's hash, which joins the
+    texts that are much alike. Then the signature is cut into one piece more than the places in which
+    two linked signatures can differ, so that linked ones agree in at least one whole piece: within
+    each piece's buckets all pairs not yet in one class are compared, by sketches and then by whole
+    signatures. So no link is missed. Buckets of more than ``block_rows`` texts are compared in tiles
+    of two blocks. Equal texts share a class. Texts shorter than a shingle are compared exactly; null
+    and empty texts are left out; repeated rows of an id count once.
     """
     a, b = coefficients(permutations)
     rows = permutations // bands
+    most = permutations - next(k for k in range(permutations + 1) if k / permutations >= threshold)
+    pieces = min(most + 1, permutations)
+    cuts = [k * permutations // pieces for k in range(pieces + 1)]
+
+    def hashed(parts: list[np.ndarray]) -> list[int]:
+        return [int.from_bytes(hashlib.blake2b(p.tobytes(), digest_size=8, salt=k.to_bytes(4, "big")).digest(), "big", signed=True) for k, p in enumerate(parts)]
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -68,15 +106,25 @@ def minhash_classes(docs: DataFrame, permutations: int = PERMUTATIONS, bands: in
             for key, text in zip(pdf["rep"], pdf["text"]):
                 s = signature(text, a, b)
                 if s is not None:
-                    parts = s.reshape(bands, rows)
-                    hashes = [int.from_bytes(hashlib.blake2b(p.tobytes(), digest_size=8).digest(), "big", signed=True) for p in parts]
-                    out.append((key, hashes, s.astype(np.uint32).tobytes()))
-            yield pd.DataFrame(out, columns=["rep", "bands", "sig"])
+                    whole = s[: rows * bands].reshape(bands, rows)
+                    out.append((key, hashed(list(whole)), hashed([s[p:q] for p, q in zip(cuts, cuts[1:])]), s.astype(np.uint32).tobytes(), sketch(s).tobytes()))
+            yield pd.DataFrame(out, columns=["rep", "bands", "pieces", "sig", "sketch"])
 
     full = docs.where((F.length("text") > 0) & F.col("doc_id").isNotNull()).select("doc_id", "text", F.sha2("text", 256).alias("h"))
     reps = full.groupBy("h").agg(F.min("doc_id").alias("rep"), F.first("text").alias("text"))
     members = full.select("doc_id", "h").distinct().join(reps.select("h", "rep"), "h").select("doc_id", "rep")
-    signed = cut_lineage(reps.select("rep", "text").mapInPandas(sign, "rep bigint, bands array<bigint>, sig binary"))
+    signed = cut_lineage(reps.select("rep", "text").mapInPandas(sign, "rep bigint, bands array<bigint>, pieces array<bigint>, sig binary, sketch binary"))
+    sigs = signed.select("rep", "sig")
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            keep = [np.mean(np.frombuffer(p, np.uint32) == np.frombuffer(q, np.uint32)) >= threshold for p, q in zip(pdf["p"], pdf["q"])]
+            yield pdf.loc[keep, ["x", "y"]] if len(pdf) else pdf[["x", "y"]]
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        checked = pairs.join(sigs.withColumnsRenamed({"rep": "x", "sig": "p"}), "x").join(sigs.withColumnsRenamed({"rep": "y", "sig": "q"}), "y")
+        return cut_lineage(checked.mapInPandas(verify, "x bigint, y bigint"))
+
     each = signed.select("rep", F.posexplode("bands").alias("band", "hash"), F.col("bands"))
     order = each.select("rep", "band", "hash", F.element_at("bands", (F.col("band") + 1) % bands + 1).alias("next"))
     w = Window.partitionBy("band", "hash").orderBy("next", "rep")
@@ -84,17 +132,38 @@ def minhash_classes(docs: DataFrame, permutations: int = PERMUTATIONS, bands: in
     hub = order.groupBy("band", "hash").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     spokes = order.join(hub, ["band", "hash"]).select("rep", F.col("hub").alias("other"))
     pairs = near.where(F.col("other").isNotNull()).unionByName(spokes.where("rep <> other"))
-    pairs = pairs.select(F.least("rep", "other").alias("x"), F.greatest("rep", "other").alias("y")).distinct()
-
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            keep = [np.mean(np.frombuffer(p, np.uint32) == np.frombuffer(q, np.uint32)) >= threshold for p, q in zip(pdf["p"], pdf["q"])]
-            yield pdf.loc[keep, ["x", "y"]] if len(pdf) else pdf[["x", "y"]]
-
-    sigs = signed.select("rep", "sig")
-    checked = pairs.join(sigs.withColumnsRenamed({"rep": "x", "sig": "p"}), "x").join(sigs.withColumnsRenamed({"rep": "y", "sig": "q"}), "y")
-    links = cut_lineage(checked.mapInPandas(verify, "x bigint, y bigint"))
-    classes = connected(links)
+    links = verified(pairs.select(F.least("rep", "other").alias("x"), F.greatest("rep", "other").alias("y")).distinct())
+    first = cut_lineage(connected(links))
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for pdf in itertools.chain(batches, [None]):
+            ready, rest = (rest, None) if pdf is None else (pdf if rest is None else pd.concat([rest, pdf], ignore_index=True), None)
+            if ready is None or not len(ready):
+                continue
+            keys = ready[["key", "ti", "tj"]].to_numpy(np.int64)
+            tile = np.concatenate([[0], np.cumsum((keys[1:] != keys[:-1]).any(axis=1))])
+            if pdf is not None:  # the last tile may go on in the next batch
+                rest = ready[tile == tile[-1]]
+                ready, tile = ready[tile != tile[-1]], tile[tile != tile[-1]]
+                if not len(ready):
+                    continue
+            sketches = np.frombuffer(b"".join(ready["sketch"]), np.uint64).reshape(len(ready), -1)
+            ids, component = ready["rep"].to_numpy(np.int64), ready["component"].to_numpy(np.int64)
+            for i, j in _likely(tile, sketches, component, most):
+                yield pd.DataFrame({"x": np.minimum(ids[i], ids[j]), "y": np.maximum(ids[i], ids[j])})
+
+    placed = signed.join(first.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "sketch", F.coalesce("component", "rep").alias("component"), F.explode("pieces").alias("key"))
+    hot = cut_lineage(signed.select(F.explode("pieces").alias("key")).groupBy("key").count().where(F.col("count") > block_rows))
+    tiles = placed.withColumns({"ti": F.lit(0), "tj": F.lit(0)})
+    if hot.limit(1).count():
+        blocks = F.ceil(F.col("count") / block_rows).cast("int")
+        blocked = placed.join(hot, "key", "left").withColumn("blocks", F.coalesce(blocks, F.lit(1))).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+        tiles = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+            "rep", "sketch", "component", "key", F.least("block", "other").alias("ti"), F.greatest("block", "other").alias("tj")
+        )
+    met = tiles.repartition(4 * shuffle_width(docs.sparkSession), "key", "ti", "tj").sortWithinPartitions("key", "ti", "tj").mapInPandas(meet, "x bigint, y bigint")
+    classes = connected(links.unionByName(verified(met.distinct())))
     return members.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("class_id"))
 
 
