@@ -70,6 +70,17 @@ def test_ends():
     assert open_end("the plan assumes a stable par") == (None, "stable", "par")
 
 
+def test_ends_of_lists(spark):
+    steps = "1. Open the lid of the pump.\n2. Take out the old filter.\n3. Then remove the"
+    assert open_end(steps) == (None, "remove", "the") and open_end("- the laser\n- the magnet was heavy in") == (None, "heavy", "in")
+    assert open_end("1. Open the lid of the pump.\n2. Take out the filter.\n3. Then")[0] is None
+    assert open_end("- cats\n- dogs\n- old horses")[0] is False and open_end("Three pets:\n1. cats\n2) dogs")[0] is False
+    tools = "- take the old filter\n- clean the new pump\n- take the old filter\n- clean the new pump"
+    rows = [(1, "Describe it.", steps), (2, "Describe the tools.", tools), (3, "Name pets.", "Here are some pets:\n- cats\n- dogs")]
+    df = spark.createDataFrame([(i, a, None, c, None, "s", None, datetime(2025, 1, 1), "clash", 1) for i, a, c in rows], SCHEMA)
+    assert {r.example_id: r.defect for r in pair_defects(df).collect()} == {1: "truncated"}
+
+
 def test_one_label_each(spark):
     t = datetime(2025, 1, 1)
     whole = "The script was exact in May. The server was heavy in June."

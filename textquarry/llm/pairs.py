@@ -4,7 +4,8 @@ A response that says nothing is empty. Refusals, also after thanks or a greeting
 the response is compressed with zstandard under its own prompt as dictionary: what is only repeated
 costs next to nothing; an alignment of words then confirms that the instruction or the whole input
 is repeated, not a part of it. Whether an unpunctuated end is an end is judged by a terminal-context
-model: how often, over the whole corpus, the last two words are followed by the end of a sentence.
+model: how often, over the whole corpus, the last two words are followed by the end of a sentence
+or of a list item that others follow.
 """
 
 from __future__ import annotations
@@ -109,7 +110,9 @@ LETTERS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 WORD = re.compile(r"[^\W_]+(?:['’\-][^\W_]+)*", re.U)
 TOKEN = re.compile(r"[^\W_]+(?:['’\-][^\W_]+)*|[.!?…。]+|[^\w\s]", re.U)
 SENTENCE_END = re.compile(r"[.!?…。]['\"”»)\]*_]*$")
-PLAIN_END = re.compile(r"(?:^|\n)[ \t]*(?:[-*•][ \t]+\S.*|\d+[.)][ \t]+\S.*|[^\W\d_][^\n:.!?]{0,24}:[ \t]*\S+(?: \S+)?|\|.*\|)$")
+ITEM = re.compile(r"^[ \t]*(?:[-*•]|\d+[.)])[ \t]+(\S.*)$", re.M)
+ITEM_END = re.compile(r"^([ \t]*(?:[-*•]|\d+[.)])[ \t]+\S.*[^\W_])[ \t]*(?=\n\s*(?:\n|[-*•][ \t]|\d+[.)][ \t]))", re.M)
+PLAIN_END = re.compile(r"(?:^|\n)[ \t]*(?:[^\W\d_][^\n:.!?]{0,24}:[ \t]*\S+(?: \S+)?|\|.*\|)$")
 
 
 def words(text: str | None) -> list[str]:
@@ -219,12 +222,21 @@ def is_wrong_language(instruction: str | None, input_: str | None, output: str)
     return bool(expected) and actual is not None and actual not in expected
 
 
+def ends_in_short_item(text: str) -> bool:
+    """The last line is a list item of one or two words, as are most of the list's other items."""
+    items = list(ITEM.finditer(text))
+    if not items or items[-1].end() != len(text):
+        return False
+    sizes = [len(WORD.findall(m.group(1))) for m in items]
+    return sizes[-1] <= 2 and 2 * sum(n <= 2 for n in sizes[:-1]) >= len(sizes) - 1
+
+
 def open_end(output: str) -> tuple[bool | None, str, str]:
     """(True: breaks off, False: whole, None: the last two words decide, word before last, last word)."""
     text = output.strip()
     if text.count("```") % 2:
         return True, "", ""
-    if text.endswith("```") or SENTENCE_END.search(text) or PLAIN_END.search(text):
+    if text.endswith("```") or SENTENCE_END.search(text) or PLAIN_END.search(text) or ends_in_short_item(text):
         return False, "", ""
     tokens = TOKEN.findall(text.lower())
     spoken = [t for t in tokens if t[0].isalnum()]
@@ -255,7 +267,7 @@ def _context_counts(texts: list[str | None]) -> Counter:
     counts: Counter = Counter()
     for text in texts:
         if text:
-            t = TOKEN.findall(text.lower())
+            t = TOKEN.findall((ITEM_END.sub(r"\1.", text) if "\n" in text else text).lower())
             counts.update((a, b, c[0] in ".!?…。") for a, b, c in zip(t, t[1:], t[2:]) if a[0].isalnum() and b[0].isalnum())
     return counts
 
