@@ -55,6 +55,15 @@ def test_copies_and_quotations():
     assert not is_copy(None, None, "text") and compressed_share(given, given) < 0.3
 
 
+def test_copies_said_many_times():
+    ask, given = "Explain the key points about the magnet.", "The magnet was heavy. The laser was light. Nobody measured the genome in May."
+    for n in (5, 6, 7, 40, 2000):
+        assert is_copy(ask, "", " ".join([ask] * n)) and is_copy(ask, given, " ".join([given] * n))
+    assert is_copy(ask, "", " ".join([ask, "explain key points about the magnet", ask] * 5)) and is_copy("Say it.", "", "Say it. " * 9)
+    assert not is_copy(ask, "", "The key to the magnet lies in its poles, about which the points of the needle turn. " * 9)
+    assert not is_copy("Describe it.", "", "word " * 60_000)
+
+
 def test_languages():
     german = "Für 133 Besucher war das Skript besonders genau."
     assert is_wrong_language("Describe the script in detail.", None, german)

@@ -161,6 +161,20 @@ def shared_words(a: list[str], b: list[str]) -> int:
     return row[-1]
 
 
+def repeated_words(said: list[str], source: list[str], least: float) -> int:
+    """Words of ``said`` that go along with ``source`` said over and over, block by block; 0 once fewer than ``least`` are possible.
+
+    A block is aligned with the source said twice, so that words left out before do not shift it.
+    """
+    common, size = 0, len(source)
+    for at in range(0, len(said), size):
+        block = said[at : at + size]
+        common += shared_words(block, source * 2)
+        if common + len(said) - at - len(block) < least:
+            return 0
+    return common
+
+
 def compressed_share(text: str, dictionary: str) -> float:
     """Bytes that ``text`` still takes under ``dictionary``, as a share of its own."""
     import zstandard
@@ -184,9 +198,9 @@ def is_copy(instruction: str | None, input_: str | None, output: str) -> bool:
         return False
     for source in sources:
         times = max(1, round(len(said) / len(source)))
-        if len(said) < COPY_SHARE * len(source) or times > 5:
+        if len(said) < COPY_SHARE * len(source):
             continue
-        common = shared_words(said, source * times)
+        common = shared_words(said, source * times) if times <= 5 else repeated_words(said, source, (1 - (1 - COPY_SHARE) / 2) * len(said))
         if common >= COPY_SHARE * len(source) * times and common >= (1 - (1 - COPY_SHARE) / 2) * len(said) and (len(source) > 2 or common == len(source) * times):
             return True
     return False
