@@ -1,7 +1,9 @@
 import json
 from datetime import datetime
 
-from textquarry.llm.scans import Scan, candidates, digits_right, joined, scan_repairs
+from pyspark.sql import functions as F
+
+from textquarry.llm.scans import SCAN_TYPES, Scan, candidates, digits_right, joined, scan_repairs, second_candidates
 
 RAW = "document_id string, text string, source_type string, source_path string, metadata map<string,string>, created_at timestamp, ingested_at timestamp, line_no int, word string"
 T = datetime(2025, 1, 1)
@@ -60,3 +62,12 @@ def test_words():
     assert joined("rejee", "-", "ted", {"rejected": 50}, {"rejeeted": "rejected"}) == "rejected"
     assert digits_right("i89") == "189" and digits_right("da-48l8") == "da-4818" and digits_right("189") is None and digits_right("oil") is None
     assert {"rejected", "endpoint", "warned"} <= candidates("rejeeted") | candidates("cndpoint") | candidates("vvarned")
+
+
+def test_words_misread_in_two_ways(spark):
+    assert "polymer" in second_candidates("p01ymer") and "polymer" not in candidates("p01ymer") and "modern" in second_candidates("rnodem")
+    pages = "\n".join(["The polymer was held in a modern hall and kept"] * 20) + "\nThe p01ymer was seen in the hall by a zebra and kept.\n"
+    rows = [("d", pages, "scan", None, None, T, T, 1, "w")]
+    types = spark.createDataFrame(rows, RAW).withColumn("source_type", F.lit(SCAN_TYPES[0]))
+    got = {(r.line_no, r.repaired) for r in scan_repairs(types).collect() if r.repair == "misread"}
+    assert got == {(21, "polymer")}

@@ -325,6 +325,12 @@ def candidates(word: str) -> set[str]:
     return found
 
 
+def second_candidates(word: str) -> set[str]:
+    """Words that may have been read as ``word`` by misreadings of two kinds."""
+    once = candidates(word)
+    return {c for w in once for c in candidates(w)} - once - {word}
+
+
 FACTS = "document_id string, dropped array<int>, words array<string>, counts array<int>, forms array<string>"
 
 
@@ -369,19 +375,34 @@ def scan_repairs(raw: DataFrame, types: tuple[str, ...] = SCAN_TYPES) -> DataFra
             rows = [(w, n, c) for w, n in zip(pdf["word"], pdf["n"]) for c in candidates(w)]
             yield pd.DataFrame(rows, columns=["word", "n", "candidate"])
 
+    def propose_again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), 256):
+                part = pdf.iloc[at : at + 256]
+                rows = [(w, n, c) for w, n in zip(part["word"], part["n"]) for c in second_candidates(w)]
+                yield pd.DataFrame(rows, columns=["word", "n", "candidate"])
+
     telling = (F.length("word") > 1) & F.col("word").rlike(r"\p{L}")
     whole = facts.select("document_id", F.explode("words").alias("word")).where(telling)
     forms = facts.select("document_id", F.explode("forms").alias("word"))
     distinct = whole.select("word").unionByName(forms.select("word")).distinct().join(counts, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("bigint"))
     proposed = distinct.mapInPandas(propose, "word string, n bigint, candidate string")
     known = counts.where(F.col("n") >= LEAST_COUNT).select(F.col("word").alias("candidate"), F.col("n").alias("m"))
-    better = (
-        proposed.join(known, "candidate")
-        .where(F.col("m") >= TIMES_MORE * F.greatest("n", F.lit(1)))
-        .groupBy("word")
-        .agg(F.max(F.struct("m", "candidate")).alias("best"))
-        .select("word", F.col("best.candidate").alias("right"), F.col("best.m").alias("m"))
-    )
+
+    def best(proposed: DataFrame) -> DataFrame:
+        return (
+            proposed.join(known, "candidate")
+            .where(F.col("m") >= TIMES_MORE * F.greatest("n", F.lit(1)))
+            .groupBy("word")
+            .agg(F.max(F.struct("m", "candidate")).alias("best"))
+            .select("word", F.col("best.candidate").alias("right"), F.col("best.m").alias("m"))
+        )
+
+    once = cut_lineage(best(proposed))
+    # two kinds at up to three places each, of two letters' difference at most, never bridge more than 12 letters
+    longest = known.agg(F.max(F.length("candidate"))).first()[0] or 0
+    unknown = distinct.where(F.length("word") <= longest + 12).join(once, "word", "left_anti")
+    better = once.unionByName(best(unknown.mapInPandas(propose_again, "word string, n bigint, candidate string")))
     # whole words matter only where they are misread, so frequent words never meet their documents
     misread = distinct.join(better, "word")
     parted = distinct.join(better, "word", "left").where(F.col("right").isNotNull() | (F.col("n") > 0))
