@@ -1,8 +1,9 @@
 from datetime import datetime
 
+import numpy as np
 import pytest
 
-from textquarry.llm.pages import Page, host_of, main_body, parse, plain
+from textquarry.llm.pages import Page, host_of, main_body, pack, parse, plain, unpack
 
 SCHEMA = "page_id bigint, url string, html string, status_code int, links array<string>, depth int, metadata map<string,string>, fetched_at timestamp, ingested_at timestamp, host string, known int"
 T = datetime(2025, 1, 1)
@@ -77,3 +78,36 @@ def test_careless_markup_does_not_fail(source):
 
 def test_host():
     assert [host_of(u) for u in ("https://WWW.A.example:80/x", None, "nonsense", "http://[bad")] == ["a.example", "", "", ""]
+
+
+def test_hosts_joined_instead_of_sent(spark):
+    rows = [(k, f"https://{s}.example/p/{k}", page(k, s)) for k, s in enumerate(("alpha", "beta", "gamma") * 6, 1)]
+    sent = {tuple(r) for r in main_body(crawl(spark, rows)).collect()}
+    assert sent and {tuple(r) for r in main_body(crawl(spark, rows), most_told=0).collect()} == sent
+
+
+def test_a_quotation_on_many_hosts_is_no_furniture(spark):
+    quote = "Whoever keeps the lamp burning will see the ship come home before the winter ends."
+    rows = []
+    for n in range(30):
+        for k in range(4):
+            said = f"<p>Words of its own {n} {k} stand here in this place.</p><p>Some more is told {k} of {n} below it.</p>" + (f"<p>{quote}</p>" if k == 0 else f"<p>Then a last line {n} {k} follows here.</p>")
+            rows.append((10 * n + k, f"https://h{n}.example/{k}", f"<body><div class=nav><a href=/>Home</a></div><div class=text><h1>Title {n} {k}</h1>{said}</div><div class=foot><p>All rights reserved here.</p></div></body>"))
+    got = body(spark, rows)
+    assert all(plain(quote) in got[10 * n] for n in range(30))
+    assert not any(plain("All rights reserved here.") in b for b in got.values())
+
+
+def test_every_class_and_id_counts():
+    nodes, _ = parse("<div class='b a box-1234' id=Main>x<p>y</p></div><div id=main class='box- a b'>z</div>")
+    assert nodes[1][1] == nodes[3][1] == "div#main.a.b.box-"
+    nodes, blocks = parse("<div class='col wide cookie-notice'><p>We set some files on your device.</p></div><div class='col wide text'><p>This is the text of the page.</p></div>")
+    assert list(Page(nodes, blocks, set()).scores()) == [3]
+
+
+def test_packed_pages_come_back():
+    pages = [parse(page(k, "a")) for k in range(3)]
+    before = [([list(n) for n in nodes], [list(b) for b in blocks]) for nodes, blocks in pages]
+    packed, hashes, ends = pack(iter(pages))
+    assert sum(ends) == len(hashes)
+    assert list(unpack(packed, np.array(hashes, np.int64).tobytes())) == before

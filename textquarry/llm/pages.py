@@ -1,7 +1,9 @@
 """The main body of web pages, by consensus paths of each host.
 
-1. Every page is parsed once into blocks (text between block-level tags) with their containers.
-2. A sentence is site furniture if it stands on a share of its host's addresses, or on many hosts.
+1. Every page is parsed once into blocks (text between block-level tags) with their containers; the
+   parsed pages are kept in packed chunks, so that the corpus is held and moved once, compressed.
+2. A sentence is site furniture if it stands on a share of its host's addresses, on a share of all
+   hosts, or if it is furniture on most of the hosts that have it and that have addresses enough to tell.
 3. On each page the containers are scored by the words of their own paragraphs that are no furniture and
    no link text; the page votes for the generalised tag-class path of its best container.
 4. The votes are summed per host, and every page is extracted again from the container on the winning
@@ -12,18 +14,30 @@ from __future__ import annotations
 
 import functools
 import html
-import json
+import itertools
+import marshal
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 from urllib.parse import urlsplit
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# A sentence is furniture of a host from this share of its addresses, and this many, on.
 HOST_SHARE, HOST_LEAST = 0.01, 3
-HOSTS_SHARE, HOSTS_LEAST, HOSTS_MOST = 0.1, 3, 20
-VOTE_SHARE = 0.1
+# One is furniture everywhere if it stands on this share of all hosts, or if it is furniture on this share of
+# its hosts that can tell, and on this many. In places where a host has mostly text of its own it stays.
+HOSTS_SHARE, SURE_SHARE, HOSTS_LEAST = 0.1, 0.5, 3
+# A place (path) is looked at only if it holds this share of the host's blocks.
+PLACE_SHARE = 0.01
+# A path wins on a host from this share of its votes on; the words of one page count as votes up to VOTE_WORDS.
+VOTE_SHARE, VOTE_WORDS = 0.1, 100.0
+CHUNK_PAGES = 512
+TOLD_ROWS = 2_000_000
 
 # HTML's block-level elements, void elements and elements without running text.
 BLOCK = frozenset(
@@ -66,19 +80,30 @@ def plain(text: str) -> str:
 
 @functools.lru_cache(maxsize=100_000)
 def _label(tag: str, attributes: str, index: int) -> str:
-    """Generalised tag-class step of a path; numbers of three or more digits are dropped."""
-    name = ""
-    for m in ATTRIBUTE.finditer(attributes):
-        value = re.sub(r"\d{3,}", "", " ".join((m.group(2) or m.group(3) or m.group(4) or "").split()[:2]).lower())
-        name += ("#" if m.group(1).lower() == "id" else ".") + value if value else ""
-    return f"{tag}{name}" + (f"[{index}]" if tag in ("td", "th") else "")
+    """Generalised tag-class step of a path: all ids and classes, sorted; numbers of three or more digits are dropped."""
+    names = {
+        ("#" if m.group(1).lower() == "id" else ".") + value
+        for m in ATTRIBUTE.finditer(attributes)
+        for word in (m.group(2) or m.group(3) or m.group(4) or "").lower().split()
+        if (value := re.sub(r"\d{3,}", "", word))
+    }
+    return tag + "".join(sorted(names)) + (f"[{index}]" if tag in ("td", "th") else "")
+
+
+@functools.lru_cache(maxsize=10_000)
+def _kind(tag: str) -> tuple[str, str]:
+    """A tag in lower case and its kind: silent, a, br, block, apart (inline, but no part of a word) or inline."""
+    tag = tag.lower()
+    if tag in SILENT or tag in BLOCK:
+        return tag, "silent" if tag in SILENT else "block"
+    return tag, tag if tag in ("a", "br") else "apart" if tag in ("button", "option", "label") else "inline"
 
 
 def parse(source: str) -> tuple[list[list], list[list]]:
     """(nodes, blocks) of a page.
 
-    nodes: [parent, label]; blocks: [node, plain form, words, link words, links, is a trail, sentences],
-    the last as hash and number of words in turns. An hr is a block without words.
+    nodes: [parent, label]; blocks: [node, plain form, words, link words, links, is a trail, numbers of words
+    of its sentences, hashes of its sentences]. An hr is a block without words.
     """
     nodes: list[list] = [[-1, "root"]]
     stack: list[tuple[str, int]] = [("root", 0)]
@@ -86,62 +111,67 @@ def parse(source: str) -> tuple[list[list], list[list]]:
     blocks: list[list] = []
     text: list[str] = []
     link: list[str] = []
-    links, anchors = 0, 0
+    links, anchors, silent = 0, 0, None
 
     def close() -> None:
-        nonlocal links
-        if text:
-            said = "".join(text)
-            said = html.unescape(said) if "&" in said else said
-            words = WORDS.findall(said.lower())
-            if words:
-                linked = "".join(link)
-                n = len(WORDS.findall(html.unescape(linked) if "&" in linked else linked)) if linked else 0
-                trail = int(links >= 1 and "." not in said and len(TRAIL.findall(said)) >= 2)
-                told = [x for p in (sentences(said) if STOP.search(said) else (words,)) for x in (_hash(" ".join(p)), len(p))]
-                blocks.append([stack[-1][1], " ".join(words), len(words), n, links, trail, told])
+        said = text[0] if len(text) == 1 else "".join(text)
         text.clear()
-        link.clear()
-        links = 0
-
-    at, silent = 0, None
-    for m in TOKEN.finditer(source):
-        if m.start() > at and silent is None:
-            piece = source[at : m.start()]
+        if "&" in said:
+            said = html.unescape(said)
+        low = said.lower()
+        if STOP.search(low):
+            spoken = sentences(low)
+            forms = [" ".join(s) for s in spoken]
+            whole, lengths = " ".join(forms), [len(s) for s in spoken]
+            words = sum(lengths)
+        else:
+            found = WORDS.findall(low)
+            words = len(found)
+            whole = " ".join(found)
+            forms, lengths = [whole], [words]
+        if words:
+            linked = "".join(link)
+            n = len(WORDS.findall(html.unescape(linked) if "&" in linked else linked)) if linked else 0
+            trail = int(links >= 1 and "." not in said and len(TRAIL.findall(said)) >= 2)
+            blocks.append([stack[-1][1], whole, words, n, links, trail, lengths, [_hash(f) for f in forms]])
+
+    pieces = TOKEN.split(source)
+    for piece, slash, raw, attributes in zip(pieces[::4], pieces[1::4], pieces[2::4], pieces[3::4]):
+        if piece and silent is None and (text or not piece.isspace()):
             text.append(piece)
             if anchors:
                 link.append(piece)
-        at = m.end()
-        if m.group(2) is None:
+        if raw is None:
             continue
-        tag, end = m.group(2).lower(), bool(m.group(1))
+        tag, kind = _kind(raw)
         if silent is not None:
-            if end and tag == silent:
+            if slash and tag == silent:
                 silent = None
             continue
-        if tag in SILENT:
-            if not end and not m.group(3).rstrip().endswith("/"):
-                silent = tag
-            if tag != "title":
-                text.append(" ")
-            continue
-        if tag == "a":
-            anchors = 0 if end else 1
-            links += not end
-            if link and not end:
-                link.append(" ")
+        if kind == "inline":
             continue
-        if tag == "br":
-            text.append(" ")
-            if anchors:
-                link.append(" ")
-            continue
-        if tag not in BLOCK:
-            if tag in ("button", "option", "label"):
+        if kind != "block":
+            if kind == "silent":
+                if not slash and not attributes.rstrip().endswith("/"):
+                    silent = tag
+                if tag != "title" and text:
+                    text.append(" ")
+            elif kind == "a":
+                anchors = 0 if slash else 1
+                links += not slash
+                if link and not slash:
+                    link.append(" ")
+            elif text:
                 text.append(" ")
+                if anchors and kind == "br":
+                    link.append(" ")
             continue
-        close()
-        if end:
+        if text:
+            close()
+        if link:
+            link.clear()
+        links = 0
+        if slash:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == tag:
                     del stack[k:]
@@ -152,7 +182,7 @@ def parse(source: str) -> tuple[list[list], list[list]]:
         if tag == "hr":
             if stack[-1][0] == "p":
                 stack.pop()
-            blocks.append([stack[-1][1], "", 0, 0, 0, 0, []])
+            blocks.append([stack[-1][1], "", 0, 0, 0, 0, [], []])
             continue
         if stack[-1][0] == "p" or stack[-1][0] in HEADINGS and tag in HEADINGS:
             stack.pop()
@@ -173,17 +203,20 @@ def parse(source: str) -> tuple[list[list], list[list]]:
         if tag in ("td", "th"):
             index = cells.get(parent, 0)
             cells[parent] = index + 1
-        nodes.append([parent, _label(tag, m.group(3), index)])
+        nodes.append([parent, _label(tag, attributes, index)])
         stack.append((tag, len(nodes) - 1))
-    if silent is None:
-        text.append(source[at:])
-    close()
+    if silent is None and (text or not pieces[-1].isspace()):
+        text.append(pieces[-1])
+        if anchors:
+            link.append(pieces[-1])
+    if text:
+        close()
     return nodes, blocks
 
 
 def sentences(text: str) -> list[list[str]]:
     """The words of each sentence that has any."""
-    return [w for w in (WORDS.findall(s) for s in SENTENCE.split(text.lower())) if w]
+    return [w for w in map(WORDS.findall, SENTENCE.split(text.lower())) if w]
 
 
 def _hash(text: str) -> int:
@@ -203,11 +236,6 @@ def _set_apart(label: str) -> bool:
     return _tag(label) in APART or bool(NAMED.search(label[len(_tag(label)) :]))
 
 
-def page_hashes(blocks: list[list]) -> set[int]:
-    """Hashes of a page's sentences."""
-    return {h for block in blocks for h in block[6][::2]}
-
-
 def host_of(url: str | None) -> str:
     try:
         return (urlsplit(url or "").hostname or "").lower().removeprefix("www.")
@@ -218,18 +246,20 @@ def host_of(url: str | None) -> str:
 class Page:
     """A parsed page with what is known about its sentences."""
 
-    def __init__(self, nodes: list[list], blocks: list[list], known: set[int], on_host: set[int] | None = None):
+    def __init__(self, nodes: list[list], blocks: list[list], known: set[int] | frozenset[int], on_host: set[int] | frozenset[int] | None = None):
         self.nodes, self.blocks, self.on_host = nodes, blocks, known if on_host is None else on_host
         self.paths: list[str] = []
+        self.apart: list[bool] = []
         for parent, label in nodes:
             self.paths.append(f"{self.paths[parent]}/{label}" if parent >= 0 else "")
+            self.apart.append(parent >= 0 and (self.apart[parent] or _set_apart(label)))
         self.furniture = [self._furniture(b, known) for b in blocks]
 
-    def _furniture(self, block: list, known: set[int]) -> bool:
-        node, _, words, link_words, links, trail, told = block
+    def _furniture(self, block: list, known: set[int] | frozenset[int]) -> bool:
+        node, _, words, link_words, links, trail, lengths, hashes = block
         if not words:
             return False
-        if 2 * sum(n for h, n in zip(told[::2], told[1::2]) if h in known) >= sum(told[1::2]) or trail and _tag(self.nodes[node][1]) not in ("td", "pre"):
+        if 2 * sum(n for h, n in zip(hashes, lengths) if h in known) >= words or trail and _tag(self.nodes[node][1]) not in ("td", "pre"):
             return True
         return links >= 3 and link_words >= 0.8 * words and _tag(self.nodes[node][1]) not in ("li", "td", "th")
 
@@ -238,7 +268,7 @@ class Page:
         found: dict[int, float] = {}
         for (node, _, words, link_words, *_), furniture in zip(self.blocks, self.furniture):
             parent = max(self.nodes[node][0], 0)
-            if furniture or words == 0 or 2 * link_words >= words or any(self._apart(n) for n in self._up(node)):
+            if furniture or words == 0 or 2 * link_words >= words or self.apart[node]:
                 continue
             inline = _tag(self.nodes[node][1]) in ("td", "th", "body")
             good = (words - link_words) * (1.0 if words >= 5 else 0.2)
@@ -254,9 +284,6 @@ class Page:
             yield node
             node = self.nodes[node][0]
 
-    def _apart(self, node: int) -> bool:
-        return _set_apart(self.nodes[node][1])
-
     def path_counts(self) -> dict[str, tuple[int, int]]:
         """(furniture, blocks) on each path."""
         found: dict[str, tuple[int, int]] = {}
@@ -286,7 +313,7 @@ class Page:
         out_nodes = set()
         for n, ks in inside.items():
             spoken = [k for k in ks if self.blocks[k][1]]
-            if self._apart(n):
+            if _set_apart(self.nodes[n][1]):
                 out_nodes.add(n)
             elif spoken and n != self.blocks[spoken[0]][0] or len(spoken) > 1:
                 first = spoken[0] if spoken else None
@@ -321,7 +348,7 @@ def _vote(page: Page) -> tuple[str, float] | None:
     if not scores:
         return None
     node = max(scores, key=lambda n: (scores[n], -n))
-    return page.paths[node], min(scores[node], 100.0)
+    return page.paths[node], min(scores[node], VOTE_WORDS)
 
 
 def _choose(page: Page, winners: dict[str, float]) -> int | None:
@@ -337,73 +364,147 @@ def _choose(page: Page, winners: dict[str, float]) -> int | None:
     return max(scores, key=lambda n: (scores[n], -n)) if scores else None
 
 
+def pack(pages: Iterable[tuple[list[list], list[list]]]) -> tuple[bytes, list[int], list[int]]:
+    """(compressed pages, hashes of their sentences, number of sentences of each page)."""
+    import zstandard
+
+    hashes: list[int] = []
+    ends: list[int] = []
+    bare = []
+    for nodes, blocks in pages:
+        own = [h for b in blocks for h in b[7]]
+        hashes += own
+        ends.append(len(own))
+        bare.append(marshal.dumps((nodes, [b[:7] for b in blocks])))
+    sizes = np.array([len(bare), *map(len, bare)], np.uint32).tobytes()
+    return zstandard.ZstdCompressor(level=3).compress(sizes + b"".join(bare)), hashes, ends
+
+
+def unpack(packed: bytes, hashes: bytes) -> Iterator[tuple[list[list], list[list]]]:
+    """The (nodes, blocks) that ``pack`` was given."""
+    import zstandard
+
+    data = memoryview(zstandard.ZstdDecompressor().decompress(packed))
+    n = int.from_bytes(data[:4], "little")
+    starts = 4 + 4 * n + np.r_[0, np.cumsum(np.frombuffer(data[4 : 4 + 4 * n], np.uint32))]
+    told, at = np.frombuffer(hashes, np.int64).tolist(), 0
+    for start, end in itertools.pairwise(starts.tolist()):
+        nodes, blocks = marshal.loads(data[start:end])
+        for b in blocks:
+            b.append(told[at : at + len(b[6])])
+            at += len(b[6])
+        yield nodes, blocks
+
+
 def parsed_pages(crawl: DataFrame) -> DataFrame:
-    """(page_id, host, address, page, hashes): one row per page with html; of repeated rows the last taken in."""
+    """(chunk, ids, hosts, addresses, ends, sentences, packed): chunks of parsed pages; of repeated rows the last taken in.
+
+    Hosts, addresses and sentences are hashes; an address that is null is the page itself.
+    """
     rows = crawl.where(F.col("page_id").isNotNull()).select("page_id", F.struct("ingested_at", "fetched_at", "url", "html").alias("v"))
     last = rows.groupBy("page_id").agg(F.max("v").alias("v")).select("page_id", "v.url", "v.html").where(F.length(F.trim("html")) > 0)
+    id_type = last.schema["page_id"].dataType.simpleString()
+    names = ["ids", "hosts", "addresses", "ends", "sentences", "packed"]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for page_id, url, source in zip(pdf["page_id"], pdf["url"], pdf["html"]):
-                nodes, blocks = parse(source)
-                if blocks:
-                    rows.append((page_id, host_of(url), url, json.dumps([nodes, blocks], ensure_ascii=False, separators=(",", ":")), sorted(page_hashes(blocks))))
-            yield pd.DataFrame(rows, columns=["page_id", "host", "address", "page", "hashes"])
+            for at in range(0, len(pdf), CHUNK_PAGES):
+                part = pdf.iloc[at : at + CHUNK_PAGES]
+                rows: list[tuple] = []
 
-    id_type = last.schema["page_id"].dataType.simpleString()
-    return last.mapInPandas(read, f"page_id {id_type}, host string, address string, page string, hashes array<bigint>")
+                def parsed(part: pd.DataFrame, rows: list[tuple]) -> Iterator[tuple[list[list], list[list]]]:
+                    for i, url, source in zip(part["page_id"], part["url"], part["html"]):
+                        nodes, blocks = parse(source)
+                        if blocks:
+                            rows.append((i, _hash(host_of(url)), _hash(f"page {i}" if url is None else url)))
+                            yield nodes, blocks
+
+                packed, hashes, ends = pack(parsed(part, rows))
+                if rows:
+                    yield pd.DataFrame([(*map(list, zip(*rows)), ends, np.array(hashes, np.int64).tobytes(), packed)], columns=names)
+
+    chunks = last.mapInPandas(read, f"ids array<{id_type}>, hosts array<bigint>, addresses array<bigint>, ends array<int>, sentences binary, packed binary")
+    return chunks.withColumn("chunk", F.monotonically_increasing_id())
 
 
 def furniture_of(pages: DataFrame) -> DataFrame:
-    """(page_id, known, on_host): the hashes of each page that are site furniture, and those known from its own host."""
-    each = pages.select("page_id", "host", F.xxhash64(F.coalesce("address", F.col("page_id").cast("string"))).alias("address"), F.explode("hashes").alias("h"))
-    on_host = each.select("host", "h", "address").distinct().groupBy("host", "h").agg(F.count(F.lit(1)).alias("n"))
-    sizes = pages.select("host", F.xxhash64(F.coalesce("address", F.col("page_id").cast("string"))).alias("address")).distinct().groupBy("host").agg(F.count(F.lit(1)).alias("size"))
-    hosts = sizes.agg(F.count(F.lit(1)).alias("hosts"))
-    everywhere = on_host.groupBy("h").agg(F.count(F.lit(1)).alias("on_hosts")).where(F.col("on_hosts") >= HOSTS_LEAST)
-    most = F.greatest(F.lit(HOSTS_LEAST), F.least(F.lit(HOSTS_MOST), F.col("hosts") * HOSTS_SHARE))
-    common = everywhere.join(F.broadcast(hosts)).where(F.col("on_hosts") >= most).select("h", F.lit(True).alias("common"))
-    marked = (
-        on_host.join(sizes, "host")
-        .join(common, "h", "left")
-        .withColumn("own", F.col("n") >= F.greatest(F.lit(HOST_LEAST), F.col("size") * HOST_SHARE))
-        .where(F.col("common") | F.col("own"))
-        .select("host", "h", "own")
-    )
-    return (
-        each.join(marked, ["host", "h"])
-        .groupBy("page_id")
-        .agg(F.collect_list("h").alias("known"), F.collect_list(F.when(F.col("own"), F.col("h"))).alias("on_host"))
-    )
+    """(host, own, others): the hashes of each host's sentences that are furniture by its own addresses, or by other hosts only.
 
+    The own ones are at most the mean number of sentences of a page / HOST_SHARE.
+    """
+    from textquarry.session import cut_lineage
 
-def main_body(crawl: DataFrame) -> DataFrame:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for hosts, addresses, ends, sentences in zip(*(b.column(k).to_pylist() for k in range(4))):
+                columns = [np.repeat(np.array(x, np.int64), ends) for x in (hosts, addresses)]
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(np.frombuffer(sentences, np.int64)), pa.array(columns[1])], ["host", "h", "address"])
+
+    stands = pages.select("hosts", "addresses", "ends", "sentences").mapInArrow(each, "host bigint, h bigint, address bigint")
+    placed = pages.select(F.explode(F.arrays_zip("hosts", "addresses")).alias("x")).select(F.col("x.hosts").alias("host"), F.col("x.addresses").alias("address"))
+    sizes = placed.distinct().groupBy("host").agg(F.count(F.lit(1)).alias("size"))
+    on_host = stands.distinct().groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).join(sizes, "host")
+    least = F.greatest(F.lit(HOST_LEAST), F.col("size") * HOST_SHARE)
+    on_host = cut_lineage(on_host.select("host", "h", (F.col("n") >= least).alias("own"), (F.col("size") > HOST_LEAST).alias("tells")))
+    hosts = sizes.agg(F.count(F.lit(1)).alias("all"))
+    stand = on_host.groupBy("h").agg(F.count(F.lit(1)).alias("hosts"), F.sum(F.col("own").cast("int")).alias("sure"), F.sum(F.col("tells").cast("int")).alias("tell"))
+    wide = (F.col("hosts") >= HOSTS_SHARE * F.col("all")) | (F.col("sure") >= HOSTS_LEAST) & (F.col("sure") >= SURE_SHARE * F.col("tell"))
+    common = stand.where(F.col("hosts") >= HOSTS_LEAST).join(F.broadcast(hosts)).where(wide).select("h", F.lit(True).alias("common"))
+    known = on_host.join(common, "h", "left").where(F.col("own") | F.col("common"))
+    return known.groupBy("host").agg(F.collect_list(F.when(F.col("own"), F.col("h"))).alias("own"), F.collect_list(F.when(~F.col("own"), F.col("h"))).alias("others"))
+
+
+def with_hosts(pages: DataFrame, per_host: DataFrame, most_rows: int) -> tuple[DataFrame, Callable[[Any], dict]]:
+    """(pages, look): ``look`` of a row's ``told`` is the dictionary from its hosts to what ``per_host`` (host, arrays) tells.
+
+    What is told of hosts is sent to all executors if its arrays have at most ``most_rows`` elements,
+    else each chunk is joined with that of its own hosts.
+    """
+    arrays = [c for c in per_host.columns if c != "host"]
+    size = sum((F.greatest(F.size(c), F.lit(0)) for c in arrays), F.lit(1))
+    if (per_host.agg(F.sum(size)).first()[0] or 0) <= most_rows:
+        packed = {r["host"]: {c: np.array(r[c], np.int64) if c in ("own", "others") and r[c] else r[c] or () for c in arrays} for r in per_host.toLocalIterator()}
+        sent = pages.sparkSession.sparkContext.broadcast(packed)
+        return pages.withColumn("told", F.lit(0)), lambda told: sent.value
+    of_chunk = pages.select("chunk", F.explode(F.array_distinct("hosts")).alias("host")).join(per_host, "host")
+    told = of_chunk.groupBy("chunk").agg(F.collect_list(F.struct("host", *arrays)).alias("told"))
+    return pages.join(told, "chunk", "left"), lambda told: {t["host"]: {c: t[c] if t[c] is not None else () for c in arrays} for t in told} if told is not None else {}
+
+
+def main_body(crawl: DataFrame, most_told: int = TOLD_ROWS) -> DataFrame:
     """(page_id, block): the plain form of each block of main body.
 
     Null, empty and blank html have no blocks, nor have pages of which all is furniture (errors,
     redirects); repeated rows of a page_id count once; the status code is not asked; null urls form one
-    host; extra columns are ignored; an empty table gives an empty result.
+    host; extra columns are ignored; an empty table gives an empty result. ``most_told`` bounds what is
+    sent of the hosts to every executor; beyond it chunks of pages are joined with their hosts.
     """
     from textquarry.session import cut_lineage
 
     pages = cut_lineage(parsed_pages(crawl))
-    known = pages.select("page_id", "host", "page").join(furniture_of(pages), "page_id", "left")
-    known = cut_lineage(known)
-    id_type = pages.schema["page_id"].dataType.simpleString()
-
-    def load(page: str, hashes, on_host=None) -> Page:
-        nodes, blocks = json.loads(page)
-        known_here = set(hashes) if hashes is not None else set()
-        return Page(nodes, blocks, known_here, set(on_host) if on_host is not None else set())
+    id_type = pages.schema["ids"].dataType.elementType.simpleString()
+    known = cut_lineage(furniture_of(pages))
+
+    def each(pdf: pd.DataFrame, of: Callable[[Any], dict]) -> Iterator[tuple[int, dict, Page]]:
+        """(host, what is told of the host, page)."""
+        nothing: dict = {}
+        sets: dict[int, tuple[frozenset[int], frozenset[int]]] = {}
+        for hosts, sentences, packed, told in zip(pdf["hosts"], pdf["sentences"], pdf["packed"], pdf["told"]):
+            hosts_told = of(told)
+            for host, (nodes, blocks) in zip(hosts.tolist(), unpack(packed, sentences)):
+                info = hosts_told.get(host, nothing)
+                if host not in sets:
+                    own, others = (frozenset(np.asarray(info.get(c, ()), np.int64).tolist()) for c in ("own", "others"))
+                    sets[host] = (own | others, own)
+                yield host, info, Page(nodes, blocks, *sets[host])
+
+    to_vote, known_of = with_hosts(pages.select("chunk", "hosts", "sentences", "packed"), known, most_told)
 
     def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found: dict[tuple[str, str], list[float]] = {}
-            for host, source, hashes in zip(pdf["host"], pdf["page"], pdf["known"]):
-                page = load(source, hashes)
-                won = _vote(page)
-                if won:
+            found: dict[tuple[int, str], list[float]] = {}
+            for host, _, page in each(pdf, known_of):
+                if won := _vote(page):
                     found.setdefault((host, won[0]), [0.0, 0, 0])[0] += won[1]
                 for path, (furniture, n) in page.path_counts().items():
                     counts = found.setdefault((host, path), [0.0, 0, 0])
@@ -411,35 +512,31 @@ def main_body(crawl: DataFrame) -> DataFrame:
                     counts[2] += n
             yield pd.DataFrame([(*k, *v) for k, v in found.items()], columns=["host", "path", "score", "furniture", "blocks"])
 
-    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for page_id, source, hashes, on_host, won, mixed in zip(*(pdf[c] for c in ("page_id", "page", "known", "on_host", "winners", "mixed"))):
-                page = load(source, hashes, on_host)
-                node = _choose(page, {w["path"]: w["share"] for w in won} if won is not None else {})
-                if node is not None:
-                    kept = page.main_blocks(node, frozenset(mixed) if mixed is not None else frozenset())
-                    rows += [(page_id, b) for b in dict.fromkeys(kept)]
-            yield pd.DataFrame(rows, columns=["page_id", "block"])
-
-    votes = (
-        known.select("host", "page", "known")
-        .mapInPandas(vote, "host string, path string, score double, furniture bigint, blocks bigint")
-        .groupBy("host", "path")
-        .agg(F.sum("score").alias("score"), F.sum("furniture").alias("furniture"), F.sum("blocks").alias("blocks"))
-    )
+    sums = [F.sum(c).alias(c) for c in ("score", "furniture", "blocks")]
+    votes = to_vote.mapInPandas(vote, "host bigint, path string, score double, furniture bigint, blocks bigint").groupBy("host", "path").agg(*sums)
     votes = cut_lineage(votes)
-    total = votes.groupBy("host").agg(F.sum("score").alias("total"))
+    total = votes.groupBy("host").agg(F.sum("score").alias("total"), F.sum("blocks").alias("all_blocks"))
     won = (F.col("score") > 0) & (F.col("score") >= VOTE_SHARE * F.col("total"))
-    is_mixed = (F.col("furniture") > 0) & (2 * F.col("furniture") < F.col("blocks"))
-    per_host = (
+    mixed = (F.col("furniture") > 0) & (2 * F.col("furniture") < F.col("blocks")) & (F.col("blocks") >= PLACE_SHARE * F.col("all_blocks"))
+    winners = (
         votes.join(total, "host")
-        .where(won | is_mixed)
+        .where(won | mixed)
         .groupBy("host")
         .agg(
             F.collect_list(F.when(won, F.struct("path", (F.col("score") / F.col("total")).alias("share")))).alias("winners"),
-            F.collect_list(F.when(is_mixed, F.col("path"))).alias("mixed"),
+            F.collect_list(F.when(mixed, F.col("path"))).alias("mixed"),
         )
     )
-    joined = known.join(per_host, "host", "left").select("page_id", "page", "known", "on_host", "winners", "mixed")
-    return joined.mapInPandas(extract, f"page_id {id_type}, block string")
+    to_read, told_of = with_hosts(pages.select("chunk", "ids", "hosts", "sentences", "packed"), cut_lineage(known.join(winners, "host", "full_outer")), most_told)
+
+    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            ids = [i for x in pdf["ids"] for i in x.tolist()]
+            rows = []
+            for i, (_, info, page) in zip(ids, each(pdf, told_of)):
+                node = _choose(page, {w["path"]: w["share"] for w in info.get("winners", ())})
+                if node is not None:
+                    rows += [(i, b) for b in dict.fromkeys(page.main_blocks(node, frozenset(info.get("mixed", ()))))]
+            yield pd.DataFrame(rows, columns=["page_id", "block"])
+
+    return to_read.mapInPandas(extract, f"page_id {id_type}, block string")
