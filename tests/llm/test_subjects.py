@@ -3,7 +3,7 @@ from datetime import datetime
 
 import pandas as pd
 
-from textquarry.llm.subjects import FUNCTIONS, document_subjects, fit_latent
+from textquarry.llm.subjects import FUNCTIONS, document_subjects, fit_latent, fit_lexicon
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, source_type string, source_path string, title string, created_at timestamp, subject string, hand int"
 T = datetime(2025, 1, 1)
@@ -55,3 +55,18 @@ def test_latent_model_weighs_functions():
     rows = [(5, 2, 0, 0, 0, 500), (5, 0, 0, 0, 0, 300), (5, 1, 0, 0, 0, 40), (1, 1, 0, 0, 0, 100), (1, 0, 0, 0, 0, 60), (4, 1, 0, 0, 0, 10), (3, 2, 0, 0, 0, 5), (2, 1, 0, 0, 1, 5)]
     fitted = fit_latent(pd.DataFrame(rows, columns=[*FUNCTIONS, "n"]))
     assert [p >= 0.5 for p in fitted["posterior"]] == [True, True, True, False, False, True, True, False]
+
+
+def test_a_lexicon_joined_instead_of_sent(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join(sentence(rng, s) for _ in range(6)), "s", f"x/{WORDS[s][0]}", f"Notes on {WORDS[s][1]}") for i, s in enumerate(["law", "sport", "cookery"] * 20)]
+    labels = [(i, s) for i, s in enumerate(["law", "sport", "cookery"] * 8)]
+    sent = {tuple(r) for r in document_subjects(*tables(spark, rows, labels)).collect()}
+    assert len(sent) == 60 and {tuple(r) for r in document_subjects(*tables(spark, rows, labels), most_sent=0).collect()} == sent
+
+
+def test_no_word_is_cut_from_the_lexicon(spark):
+    counts = spark.createDataFrame([(f"w{k}", k % 3, float(4 + k % 5)) for k in range(3000)] + [("even", k, 9.0) for k in range(3)] + [("few", 0, 3.0)], "word string, subject int, n double")
+    base = spark.createDataFrame([(k, 100.0) for k in range(3)], "subject int, size double")
+    got = {r.word: r.subject for r in fit_lexicon(counts, base, 4).collect()}
+    assert got == {f"w{k}": k % 3 for k in range(3000)}

@@ -12,7 +12,8 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -22,8 +23,7 @@ from pyspark.sql import functions as F
 from textquarry.session import cut_lineage
 
 MOST_LABELS = 20_000
-MOST_SUBJECTS = 1_000
-MOST_WORDS = 50_000
+MOST_SENT = 500_000
 LEXICON_SHARE = 0.7
 LEAST_DOCS, LEAST_SENTENCES = 3, 4
 # Bounds of the bins of the share of sentences; about a quarter makes a subject.
@@ -46,8 +46,8 @@ def units_of(text: str) -> list[list[str]]:
 class Lexicon:
     """Subject and weight of words."""
 
-    def __init__(self, entries: dict[str, tuple[int, float]], subjects: list[str]):
-        self.entries, self.subjects = entries, subjects
+    def __init__(self, entries: dict[str, tuple[int, float]]):
+        self.entries = entries
 
     def decide(self, words: list[str]) -> int | None:
         """The subject with the greatest summed weight, or None without a known word."""
@@ -76,22 +76,40 @@ class Lexicon:
         }
 
 
-def fit_lexicon(counts: pd.DataFrame, base: dict[int, float], subjects: list[str], least: float, most: int = MOST_WORDS) -> Lexicon:
-    """Words of which, after evening out the sizes of the subjects, most uses belong to one."""
-    if counts.empty:
-        return Lexicon({}, subjects)
-    wide = counts.pivot_table(index="word", columns="subject", values="n", aggfunc="sum", fill_value=0.0)
-    n = wide.sum(axis=1)
-    wide, n = wide[n >= least], n[n >= least]
-    if wide.empty:
-        return Lexicon({}, subjects)
-    scale = np.array([max(base.get(k, 0.0), 1.0) for k in wide.columns])
-    rate = wide.to_numpy() / scale * scale.mean() + 0.1
-    share = rate / rate.sum(axis=1, keepdims=True)
-    best, sure = share.argmax(axis=1), share.max(axis=1)
-    keep = np.flatnonzero(sure >= LEXICON_SHARE)
-    keep = keep[np.argsort(-n.to_numpy()[keep], kind="stable")][:most]
-    return Lexicon({wide.index[i]: (int(wide.columns[best[i]]), float(sure[i])) for i in keep}, subjects)
+def fit_lexicon(counts: DataFrame, base: DataFrame, least: float) -> DataFrame:
+    """(word, subject, weight): words of at least ``least`` uses of which, after evening out the sizes of the subjects, most belong to one.
+
+    ``counts`` has word, subject and n, ``base`` the size of each subject (subject, size). Of subjects with
+    equal shares of a word the first is taken.
+    """
+    sizes = base.select("subject", F.greatest("size", F.lit(1.0)).alias("size"))
+    mean = sizes.agg(F.avg("size").alias("mean"), F.count(F.lit(1)).alias("subjects"))
+    rated = counts.join(F.broadcast(sizes.join(mean)), "subject").withColumn("rate", F.col("n") / F.col("size") * F.col("mean"))
+    of_word = rated.groupBy("word").agg(F.sum("n").alias("all"), F.sum("rate").alias("rates"), F.max(F.struct("rate", (-F.col("subject")).alias("first"))).alias("best"), F.first("subjects").alias("subjects"))
+    weight = (F.col("best.rate") + 0.1) / (F.col("rates") + 0.1 * F.col("subjects"))
+    return of_word.where(F.col("all") >= least).select("word", (-F.col("best.first")).alias("subject"), weight.alias("weight")).where(F.col("weight") >= LEXICON_SHARE)
+
+
+def with_lexicon(texts: DataFrame, lexicon: DataFrame, columns: tuple[str, ...], most_sent: int) -> tuple[DataFrame, Callable[[Any], Lexicon]]:
+    """(texts, look): ``look`` of a row's ``told`` is the lexicon, or the part of it that the row's words need.
+
+    A lexicon of at most ``most_sent`` words is sent to the executors; a larger one is joined with the
+    distinct words of each text.
+    """
+    if lexicon.count() <= most_sent:
+        sent = texts.sparkSession.sparkContext.broadcast(Lexicon({r["word"]: (r["subject"], r["weight"]) for r in lexicon.toLocalIterator()}))
+        return texts.withColumn("told", F.lit(0)), lambda told: sent.value
+    keyed = texts.withColumn("row", F.xxhash64(*columns))
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row, *said in zip(pdf["row"], *(pdf[c] for c in columns)):
+                found = list({w for t in said if t for w in WORD.findall(t.lower())})
+                yield pd.DataFrame({"row": np.full(len(found), row, np.int64), "word": found})
+
+    used = keyed.select("row", *columns).distinct().mapInPandas(split, "row bigint, word string").join(lexicon, "word")
+    told = used.groupBy("row").agg(F.collect_list(F.struct("word", "subject", "weight")).alias("told"))
+    return keyed.join(told, "row", "left").drop("row"), lambda told: Lexicon({t["word"]: (t["subject"], t["weight"]) for t in told} if told is not None else {})
 
 
 def fit_latent(patterns: pd.DataFrame, rounds: int = ROUNDS) -> pd.DataFrame:
@@ -138,18 +156,20 @@ def document_subjects(
     labels: DataFrame,
     subjects: DataFrame,
     most_labels: int = MOST_LABELS,
+    most_sent: int = MOST_SENT,
+    functions: tuple[str, ...] = tuple(FUNCTIONS),
 ) -> DataFrame:
     """(doc_id, subject): every subject that at least about a quarter of a text's sentences or rows treat.
 
     Null, empty and wordless texts have no subject. Only labels are sampled (``most_labels`` rows); all
     counts, patterns and assignments cover every document. Rows with a null doc_id are left out;
     repeated rows give one row per subject; null title, source or path abstain; extra columns are
-    ignored; without documents or usable labels the result is empty.
+    ignored; without documents or usable labels the result is empty. ``subjects`` is a fixed list. A
+    lexicon of more than ``most_sent`` words is joined with the texts instead of sent to the executors.
+    Labelling functions that are not among ``functions`` abstain (to measure what each one adds).
     """
     spark = docs.sparkSession
-    names = sorted(r[0] for r in subjects.select(F.lower(F.trim("subject"))).where(F.col("subject").isNotNull()).distinct().limit(MOST_SUBJECTS + 1).collect() if r[0])
-    if len(names) > MOST_SUBJECTS:
-        raise ValueError(f"more than {MOST_SUBJECTS} subjects")
+    names = sorted(r[0] for r in subjects.select(F.lower(F.trim("subject"))).where(F.col("subject").isNotNull()).distinct().collect() if r[0])
     number = {s: k for k, s in enumerate(names)}
     hand = clean_labels(labels, subjects, most_labels).toPandas()
     hand["k"] = hand["subject"].map(number)
@@ -167,41 +187,36 @@ def document_subjects(
     schema = "word string, subject int, n double"
     labelled = texts.select("doc_id", "text").join(F.broadcast(marked), "doc_id")
     first_counts = labelled.select("text", "hand").mapInPandas(count_labelled, schema).groupBy("word", "subject").agg(F.sum("n").alias("n"))
-    several = first_counts.groupBy("word").agg(F.sum("n").alias("all")).where(F.col("all") >= LEAST_DOCS).orderBy(F.desc("all"), "word").limit(MOST_WORDS)
-    base = Counter(single.values())
-    first = fit_lexicon(first_counts.join(several, "word").select("word", "subject", "n").toPandas(), base, names, LEAST_DOCS)
-    shared_first = spark.sparkContext.broadcast(first)
+    base = spark.createDataFrame([(k, float(n)) for k, n in Counter(single.values()).items()], "subject int, size double")
+    first = cut_lineage(fit_lexicon(first_counts, base, LEAST_DOCS))
+    to_decide, lexicon_of = with_lexicon(texts.select("text"), first, ("text",), most_sent)
 
     def count_decided(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lexicon = shared_first.value
         for pdf in batches:
             found: Counter = Counter()
-            for t in pdf["text"]:
+            for t, told in zip(pdf["text"], pdf["told"]):
+                lexicon = lexicon_of(told)
                 for words in units_of(t):
                     k = lexicon.decide(words)
                     if k is not None:
                         found.update((w, k) for w in set(words))
             yield pd.DataFrame([(w, k, float(n)) for (w, k), n in found.items()], columns=["word", "subject", "n"])
 
-    decided = cut_lineage(texts.select("text").mapInPandas(count_decided, schema).groupBy("word", "subject").agg(F.sum("n").alias("n")))
-    summed = decided.groupBy("word").agg(F.sum("n").alias("all"), F.max("n").alias("top"))
-    telling = summed.where((F.col("all") >= LEAST_SENTENCES) & (F.col("top") >= LEXICON_SHARE / 2 * F.col("all"))).orderBy(F.desc("all"), "word").limit(2 * MOST_WORDS)
-    second_counts = decided.join(telling.select("word"), "word").toPandas()
-    sizes = {r["subject"]: r["n"] for r in decided.groupBy("subject").agg(F.sum("n").alias("n")).collect()}
-    second = fit_lexicon(second_counts, sizes, names, LEAST_SENTENCES)
-    shared = spark.sparkContext.broadcast(second)
+    decided = cut_lineage(to_decide.mapInPandas(count_decided, schema).groupBy("word", "subject").agg(F.sum("n").alias("n")))
+    sizes = decided.groupBy("subject").agg(F.sum("n").alias("size"))
+    second = cut_lineage(fit_lexicon(decided, sizes, LEAST_SENTENCES))
+    columns = ("text", "title", "source_path")
+    to_vote, widened_of = with_lexicon(texts.select("doc_id", "source", *columns), second, columns, most_sent)
 
     def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lexicon = shared.value
         for pdf in batches:
             rows = []
-            for i, text, title, path, source in zip(pdf["doc_id"], pdf["text"], pdf["title"], pdf["source_path"], pdf["source"]):
-                rows += [(i, source, k, *v) for k, v in lexicon.votes(text, title, path).items()]
+            for i, text, title, path, source, told in zip(*(pdf[c] for c in ("doc_id", "text", "title", "source_path", "source", "told"))):
+                rows += [(i, source, k, *v) for k, v in widened_of(told).votes(text, title, path).items()]
             yield pd.DataFrame(rows, columns=["doc_id", "source", "subject", "lexicon", "section", "address"])
 
     votes = cut_lineage(
-        texts.select("doc_id", "text", "title", "source_path", "source")
-        .mapInPandas(vote, f"doc_id {id_type}, source string, subject int, lexicon int, section int, address int")
+        to_vote.mapInPandas(vote, f"doc_id {id_type}, source string, subject int, lexicon int, section int, address int")
         .join(F.broadcast(marked), "doc_id", "left")
         .withColumn("hand", F.when(F.col("hand").isNull(), 0).when(F.array_contains("hand", F.col("subject")), 2).otherwise(1))
     )
@@ -219,6 +234,7 @@ def document_subjects(
     )
     voted = votes.join(lift, ["source", "subject"], "left").withColumn("source_vote", F.coalesce("source_vote", F.lit(0)))
     voted = voted.select("doc_id", "subject", "lexicon", "section", "address", F.col("source_vote").alias("source"), "hand")
+    voted = voted.withColumns({f: F.lit(0) for f in FUNCTIONS if f not in functions})
     patterns = voted.groupBy(*FUNCTIONS).agg(F.count(F.lit(1)).alias("n")).toPandas()
     if patterns.empty:
         return spark.createDataFrame([], f"doc_id {id_type}, subject string")
