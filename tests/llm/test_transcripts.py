@@ -1,8 +1,11 @@
+import itertools
+import random
+import time
 from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from textquarry.llm.transcripts import Speakers, clean_utterance, isotonic, repair_clock, speaker_turns, turn_md5, turns
+from textquarry.llm.transcripts import Speakers, clean_utterance, in_order, isotonic, repair_clock, speaker_turns, turn_md5, turns
 
 RAW = "document_id string, text string, source_type string, source_path string, metadata map<string,string>, created_at timestamp, ingested_at timestamp, turn_no int, speaker int"
 META = {"participants": "Ann Smith (host); Bob Jones (guest)", "layout": "lines"}
@@ -80,3 +83,28 @@ def test_md5(spark):
 
     df = spark.createDataFrame([("It's Item UH-12, here!",)], "t string").select(turn_md5(F.col("t")))
     assert df.collect()[0][0] == hashlib.md5(b"it's item uh 12 here").hexdigest()
+
+
+def test_clocks_of_short_files_and_strays():
+    assert repair_clock([10, 20, 30, 700, 40, 50, 60]) == [10, 20, 30, 30, 40, 50, 60]
+    assert repair_clock([10, 100, 250, 5, 60, 120]) == [10, 100, 250, 255, 310, 370]
+    assert repair_clock([10, 20, 50, 30, 40, 60]) == [10, 20, 50, 30, 40, 60]
+    moved = [600, 610, 620, 35, 36, 37, 630, 640]
+    assert repair_clock(moved) == moved
+
+
+def test_a_long_clock_is_repaired_in_linear_time():
+    rng = random.Random(1)
+    times = [5.0 * i + (rng.choice([0, 0, 0, 7, -9, 5000]) if i > 5000 else 0) for i in range(100_000)]
+    at = time.monotonic()
+    fixed = repair_clock(times)
+    assert time.monotonic() - at < 10 and all(abs(t - 5.0 * i) <= 1000 for i, t in enumerate(fixed[:-10]))
+
+
+def test_longest_order():
+    rng = random.Random(2)
+    for _ in range(200):
+        t = [rng.randint(0, 9) for _ in range(rng.randint(0, 9))]
+        best = max((len(c) for n in range(len(t) + 1) for c in itertools.combinations(t, n) if list(c) == sorted(c)), default=0)
+        got = [t[k] for k in in_order(t)]
+        assert len(got) == best and got == sorted(got)

@@ -1,16 +1,18 @@
 """Speech transcripts into clean, ordered speaker turns.
 
 Each transcript is parsed into segments (time, label, words) by its layout. Clocks that start again
-split the file into file segments, which are shifted to follow each other; within each, isotonic
-regression over the file's order shows times that cannot be right, which take the fitted value.
+split the file into file segments, which are shifted to follow each other; within each, times that
+cannot be right take the value of the isotonic regression of the others over the file's order.
 Segments are then put in order of time, labels are resolved to participants, utterances are cleaned,
 and neighbouring segments of one speaker become one turn.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 SPEECH_TYPES = ("audio", "video", "youtube")
 RESET_SECONDS = 300.0
 OFF_SECONDS = 900.0
+LABEL_LENGTH = 64
 
 _TIME = r"(?:\d+:)?\d{1,2}:\d\d(?:[.,]\d{1,3})?"
 LEADING_TIME = re.compile(rf"^\s*[\[(]\s*({_TIME})\s*[\])]\s*")
@@ -75,12 +78,52 @@ def isotonic(values: list[float]) -> list[float]:
     return [m for m, n in pools for _ in range(int(n))]
 
 
+def in_order(times: list[float]) -> list[int]:
+    """Places of a longest non-decreasing subsequence."""
+    ends: list[float] = []
+    at: list[int] = []
+    before = [-1] * len(times)
+    for k, t in enumerate(times):
+        j = bisect_right(ends, t)
+        before[k] = at[j - 1] if j else -1
+        ends[j : j + 1], at[j : j + 1] = [t], [k]
+    k = at[-1] if at else -1
+    found = []
+    while k >= 0:
+        found.append(k)
+        k = before[k]
+    return found[::-1]
+
+
+def _step(times: list[float]) -> float:
+    """A usual step of a clock: the median of its steps."""
+    steps = sorted(b - a for a, b in itertools.pairwise(times))
+    return steps[len(steps) // 2] if steps else 0.0
+
+
+def _starts_again(times: list[float], start: int, i: int) -> bool:
+    """Whether a short file ends before ``i``: the clock falls near its beginning, and goes on from there past where it was.
+
+    The times around are in order as two files, but not as one (three of them at least would have to go), and
+    they pass the old clock by no more than its usual steps, as a block moved within one file doesn't.
+    """
+    left, right = times[max(start, i - 40) : i], times[i : i + 40]
+    top = max(left)
+    if times[i] >= 0.2 * top or times[i] > max(30.0, times[start]) or min(right) < times[i]:
+        return False
+    lost = [len(x) - len(in_order(x)) for x in (left + right, left, right)]
+    if lost[0] - lost[1] - lost[2] < 3:
+        return False
+    usual = 10 * max(_step([left[k] for k in in_order(left)]), _step([right[k] for k in in_order(right)]))
+    return all(b - a <= usual for a, b in itertools.pairwise(right) if a <= top < b)
+
+
 def repair_clock(times: list[float], reset: float = RESET_SECONDS, off: float = OFF_SECONDS) -> list[float]:
     """Times on one clock, in the order of the file.
 
     The clock starts again where a time falls far below the latest ones (by ``reset`` seconds and to
-    under a fifth of them) and none of the times after it comes back near; later times are shifted. A
-    time further than ``off`` seconds from the isotonic fit of its file segment takes the time before it.
+    under a fifth of them) and none of the times after it comes back near, or where a short file
+    ends; later times are shifted. Within a file segment, a time that can't be right takes the isotonic fit.
     """
     if not times:
         return []
@@ -88,7 +131,8 @@ def repair_clock(times: list[float], reset: float = RESET_SECONDS, off: float =
     top, second = times[0], times[0]
     for i in range(1, len(times)):
         near = max(times[i : i + 4])
-        if second - times[i] > reset and times[i] < 0.2 * second and near < 0.5 * second:
+        far = second - times[i] > reset and times[i] < 0.2 * second and near < 0.5 * second
+        if far or times[i] < 0.2 * top and _starts_again(times, start, i):
             parts.append((start, i))
             start, top, second = i, times[i], times[i]
         elif times[i] > top:
@@ -99,21 +143,32 @@ def repair_clock(times: list[float], reset: float = RESET_SECONDS, off: float =
     out, shift = [], 0.0
     for a, b in parts:
         out += [t + shift for t in _without_strays(times[a:b], off)]
-        shift = max(out)
+        shift = max(out[a:b])
     return out
 
 
 def _without_strays(times: list[float], off: float) -> list[float]:
-    """Times with those that no order can explain put beside the ones before them, the worst first."""
-    times = list(times)
-    for _ in range(len(times)):
-        fit = isotonic(times)
-        worst = max(range(len(times)), key=lambda k: abs(times[k] - fit[k]))
-        if abs(times[worst] - fit[worst]) <= off:
-            break
-        around = times[max(0, worst - 2) : worst] + times[worst + 1 : worst + 3]
-        times[worst] = times[worst - 1] if worst and abs(times[worst - 1] - times[worst]) > off else min(around, default=fit[worst])
-    return times
+    """Times with those that can't be right as the isotonic regression of the others has it at their places.
+
+    A time is a stray if it is further than ``off`` seconds from the times between which it stands, or if it
+    lies beyond all the times in order by more than a minute and ten usual steps. Lines that only stand in
+    another order keep their times.
+    """
+    kept = in_order(times)
+    line = [times[k] for k in kept]
+    near = max(60.0, 10 * _step(line))
+    right = []
+    for k, t in enumerate(times):
+        j = bisect_left(kept, k)
+        low, high = line[max(0, j - 1)] if j else line[0], line[min(j, len(line) - 1)]
+        away = max(low - t, t - high, 0.0)
+        if away <= off and not (away > near and (t > line[-1] + near or t < line[0] - near)):
+            right.append(k)
+    fit = isotonic([times[k] for k in right])
+    out = list(times)
+    for k in set(range(len(times))).difference(right):
+        out[k] = fit[max(0, bisect_left(right, k) - 1)]
+    return out
 
 
 def _letters(s: str) -> str:
@@ -201,7 +256,7 @@ class Speakers:
 def _split_label(line: str, speakers: Speakers) -> tuple[str | None, str]:
     """(speaker, rest) if the line begins with a label of a known speaker."""
     body = re.sub(r"^\s*>>+\s*", "", line)
-    for m in SEPARATOR.finditer(body[:64]):
+    for m in SEPARATOR.finditer(body[:LABEL_LENGTH]):
         name = speakers.resolve(body[: m.start()]) if m.start() else None
         if name:
             return name, body[m.end() :]
