@@ -1,9 +1,11 @@
 import json
+import random
+import time
 from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from textquarry.llm.scans import SCAN_TYPES, Scan, candidates, digits_right, joined, scan_repairs, second_candidates
+from textquarry.llm.scans import LIKE, LOOKALIKES, MISREADINGS, SCAN_TYPES, EdgeLines, Scan, _ratio, candidates, digits_right, joined, kinds_of, scan_repairs, second_candidates, strokes
 
 RAW = "document_id string, text string, source_type string, source_path string, metadata map<string,string>, created_at timestamp, ingested_at timestamp, line_no int, word string"
 T = datetime(2025, 1, 1)
@@ -71,3 +73,42 @@ def test_words_misread_in_two_ways(spark):
     types = spark.createDataFrame(rows, RAW).withColumn("source_type", F.lit(SCAN_TYPES[0]))
     got = {(r.line_no, r.repaired) for r in scan_repairs(types).collect() if r.repair == "misread"}
     assert got == {(21, "polymer")}
+
+
+def test_edge_lines_alike_equal_a_plain_comparison():
+    rng = random.Random(5)
+    base = ["review of the garden", "the house by the lake", "short"]
+    on = {}
+    for page in range(60):
+        s = rng.choice(base)
+        s = "".join(rng.choice("abcxyz") if rng.random() < 0.1 else c for c in s) if rng.random() < 0.7 else "".join(rng.choice("abcdefgh ") for _ in range(20)).strip()
+        on.setdefault(s, set()).add(page)
+    lines = EdgeLines(on)
+    for s, pages in on.items():
+        for page in pages:
+            other = {}
+            for t, there in on.items():
+                for p in there - {page}:
+                    other[p] = max(other.get(p, 0.0), _ratio(s, t))
+            best, close = lines.alike(s, page)
+            assert (best if best >= LIKE else 0.0) == (m if (m := max(other.values(), default=0.0)) >= LIKE else 0.0)
+            assert close == min(2, sum(r >= 0.9 for r in other.values()))
+
+
+def test_a_scan_of_thousands_of_pages():
+    text = "\f\n".join(f"Alpha Review   {k}\n\nThe {k} words of page {chr(97 + k % 26) * (k % 9 + 1)} stand here and\ngo on below {k * 7919}.\nThe end of {chr(97 + k % 7)} came.\n" for k in range(1, 3001))
+    at = time.monotonic()
+    s = Scan(text, {})
+    assert all(d for d, line in zip(s.dropped, s.lines) if line.startswith("Alpha")) and time.monotonic() - at < 60
+
+
+def test_words_with_many_places_of_one_misreading():
+    assert "millimillillian" in candidates("mi11imi1lillian") and "sillibillimillivil" in candidates("sillibi11imil1ivil")
+
+
+def test_misreadings_keep_the_form_of_strokes(spark):
+    pairs = [(f"ka{a}{x}{b}po", f"ka{a}{y}{b}po") for x, y in MISREADINGS for a in ("", "i", "v", "c", "r") for b in ("", "i", "v", "l", "n")]
+    pairs += [(f"t{chr(x)}k", f"t{y}k") for x, y in LOOKALIKES.items()] + [("p01ymer", "polymer")]
+    rows = spark.createDataFrame(pairs, "a string, b string").select("a", "b", strokes(F.col("a")).alias("x"), strokes(F.col("b")).alias("y"))
+    assert rows.where("x <> y").collect() == []
+    assert dict(kinds_of("p01ymer", ["polymer", "palmer"])) == {"polymer": 2} and dict(kinds_of("tbe", ["the", "toe"])) == {"the": 1}

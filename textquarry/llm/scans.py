@@ -17,15 +17,19 @@ from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textquarry.llm.transcripts import SPEECH_TYPES, latest_documents
-from textquarry.session import cut_lineage
+from textquarry.session import cut_lineage, shuffle_width
 
 SCAN_TYPES = ("pdf", "image")
+# Lines from the edge of a page inwards that can be headers and footers; the first one that is none ends the search.
 EDGE_LINES = 3
+# A kind of misreading is undone at no more places of a word.
+PLACES = 3
 LIKE = 0.82
 TIMES_MORE = 8
 LEAST_COUNT = 4
@@ -40,6 +44,8 @@ MISREADINGS = (
     ("8", "b"), ("li", "h"), ("d", "cl"), ("u", "ii"), ("h", "b"), ("nn", "m"), ("iii", "m"), ("o", "c"), ("c", "o"),
 )
 LOOKALIKES = str.maketrans({"ɑ": "a", "í": "i", "ì": "i", "ı": "i", "ο": "o", "о": "o", "е": "e", "а": "a", "ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff"})
+# What stays of letters that are read for each other; d is as cl, and runs of i and of v are one.
+STROKES = ("ceo0mnuhbrli1|68vwyft5s9g", "ooooiiiiiiiiiiiivvvffssgg")
 TO_DIGIT = str.maketrans({"l": "1", "i": "1", "|": "1", "o": "0", "b": "6", "s": "5", "z": "2", "g": "9", "q": "9", "í": "1"})
 ROMAN = re.compile(r"^(?=[ivxlcdm])m{0,3}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})$")
 HEADING = re.compile(r"^\s*\d{1,3}(?:\.\d{1,3})*[.)]\s+[^\W\d_]")
@@ -94,6 +100,41 @@ def _alike(a: str, b: str) -> bool:
     return _ratio(a, b) >= LIKE
 
 
+class EdgeLines:
+    """The different edge lines (skeletons) of a document, to find those alike on other pages.
+
+    Only lines of which the letters, whatever their order, could reach the likeness are compared one by one.
+    """
+
+    def __init__(self, on: dict[str, set[int]]):
+        self.lines = [s for s in on if s]
+        self.pages = [on[s] for s in self.lines]
+        self.sizes = np.array([len(s) for s in self.lines], np.int64)
+        self.letters = self._letters(self.lines)
+        self.known: dict[str, list[tuple[float, set[int]]]] = {}
+
+    @staticmethod
+    def _letters(lines: list[str]) -> np.ndarray:
+        found = np.zeros((len(lines), 27), np.int32)
+        for k, s in enumerate(lines):
+            np.add.at(found[k], np.frombuffer(s.encode("ascii"), np.uint8) % 32 % 27, 1)
+        return found
+
+    def alike(self, skeleton: str, page: int) -> tuple[float, int]:
+        """(greatest likeness with a line of another page, other pages with a line of 0.9 or more)."""
+        if not skeleton:
+            return 0.0, 0
+        if skeleton not in self.known:
+            near = np.flatnonzero(np.abs(self.sizes - len(skeleton)) <= 4)
+            shared = np.minimum(self.letters[near], self._letters([skeleton])[0]).sum(axis=1)
+            near = near[2 * shared >= LIKE * (self.sizes[near] + len(skeleton)) - 1e-9]
+            self.known[skeleton] = [(r, self.pages[k]) for k in near.tolist() if (r := _ratio(skeleton, self.lines[k])) >= LIKE]
+        others = [(r, pages) for r, pages in self.known[skeleton] if len(pages) > (page in pages)]
+        close = [pages for r, pages in others if r >= 0.9]
+        pages = set().union(*close) if len(close) < 9 and all(len(x) < 4 for x in close) else {-1, -2}
+        return max((r for r, _ in others), default=0.0), min(2, len(pages - {page}))
+
+
 class Scan:
     """Lines and pages of one document."""
 
@@ -146,15 +187,20 @@ class Scan:
         best = max(offsets.values(), default=0)
         usual = {o for o, n in offsets.items() if n == best and (n >= 2 or len(tops) == 1)}
         for edges, inward in ((tops, 1), (bottoms, -1)):
+            on: dict[str, set[int]] = {}
+            for p, ks in edges.items():
+                for k in ks:
+                    on.setdefault(skeletons[k], set()).add(p)
+            others = EdgeLines(on)
             for p, ks in edges.items():
                 for k in ks if inward > 0 else reversed(ks):
-                    if not self._is_edge(k, p, skeletons[k], skeletons, edges, title, usual, inward > 0):
+                    if not self._is_edge(k, p, skeletons[k], others, edges, title, usual, inward > 0):
                         break
                     gone[k] = True
         return gone
 
     def _is_edge(
-        self, k: int, page: int, skeleton: str, skeletons: dict[int, str], edges: dict[int, list[int]], title: str, usual: set[int], top: bool
+        self, k: int, page: int, skeleton: str, others: EdgeLines, edges: dict[int, list[int]], title: str, usual: set[int], top: bool
     ) -> bool:
         line = self.lines[k].strip()
         words = line.split()
@@ -172,11 +218,11 @@ class Scan:
             return False
         if not (line[0].isupper() or line[0].isdigit() or in_step):
             return False
-        others = [max((_ratio(skeleton, skeletons[j]) for j in ks), default=0.0) for p, ks in edges.items() if p != page]
+        likeness, close = others.alike(skeleton, page)
         named = len(words) <= 6 and all(not w[0].islower() for w in words if w[0].isalpha())
-        if any(r >= LIKE for r in others) and (in_step or named):
+        if likeness >= LIKE and (in_step or named):
             return True
-        if len(skeleton) >= 16 and line[0].isupper() and (any(r >= 0.95 for r in others) or sum(r >= 0.9 for r in others) >= 2):
+        if len(skeleton) >= 16 and line[0].isupper() and (likeness >= 0.95 or close >= 2):
             return True
         outer = k == (edges[page][0] if top else edges[page][-1])
         return named and sum(w[0].isalpha() for w in words) >= 2 and (in_step or line.isupper() or outer and len(edges) > 1 and len(words) <= 4)
@@ -302,17 +348,16 @@ def joined(first: str, sign: str, rest: str, counts: dict[str, int], right: dict
     return read_right(whole, right) or whole
 
 
-def candidates(word: str) -> set[str]:
-    """Words that may have been read as ``word``: every usual misreading undone at up to three places."""
+def undone(word: str) -> Iterator[str]:
+    """Words that may have been read as ``word``, perhaps repeated: every usual misreading undone at up to PLACES places."""
     plain = word.translate(LOOKALIKES)
-    found = {plain} if plain != word else set()
+    if plain != word:
+        yield plain
     if len(plain) < 2 or not re.search(r"[^\W\d_]", plain):
-        return found
+        return
     for wrong, printed in MISREADINGS:
         spots = [m.start() for m in re.finditer(f"(?={re.escape(wrong)})", plain)]
-        for n in range(1, min(3, len(spots)) + 1):
-            if n > 1 and len(spots) > 6:
-                break
+        for n in range(1, min(PLACES, len(spots)) + 1):
             for places in itertools.combinations(spots, n):
                 if any(b - a < len(wrong) for a, b in itertools.pairwise(places)):
                     continue
@@ -320,15 +365,40 @@ def candidates(word: str) -> set[str]:
                 for p in places:
                     made += plain[at:p] + printed
                     at = p + len(wrong)
-                found.add(made + plain[at:])
-    found.discard(word)
-    return found
+                yield made + plain[at:]
+
+
+def candidates(word: str) -> set[str]:
+    """Words that may have been read as ``word``."""
+    return set(undone(word)) - {word}
 
 
 def second_candidates(word: str) -> set[str]:
     """Words that may have been read as ``word`` by misreadings of two kinds."""
     once = candidates(word)
-    return {c for w in once for c in candidates(w)} - once - {word}
+    return {c for w in once for c in undone(w)} - once - {word}
+
+
+def strokes(word: Column) -> Column:
+    """A form that a word shares with every word that usual misreadings make of it."""
+    plain = word
+    for seen, printed in LOOKALIKES.items():
+        plain = F.replace(plain, F.lit(chr(seen)), F.lit(printed))
+    single = F.translate(F.replace(plain, F.lit("d"), F.lit("cl")), *STROKES)
+    return F.regexp_replace(F.regexp_replace(single, "i+", "i"), "v+", "v")
+
+
+def kinds_of(word: str, known: list[str]) -> Iterator[tuple[str, int]]:
+    """(known word, kinds of misreadings that make it ``word``, 1 or 2)."""
+    once = candidates(word)
+    twice: set[str] | None = None
+    for k in known:
+        if k in once:
+            yield k, 1
+            continue
+        twice = second_candidates(word) if twice is None else twice
+        if k in twice:
+            yield k, 2
 
 
 FACTS = "document_id string, dropped array<int>, words array<string>, counts array<int>, forms array<string>"
@@ -347,7 +417,7 @@ def looked_at(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def word_counts(raw: DataFrame, facts: DataFrame) -> DataFrame:
-    """(word, n) over all texts: words standing whole in scans, and words of the documents that are no scans or speech."""
+    """(word, n, scanned) over all texts: words standing whole in scans (``scanned``), and words of the documents that are no scans or speech."""
 
     def of_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -355,8 +425,9 @@ def word_counts(raw: DataFrame, facts: DataFrame) -> DataFrame:
             yield pd.DataFrame(list(total.items()), columns=["word", "n"])
 
     others = raw.where(~F.col("source_type").isin(*SCAN_TYPES, *SPEECH_TYPES) & F.col("text").isNotNull()).select("text")
-    scanned = facts.select(F.explode(F.arrays_zip("words", "counts")).alias("x")).select(F.col("x.words").alias("word"), F.col("x.counts").cast("bigint").alias("n"))
-    return scanned.unionByName(others.mapInPandas(of_texts, "word string, n bigint")).groupBy("word").agg(F.sum("n").alias("n"))
+    scanned = facts.select(F.explode(F.arrays_zip("words", "counts")).alias("x")).select(F.col("x.words").alias("word"), F.col("x.counts").cast("bigint").alias("n"), F.lit(True).alias("scanned"))
+    told = others.mapInPandas(of_texts, "word string, n bigint").withColumn("scanned", F.lit(False))
+    return scanned.unionByName(told).groupBy("word").agg(F.sum("n").alias("n"), F.max("scanned").alias("scanned"))
 
 
 def scan_repairs(raw: DataFrame, types: tuple[str, ...] = SCAN_TYPES) -> DataFrame:
@@ -370,39 +441,32 @@ def scan_repairs(raw: DataFrame, types: tuple[str, ...] = SCAN_TYPES) -> DataFra
     facts = cut_lineage(scans.mapInPandas(looked_at, FACTS))
     counts = cut_lineage(word_counts(raw, facts))
 
-    def propose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(w, n, c) for w, n in zip(pdf["word"], pdf["n"]) for c in candidates(w)]
-            yield pd.DataFrame(rows, columns=["word", "n", "candidate"])
-
-    def propose_again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def checked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for at in range(0, len(pdf), 256):
-                part = pdf.iloc[at : at + 256]
-                rows = [(w, n, c) for w, n in zip(part["word"], part["n"]) for c in second_candidates(w)]
-                yield pd.DataFrame(rows, columns=["word", "n", "candidate"])
+            rows = []
+            for word, known, counts in zip(pdf["word"], pdf["known"], pdf["counts"]):
+                times = dict(zip(known, counts))
+                best = max(((-kind, times[k], k) for k, kind in kinds_of(word, list(known))), default=None)
+                if best:
+                    rows.append((word, best[2], best[1]))
+            yield pd.DataFrame(rows, columns=["word", "right", "m"])
 
     telling = (F.length("word") > 1) & F.col("word").rlike(r"\p{L}")
-    whole = facts.select("document_id", F.explode("words").alias("word")).where(telling)
+    whole = facts.select("document_id", F.explode("words").alias("word"))
     forms = facts.select("document_id", F.explode("forms").alias("word"))
-    distinct = whole.select("word").unionByName(forms.select("word")).distinct().join(counts, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("bigint"))
-    proposed = distinct.mapInPandas(propose, "word string, n bigint, candidate string")
-    known = counts.where(F.col("n") >= LEAST_COUNT).select(F.col("word").alias("candidate"), F.col("n").alias("m"))
-
-    def best(proposed: DataFrame) -> DataFrame:
-        return (
-            proposed.join(known, "candidate")
-            .where(F.col("m") >= TIMES_MORE * F.greatest("n", F.lit(1)))
-            .groupBy("word")
-            .agg(F.max(F.struct("m", "candidate")).alias("best"))
-            .select("word", F.col("best.candidate").alias("right"), F.col("best.m").alias("m"))
-        )
-
-    once = cut_lineage(best(proposed))
-    # two kinds at up to three places each, of two letters' difference at most, never bridge more than 12 letters
-    longest = known.agg(F.max(F.length("candidate"))).first()[0] or 0
-    unknown = distinct.where(F.length("word") <= longest + 12).join(once, "word", "left_anti")
-    better = once.unionByName(best(unknown.mapInPandas(propose_again, "word string, n bigint, candidate string")))
+    standing = counts.where(F.col("scanned") & telling).select("word", "n")
+    cut = forms.select("word").distinct().join(standing, "word", "left_anti").join(counts, "word", "left").select("word", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
+    distinct = standing.unionByName(cut)
+    known = counts.where(F.col("n") >= LEAST_COUNT).select(F.col("word").alias("candidate"), F.col("n").alias("m"), strokes(F.col("word")).alias("strokes"))
+    paired = (
+        distinct.withColumn("strokes", strokes(F.col("word")))
+        .join(known, "strokes")
+        .where((F.col("candidate") != F.col("word")) & (F.col("m") >= TIMES_MORE * F.greatest("n", F.lit(1))))
+        .groupBy("word")
+        .agg(F.collect_list("candidate").alias("known"), F.collect_list("m").alias("counts"))
+    )
+    # few words by bytes, but much work: no partition is merged with another
+    better = cut_lineage(paired.repartition(shuffle_width(raw.sparkSession), F.xxhash64("word")).mapInPandas(checked, "word string, right string, m bigint"))
     # whole words matter only where they are misread, so frequent words never meet their documents
     misread = distinct.join(better, "word")
     parted = distinct.join(better, "word", "left").where(F.col("right").isNotNull() | (F.col("n") > 0))
