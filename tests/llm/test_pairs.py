@@ -1,8 +1,9 @@
+import random
 from datetime import datetime
 
 import pytest
 
-from textquarry.llm.pairs import compressed_share, first_label, is_copy, is_empty, is_refusal, is_wrong_language, open_end, pair_defects
+from textquarry.llm.pairs import compressed_share, first_label, is_copy, is_empty, is_refusal, is_wrong_language, open_end, pair_defects, shared_words, terminal_contexts
 
 SCHEMA = "example_id bigint, instruction string, input string, output string, context string, source string, metadata map<string,string>, created_at timestamp, defect string, last int"
 
@@ -114,3 +115,59 @@ def test_one_label_each(spark):
 
 def test_order_of_labels():
     assert first_label("Describe the server.", "", "Es tut mir leid, dabei kann ich nicht helfen.")[0] == "refusal"
+
+
+@pytest.mark.parametrize(
+    "text,refusal",
+    [
+        ("Let us talk about something other than the basil, if you don't mind.", True),
+        ("Let's change the subject.", True),
+        ("Lassen Sie uns über etwas anderes sprechen.", True),
+        ("Reden wir lieber über etwas anderes.", True),
+        ("Parlons plutôt d'autre chose.", True),
+        ("Hablemos de otra cosa.", True),
+        ("Let us say that the basil was divided twice.", False),
+        ("The subject of the letter is the loan.", False),
+    ],
+)
+def test_a_change_of_subject_is_a_refusal(text, refusal):
+    assert is_refusal(text) is refusal
+
+
+@pytest.mark.parametrize(
+    "output",
+    [
+        "Il quadro fu dipinto molto tempo fa da un maestro che viveva vicino al fiume. Nessuno sapeva perché.",
+        "Obraz został namalowany dawno temu przez mistrza, który mieszkał nad rzeką i nikt nie wiedział dlaczego to zrobił.",
+        "Картина была написана давно мастером, который жил у реки.",
+        "Het schilderij werd lang geleden gemaakt door een meester die bij de rivier woonde en niemand wist waarom.",
+    ],
+)
+def test_languages_that_no_list_has(output):
+    assert is_wrong_language("Who painted the picture and why was it done?", None, output)
+    assert not is_wrong_language(None, None, output)
+
+
+def test_names_code_and_short_answers_are_no_other_language():
+    for output in ("Rembrandt, Vermeer, Hals, Steen, Fabritius", "Paris", "total = total + 1", "Yes, in 1904."):
+        assert not is_wrong_language("Who painted the picture?", None, output)
+
+
+def test_the_longest_common_subsequence():
+    rng = random.Random(3)
+    for _ in range(300):
+        a, b = ([rng.choice("abc") for _ in range(rng.randint(0, 12))] for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            diagonal = 0
+            for j, y in enumerate(b, 1):
+                diagonal, row[j] = row[j], diagonal + 1 if x == y else max(row[j], row[j - 1])
+        assert shared_words(a, b) == row[-1]
+
+
+def test_contexts_of_the_asked_words_only(spark):
+    rows = spark.createDataFrame([("One two three. Four two three five.", None, "two three.", "")], "instruction string, input string, output string, context string")
+    every = {tuple(r) for r in terminal_contexts(rows).collect()}
+    asked = spark.createDataFrame([("three",)], "last string")
+    assert {tuple(r) for r in terminal_contexts(rows, asked).collect()} == {r for r in every if r[1] == "three"} == {("two", "three", 2, 3)}
+    assert {tuple(r) for r in terminal_contexts(rows, asked, most_asked=0).collect()} == every

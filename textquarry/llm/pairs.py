@@ -10,6 +10,7 @@ or of a list item that others follow.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -24,6 +25,8 @@ DEFECTS = ("empty", "refusal", "copy", "wrong_language", "truncated")
 COPY_RATIO = 0.55
 COPY_SHARE = 0.75
 END_SHARE = 0.5
+MOST_ASKED = 500_000
+FOREIGN_WORDS, FOREIGN_SHARE = 12, 0.06
 
 # Words that stand for a missing answer, and labels that precede one.
 NOTHING = {"none", "null", "nil", "nan", "na", "n a", "tbd", "tba", "todo", "undefined", "empty", "no answer", "no response", "not available",
@@ -51,6 +54,7 @@ LANGUAGE_NAMES = {
     "fr": r"french|französisch\w*|français\w*|franc[eé]s\w*",
     "es": r"spanish|spanisch\w*|espagnol\w*|español\w*|castellano",
 }
+_ANY_ASKED = re.compile("|".join(LANGUAGE_NAMES.values()), re.I)
 _ASKED = {lang: re.compile(rf"\b(?:{names})\b", re.I) for lang, names in LANGUAGE_NAMES.items()}
 
 # Ways to decline, in the first person or by rule, in lower case.
@@ -69,6 +73,10 @@ REFUSALS = re.compile(
             r"\b(?:outside|beyond) what i (?:may|can|am)\b",
             r"\bgo unanswered\b|\bunanswered by me\b|\bno can do\b|\boff[- ]limits\b|\breply is not possible\b|\bregrettably\b",
             r"\bsorry, (?:but )?(?:that|this|i|no)\b|^\W*sorry\b|^\W*apologies\b|\bi apologi[sz]e\b",
+            r"\blet(?:['’]s| us) (?:talk|speak|discuss|turn to|move on|switch|stick|focus)\b.*\b(?:something|anything|topics?|subjects?|matters?) (?:else|other|different)\b|\b(?:talk|speak) about (?:something|anything) (?:else|other)\b",
+            r"\blet(?:['’]s| us) (?:change the (?:subject|topic)|(?:talk|speak) about another|not (?:talk|speak|go|discuss))\b|\b(?:pick|choose|try) (?:another|a different) (?:topic|subject)\b|\bno comment\b",
+            r"\b(?:reden|sprechen) (?:wir|sie) (?:lieber )?(?:über|von) etwas ander(?:es|em)\b|\büber etwas anderes (?:reden|sprechen)\b|\bwechseln wir das thema\b",
+            r"\bparlons (?:plutôt )?d['’]autre chose\b|\bchangeons de sujet\b|\bhablemos (?:mejor )?de otra cosa\b|\bcambiemos de tema\b",
             r"\bunfortunately,? i\b|\bunable to (?:help|assist|answer|provide|comply)\b",
             r"\btut mir leid\b|\bich bin nicht (?:in der lage|befugt|berechtigt)\b|\b(?:kann|darf|möchte|werde) ich (?:leider |dazu |hier )*(?:nicht|nichts|keine)\b",
             r"\bich (?:kann|darf|möchte|werde) (?:\w+ ){0,3}(?:nicht|nichts|keine)\b|\bals (?:sprachmodell|ki\b|ki-)|\bleider (?:kann|darf) ich\b|\bkeine auskunft\b|\bich lehne\b",
@@ -83,6 +91,7 @@ HINTS = (
     "i do", "i lack", "i'd", "i’d", "i would", "i prefer", "as a", "appropriate for me", "nothing i", "permitted", "my ", "what i", "unanswered", "no can do",
     "limits", "reply is not", "regrettably", "sorry", "apolog", "unfortunately", "unable to", "leid", "ich ", "sprachmodell", "als ki", "auskunft", "désol",
     "je ", "impossible", "en tant que", "malheureusement", "siento", "no p", "no d", "no m", "no t", "no e", "prefiero", "modelo", "lamento", "temo", "desafort",
+    "let us", "let's", "let’s", "about something", "about anything", "topic", "subject", "no comment", "etwas ander", "das thema", "autre chose", "de sujet", "otra cosa", "de tema",
 )
 # Sentences around a refusal that answer nothing: thanks, greetings, understanding, offers, wishes.
 POLITE = re.compile(
@@ -119,6 +128,11 @@ def words(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
+@functools.lru_cache(maxsize=50_000)
+def words_of_instruction(text: str | None) -> list[str]:
+    return words(text)
+
+
 def is_empty(output: str | None) -> bool:
     """No letter or digit left without mark-up, labels and words for a missing answer."""
     if not output:
@@ -131,7 +145,7 @@ def is_empty(output: str | None) -> bool:
 
 def declines(sentence: str) -> bool:
     low = sentence.lower()
-    return any(h in low for h in HINTS) and bool(REFUSALS.search(low))
+    return any(map(low.__contains__, HINTS)) and bool(REFUSALS.search(low))
 
 
 def is_refusal(output: str) -> bool:
@@ -152,13 +166,16 @@ def is_refusal(output: str) -> bool:
 
 
 def shared_words(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence."""
-    row = [0] * (len(b) + 1)
+    """Length of the longest common subsequence, with one bit per word of ``b``."""
+    places: dict[str, int] = {}
+    for j, y in enumerate(b):
+        places[y] = places.get(y, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    row = full
     for x in a:
-        diagonal = 0
-        for j, y in enumerate(b, 1):
-            diagonal, row[j] = row[j], diagonal + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
+        if here := row & places.get(x, 0):
+            row = (row + here | row - here) & full
+    return len(b) - row.bit_count()
 
 
 def repeated_words(said: list[str], source: list[str], least: float) -> int:
@@ -188,7 +205,7 @@ def compressed_share(text: str, dictionary: str) -> float:
 def is_copy(instruction: str | None, input_: str | None, output: str) -> bool:
     """The response only repeats the instruction, the whole input, or both, perhaps slightly altered."""
     said = words(re.sub(rf"^\W*{LABELS}\s*:\s*", "", output, flags=re.I))
-    sources = [s for s in (words(instruction), words(input_)) if s]
+    sources = [s for s in (words_of_instruction(instruction), words(input_)) if s]
     if not said or not sources:
         return False
     if len(sources) == 2:
@@ -208,9 +225,10 @@ def is_copy(instruction: str | None, input_: str | None, output: str) -> bool:
 
 def language_scores(text: str | None) -> dict[str, int]:
     counts = [0] * len(_LANGUAGES)
-    for w in LETTERS.findall(text.lower()) if text else ():
-        for k in _LANGUAGES_OF.get(w, ()):
-            counts[k] += 1
+    said = Counter(LETTERS.findall(text.lower())) if text else {}
+    for w in said.keys() & _LANGUAGES_OF.keys():
+        for k in _LANGUAGES_OF[w]:
+            counts[k] += said[w]
     return dict(zip(_LANGUAGES, counts))
 
 
@@ -221,19 +239,45 @@ def language_of(text: str | None, least: int = 2, margin: float = 1.5) -> str |
     return best if n >= least and n >= margin * second else None
 
 
-def expected_languages(instruction: str | None, input_: str | None) -> set[str]:
+@functools.lru_cache(maxsize=50_000)
+def asked_languages(instruction: str | None) -> tuple[frozenset[str], str | None]:
+    """(languages that an instruction names, its own one)."""
+    named = {lang for lang, name in _ASKED.items() if name.search(instruction)} if instruction and _ANY_ASKED.search(instruction) else ()
+    return frozenset(named), language_of(instruction, 1, 1.2)
+
+
+def expected_languages(instruction: str | None, input_: str | None) -> set[str] | frozenset[str]:
     """The languages that the instruction names, else those of instruction and input."""
-    named = {lang for lang, name in _ASKED.items() if name.search(instruction or "")}
-    if named:
-        return named
-    return {x for x in (language_of(instruction, 1, 1.2), language_of(input_)) if x}
+    named, own = asked_languages(instruction)
+    return named or {x for x in (own, language_of(input_)) if x}
+
+
+def is_foreign(text: str, expected: set[str]) -> bool:
+    """Running text in a language that FUNCTION_WORDS lacks: another script, or next to none of the expected languages' words.
+
+    Judged are texts of FOREIGN_WORDS different lower-case words and more with the end of a sentence.
+    """
+    letters = [c for c in text if c.isalpha()]
+    if len(letters) >= 20 and sum(c > "\u024f" for c in letters) >= 0.6 * len(letters):
+        return True
+    said = LETTERS.findall(text)
+    small = sum(w[0].islower() for w in said)
+    if len({w for w in said if w[0].islower()}) < FOREIGN_WORDS or small < 0.6 * len(text.split()) or not re.search(r"[.!?…]", text):
+        return False
+    scores = language_scores(text)
+    return max(scores[x] for x in expected) < FOREIGN_SHARE * len(said)
 
 
 def is_wrong_language(instruction: str | None, input_: str | None, output: str) -> bool:
-    expected = expected_languages(instruction, input_)
-    plain = re.sub(r"```.*?(?:```|$)", " ", output, flags=re.S)
+    plain = re.sub(r"```.*?(?:```|$)", " ", output, flags=re.S) if "```" in output else output
     actual = language_of(plain)
-    return bool(expected) and actual is not None and actual not in expected
+    named, own = asked_languages(instruction)
+    if actual is not None and not named and own == actual:
+        return False
+    expected = expected_languages(instruction, input_)
+    if actual is None:
+        return bool(expected) and is_foreign(plain, expected)
+    return bool(expected) and actual not in expected
 
 
 def ends_in_short_item(text: str) -> bool:
@@ -277,23 +321,33 @@ def first_label(instruction: str | None, input_: str | None, output: str | None)
     return ("truncated" if broken else None), None, None
 
 
-def _context_counts(texts: list[str | None]) -> Counter:
+def _context_counts(texts: list[str | None], asked: frozenset[str] | None = None) -> Counter:
+    """How often two words stand together, and whether a sentence ends there; only for the ``asked`` second words, if given."""
     counts: Counter = Counter()
     for text in texts:
         if text:
             t = TOKEN.findall((ITEM_END.sub(r"\1.", text) if "\n" in text else text).lower())
-            counts.update((a, b, c[0] in ".!?…。") for a, b, c in zip(t, t[1:], t[2:]) if a[0].isalnum() and b[0].isalnum())
+            if asked is None:
+                counts.update((a, b, c[0] in ".!?…。") for a, b, c in zip(t, t[1:], t[2:]) if a[0].isalnum() and b[0].isalnum())
+            elif not asked.isdisjoint(t):
+                counts.update((t[k - 1], b, t[k + 1][0] in ".!?…。") for k, b in enumerate(t[1:-1], 1) if b in asked and t[k - 1][0].isalnum())
     return counts
 
 
-def terminal_contexts(rows: DataFrame, columns: tuple[str, ...] = ("instruction", "input", "output", "context")) -> DataFrame:
-    """(before, last, ends, uses): how often two words stand together, and end a sentence there."""
+def terminal_contexts(rows: DataFrame, asked: DataFrame | None = None, columns: tuple[str, ...] = ("instruction", "input", "output", "context"), most_asked: int = MOST_ASKED) -> DataFrame:
+    """(before, last, ends, uses): how often two words stand together, and end a sentence there.
+
+    ``asked`` (last) has the words that the counts are needed for; up to ``most_asked`` of them are sent to
+    where texts are counted, else all words are counted.
+    """
+    few = asked is not None and asked.count() <= most_asked
+    sent = rows.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in asked.toLocalIterator()) if few else None)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             counts: Counter = Counter()
             for c in columns:
-                counts.update(_context_counts(pdf[c].tolist()))
+                counts.update(_context_counts(pdf[c].tolist(), sent.value))
             yield pd.DataFrame([(a, b, n if e else 0, n) for (a, b, e), n in counts.items()], columns=["before", "last", "ends", "uses"])
 
     parts = rows.select(*columns).mapInPandas(count, "before string, last string, ends bigint, uses bigint")
@@ -326,7 +380,8 @@ def pair_defects(examples: DataFrame) -> DataFrame:
     labels = latest.select("example_id", "instruction", "input", "output").mapInPandas(
         label, f"example_id {id_type}, defect string, before string, last string"
     )
-    counts = cut_lineage(terminal_contexts(latest))
+    labels = cut_lineage(labels)
+    counts = cut_lineage(terminal_contexts(latest, labels.where(F.col("last").isNotNull()).select("last").distinct()))
     by_word = counts.groupBy("last").agg(F.sum("ends").alias("word_ends"), F.sum("uses").alias("word_uses"))
     judged = (
         labels.join(counts, ["before", "last"], "left")
