@@ -105,14 +105,15 @@ def _starts_again(times: list[float], start: int, i: int) -> bool:
     """Whether a short file ends before ``i``: the clock falls near its beginning, and goes on from there past where it was.
 
     The times around are in order as two files, but not as one (three of them at least would have to go), and
-    they pass the old clock by no more than its usual steps, as a block moved within one file doesn't.
+    they pass the old clock by no more than its usual steps, as a block moved within one file doesn't. Where
+    lines near the place stand in another order anyway, nothing is told.
     """
     left, right = times[max(start, i - 40) : i], times[i : i + 40]
     top = max(left)
     if times[i] >= 0.2 * top or times[i] > max(30.0, times[start]) or min(right) < times[i]:
         return False
     lost = [len(x) - len(in_order(x)) for x in (left + right, left, right)]
-    if lost[0] - lost[1] - lost[2] < 3:
+    if lost[0] - lost[1] - lost[2] < 3 or sorted(left[-8:]) != left[-8:] or sorted(right[:8]) != right[:8]:
         return False
     usual = 10 * max(_step([left[k] for k in in_order(left)]), _step([right[k] for k in in_order(right)]))
     return all(b - a <= usual for a, b in itertools.pairwise(right) if a <= top < b)
