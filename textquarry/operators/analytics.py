@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textquarry.session import cut_lineage, shuffle_width
+
 
 def summary(log: DataFrame, by: str) -> DataFrame:
     """Counts and means of value for each ``by``."""
@@ -53,11 +55,22 @@ def histogram(log: DataFrame, value: Column, bins: int = 10) -> DataFrame:
 
 
 def percentiles(log: DataFrame, by: str, shares: Sequence[float] = (0.5, 0.95, 0.99)) -> DataFrame:
-    """The value at index min(int(n * p), n - 1) of the sorted values of each ``by``, from ranks rather than lists."""
-    w = Window.partitionBy(by)
-    ranked = log.where(F.col("value").isNotNull()).select(by, "value", F.row_number().over(w.orderBy("value")).alias("r"), F.count(F.lit(1)).over(w).alias("n"))
-    picks = [F.max(F.when(F.col("r") == F.least(F.floor(F.col("n") * p), F.col("n") - 1) + 1, F.col("value"))).alias(f"p{round(p * 100)}") for p in shares]
-    return ranked.groupBy(by).agg(*picks)
+    """The value at index min(int(n * p), n - 1) of the sorted values of each ``by``.
+
+    Equal values are counted first; the different ones are laid out by range, and counts are summed within
+    each range and over the few ranges, so that no task needs all values of one ``by``. Nulls have no rank.
+    """
+    spark = log.sparkSession
+    counted = log.where(F.col("value").isNotNull()).groupBy(F.col(by).alias("k"), "value").agg(F.count(F.lit(1)).alias("c"))
+    laid = cut_lineage(counted.repartitionByRange(shuffle_width(spark), "k", "value").withColumn("part", F.spark_partition_id()))
+    over = Window.partitionBy("k").orderBy("part")
+    ranges = laid.groupBy("k", "part").agg(F.sum("c").alias("c"))
+    ranges = ranges.select(F.col("k").alias("k2"), F.col("part").alias("part2"), (F.sum("c").over(over) - F.col("c")).alias("before"), F.sum("c").over(Window.partitionBy("k")).alias("n"))
+    within = F.sum("c").over(Window.partitionBy("k", "part").orderBy("value"))
+    ranked = laid.withColumn("upto", within).join(ranges, F.col("k").eqNullSafe(F.col("k2")) & (F.col("part") == F.col("part2")))
+    index = lambda p: F.least(F.floor(F.col("n") * p), F.col("n") - 1)
+    picks = [F.min(F.when(F.col("before") + F.col("upto") > index(p), F.col("value"))).alias(f"p{round(p * 100)}") for p in shares]
+    return ranked.groupBy(F.col("k").alias(by)).agg(*picks)
 
 
 def most_frequent(log: DataFrame, by: str, k: int = 10) -> DataFrame:

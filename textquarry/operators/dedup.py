@@ -37,15 +37,29 @@ def coefficients(n: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(1, PRIME, n, dtype=np.uint64), rng.integers(0, PRIME, n, dtype=np.uint64)
 
 
+def shingle_hashes(text: str, shingle: int = SHINGLE) -> np.ndarray:
+    """Different 31-bit hashes of the character shingles: a polynomial of the code points over a rolling window, mixed."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    h = np.zeros(len(codes) - shingle + 1, np.uint64)
+    for k in range(shingle):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + len(h)] + np.uint64(1)
+    for by, shift in ((0xBF58476D1CE4E5B9, 30), (0x94D049BB133111EB, 27)):
+        h = (h ^ h >> np.uint64(shift)) * np.uint64(by)
+    return np.unique((h ^ h >> np.uint64(31)) % np.uint64(PRIME))
+
+
 def signature(text: str, a: np.ndarray, b: np.ndarray, shingle: int = SHINGLE) -> np.ndarray | None:
-    """Minima of (a * s + b) mod p over the md5 values of the character shingles; None for shorter texts."""
+    """Minima of (a * s + b) mod p over the hashes of the character shingles; None for shorter texts."""
     if len(text) < shingle:
         return None
-    parts = {text[i : i + shingle] for i in range(len(text) - shingle + 1)}
-    s = np.fromiter((int.from_bytes(hashlib.md5(p.encode()).digest(), "big") % PRIME for p in parts), np.uint64, len(parts))
+    s, p = shingle_hashes(text, shingle), np.uint64(PRIME)
     best = np.full(len(a), PRIME, np.uint64)
-    for at in range(0, len(s), 4096):
-        np.minimum(best, ((a[:, None] * s[None, at : at + 4096] + b[:, None]) % np.uint64(PRIME)).min(axis=1), out=best)
+    for at in range(0, len(s), 1024):
+        x = a[:, None] * s[None, at : at + 1024] + b[:, None]
+        # p is 2 ** 31 - 1, so that the high part counts as much as the low one
+        x = (x & p) + (x >> np.uint64(31))
+        x = (x & p) + (x >> np.uint64(31))
+        np.minimum(best, np.where(x == p, np.uint64(0), x).min(axis=1), out=best)
     return best
 
 
@@ -168,8 +182,12 @@ def minhash_classes(docs: DataFrame, permutations: int = PERMUTATIONS, bands: in
 
 
 def connected(links: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, component): the smallest node reachable over the links (x, y), by alternating large and small stars."""
+    """(node, component): the smallest node reachable over the links (x, y), by alternating large and small stars.
+
+    Raises an error if ``rounds`` rounds don't settle the components.
+    """
     edges = links.select(F.col("x").alias("u"), F.col("y").alias("v")).where("u <> v")
+    before = None
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -179,10 +197,13 @@ def connected(links: DataFrame, rounds: int = 50) -> DataFrame:
         joined = down.join(low, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         small = cut_lineage(small)
-        changed = small.exceptAll(edges).limit(1).count() + edges.exceptAll(small).limit(1).count()
+        sums = small.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
         edges = small
-        if not changed:
+        if sums == before:
             break
+        before = sums
+    else:
+        raise RuntimeError(f"components not settled after {rounds} rounds")
     return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 

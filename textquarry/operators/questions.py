@@ -92,6 +92,9 @@ def parts(questions: DataFrame) -> DataFrame:
     return questions.where(F.col("query").isNotNull()).select("query_id", F.posexplode(bare).alias("part_no", "part"))
 
 
+MOST_SENT_TARGETS = 10_000
+
+
 def routes(questions: DataFrame, targets: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(query_id, target, score): each target (target, keywords) by the share of its keywords in the question.
 
@@ -99,7 +102,8 @@ def routes(questions: DataFrame, targets: DataFrame, threshold: float = 0.5) ->
 
     At or above the threshold the best target alone, at 0.6 of it those with half the threshold, else all.
     """
-    x = questions.join(targets.select("target", "keywords"))
+    named = targets.select("target", "keywords")
+    x = questions.join(F.broadcast(named) if targets.count() <= MOST_SENT_TARGETS else named)
     hits = F.size(F.filter("keywords", lambda k: F.contains(F.lower("query"), F.lower(k))))
     scored = x.select("query_id", "target", F.round(hits / F.greatest(F.size("keywords"), F.lit(1)), 6).alias("score"))
     from pyspark.sql import Window

@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textquarry.functions.text import ascii_terms, split_words
-from textquarry.session import shuffle_width
+from textquarry.session import cut_lineage, shuffle_width
 
 K1, B = 1.5, 0.75
 RRF_K = 60
+MOST_SENT_TERMS = 10_000
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -26,17 +27,32 @@ def term_statistics(docs: DataFrame) -> DataFrame:
     return postings(docs).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_id", k1: float = K1, b: float = B) -> DataFrame:
+def sought_terms(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", most_sent: int = MOST_SENT_TERMS) -> tuple[DataFrame, DataFrame]:
+    """((id, term, tf, dl) of the sought ``terms``, (docs, avgdl) over all texts); each text is split into terms once.
+
+    Only the sought terms of a text leave it, so what is moved grows with the hits. Up to ``most_sent`` terms
+    are part of the plan; more are joined as a table before anything is counted.
+    """
+    split = docs.where(F.length("text") > 0).select(id_col, ascii_terms(F.col("text")).alias("t"))
+    if terms.count() <= most_sent:
+        wanted = [r[0] for r in terms.collect()]
+        kept = cut_lineage(split.select(id_col, F.size("t").alias("dl"), F.filter("t", lambda x: x.isin(wanted)).alias("t")))
+        found = kept.select(id_col, "dl", F.explode("t").alias("term"))
+    else:
+        kept = cut_lineage(split.select(id_col, F.size("t").alias("dl"), "t"))
+        found = kept.select(id_col, "dl", F.explode("t").alias("term")).join(terms, "term", "left_semi")
+    size = kept.where("dl > 0").agg(F.count(F.lit(1)).alias("docs"), F.avg("dl").alias("avgdl"))
+    return found.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl")), size
+
+
+def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_id", k1: float = K1, b: float = B, most_sent: int = MOST_SENT_TERMS) -> DataFrame:
     """(query_id, id, score, rank) of the k best texts for each query, by Okapi BM25.
 
-    ``queries`` has query_id and query. Postings meet only the distinct terms of the queries; repeated
+    ``queries`` has query_id and query. Only the distinct terms of the queries are counted; repeated
     terms of a query count once; ties go to the smaller id; queries without a known term give no row.
     """
-    posts = postings(docs, id_col)
-    sizes = docs.where(F.length("text") > 0).select(F.size(ascii_terms(F.col("text"))).alias("n")).where("n > 0")
-    size = sizes.agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("avgdl"))
     wanted = queries.where(F.length("query") > 0).select("query_id", F.explode(F.array_distinct(ascii_terms(F.col("query")))).alias("term"))
-    found = posts.join(wanted.select("term").distinct(), "term")
+    found, size = sought_terms(docs, wanted.select("term").distinct(), id_col, most_sent)
     df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weighted = (
         found.join(df, "term")

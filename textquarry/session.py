@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,12 +33,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint ``df`` reliably.
 
-    The folder is the cluster's ``spark.checkpoint.dir``; only where a session has none (tests, a
-    laptop) a local one is made.
+    The folder is the cluster's ``spark.checkpoint.dir``; only where a local session has none (tests, a
+    laptop) one is made, which is removed when Python ends. On a cluster a missing folder is an error.
     """
     spark = df.sparkSession
     if spark.conf.get("spark.checkpoint.dir", None) is None and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="textquarry-ckpt-"))
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="textquarry-ckpt-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
