@@ -7,10 +7,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from textquarry.plans import core_queries, snapshot_queries
+from textquarry.plans import core_queries, more_queries, snapshot_queries
 
-QUERIES = {**snapshot_queries.QUERIES, **core_queries.QUERIES}
-SQL = {**snapshot_queries.SQL, **core_queries.SQL}
+QUERIES = {**snapshot_queries.QUERIES, **core_queries.QUERIES, **more_queries.QUERIES}
+SQL = {**snapshot_queries.SQL, **core_queries.SQL, **more_queries.SQL}
 
 
 def cell(x):

@@ -109,3 +109,38 @@ def quality(docs: DataFrame, text_col: str = "text") -> DataFrame:
     structure, completeness = F.when(F.col("_n") > 0, 40).otherwise(20), F.when(F.col("_n") > 0, 100).otherwise(0)
     overall = F.floor((F.col("density") * 20 + F.col("readability") * 15 + structure * 25 + completeness * 25 + F.lit(50 * 15)) / 100).cast("bigint")
     return four.withColumn("overall", overall).drop("_words", "_n", "_ends", "_spoken", "_flesch")
+
+
+# Abbreviations after which a full stop ends no sentence.
+ABBREVIATIONS = ("Dr", "Mr", "Mrs", "Ms", "Prof", "Sr", "Jr", "St", "vs", "etc", "e.g", "i.e", "No", "Fig", "Inc", "Ltd")
+
+
+def sentences(text: Column) -> Column:
+    """Sentences of a text: cut after . ! ? before white space, but not after an abbreviation; empty ones left out."""
+    names = "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS)
+    held = F.regexp_replace(text, rf"(^|[^A-Za-z0-9.])({names})\.", "$1$2\x1f")
+    parts = F.split(F.regexp_replace(held, r"([.!?])[ \t\n\r\f]+", "$1\x1e"), "\x1e")
+    return F.filter(F.transform(parts, lambda s: strip(F.translate(s, "\x1f", "."))), lambda s: s != "")
+
+
+# The language that most texts of a script are in.
+SCRIPT_LANGUAGES = {"arabic": "ar", "cjk": "zh", "cyrillic": "ru", "devanagari": "hi", "greek": "el", "hangul": "ko", "hebrew": "he", "kana": "ja", "thai": "th"}
+
+
+def language_of(text: Column) -> Column:
+    """A language by the prevailing script; en for Latin letters or none."""
+    script = script_of(text)
+    code = F.lit("en")
+    for name, language in SCRIPT_LANGUAGES.items():
+        code = F.when(script == name, language).otherwise(code)
+    return code
+
+
+def merge_documents(docs: DataFrame, by: list[str]) -> DataFrame:
+    """One text for each ``by``: the texts in the order of their ids, with empty lines between; paths joined by semicolons.
+
+    Null texts count as empty; null and empty paths are left out.
+    """
+    rows = docs.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("doc_id", F.coalesce("text", F.lit("")).alias("text"), "source_path"))).alias("r"))
+    paths = F.filter(F.transform("r", lambda x: x["source_path"]), lambda p: F.length(p) > 0)
+    return rows.select(*by, F.size("r").alias("n"), F.array_join(F.transform("r", lambda x: x["text"]), "\n\n").alias("text"), F.array_join(paths, ";").alias("source_path"))

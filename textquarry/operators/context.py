@@ -113,3 +113,39 @@ def citations(claims: DataFrame, sentences: DataFrame, top: int = 3, least: floa
     )
     w = Window.partitionBy("claim_id").orderBy(F.desc("score"), "sentence_id")
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+
+
+def compressed(chunks: DataFrame, budget: int = 4000, most_tokens: int = 800) -> DataFrame:
+    """(query_id, place, source, score, text): the chunks (query_id, chunk_id, position, source, score, text) within ``budget`` tokens.
+
+    What fits stays as it is. Else neighbours of one source are put together while under ``most_tokens``; if
+    that is still too much, parts are taken by score, and what doesn't fit is skipped and the next tried.
+    Tokens are 1.33 a word. A merged part has the score of its first chunk; ties go to the earlier place.
+    """
+    words = lambda t: F.floor(F.size(split_words(t)) * 1.33).cast("bigint")
+    item = F.struct("position", F.col("source"), F.col("score"), F.col("text"))
+    rows = chunks.groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("rows"))
+    total = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + words(x["text"]))
+    kind = "array<struct<source:string,score:double,text:string>>"
+    as_part = lambda x: F.struct(x["source"].alias("source"), x["score"].cast("double").alias("score"), x["text"].alias("text"))
+
+    def add(acc: Column, x: Column) -> Column:
+        last = F.element_at(acc, -1)
+        joined = F.struct(last["source"].alias("source"), last["score"].alias("score"), F.concat(last["text"], F.lit("\n"), x["text"]).alias("text"))
+        fits = last["source"].eqNullSafe(x["source"]) & (words(last["text"]) + words(x["text"]) < most_tokens)
+        return F.when(fits, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(joined))).otherwise(F.concat(acc, F.array(as_part(x))))
+
+    merged = F.aggregate("rows", F.array().cast(kind), lambda a, x: F.when(F.size(a) == 0, F.array(as_part(x))).otherwise(add(a, x)))
+    plain = F.transform("rows", as_part)
+    fitted = rows.select("query_id", F.when(total(F.col("rows")) <= budget, plain).otherwise(merged).alias("parts")).withColumn("fits", total(F.col("parts")) <= budget)
+    ordered = F.array_sort(F.transform("parts", lambda x, i: F.struct((-x["score"]).alias("s"), i.alias("i"), x.alias("x"))))
+    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast(kind).alias("kept"))
+    greedy = F.aggregate(
+        ordered,
+        start,
+        lambda a, o: F.when(a["used"] + words(o["x"]["text"]) > budget, a).otherwise(
+            F.struct((a["used"] + words(o["x"]["text"])).alias("used"), F.concat(a["kept"], F.array(o["x"])).alias("kept"))
+        ),
+    )["kept"]
+    kept = fitted.select("query_id", F.when(F.col("fits"), F.col("parts")).otherwise(greedy).alias("parts"))
+    return kept.select("query_id", F.posexplode("parts").alias("place", "p")).select("query_id", "place", "p.source", "p.score", "p.text")

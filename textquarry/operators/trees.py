@@ -73,7 +73,7 @@ def diff_counts(diff: DataFrame) -> DataFrame:
 
 def topics(text: Column, most: int = 5) -> Column:
     """Up to ``most`` topics: the first three long capitalised words of each sentence of 20 characters or more."""
-    parts = F.filter(F.transform(F.split(text, r"[.!?\n]+"), F.trim), lambda s: F.length(s) >= 20)
+    parts = F.filter(F.transform(F.split(text, r"[.!?\n]+"), lambda s: F.trim(s)), lambda s: F.length(s) >= 20)
     named = F.transform(parts, lambda s: F.array_join(F.slice(F.regexp_extract_all(s, F.lit(r"\b([A-Z][a-z]{4,})\b"), 1), 1, 3), " "))
     found = F.slice(F.array_distinct(F.filter(named, lambda t: t != "")), 1, most)
     return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("document content")))
@@ -103,7 +103,8 @@ def made_examples(docs: DataFrame, most: int = 5) -> DataFrame:
     The form is chosen by a hash of the id and the topic, so that every run gives the same.
     """
     t = docs.where(F.length("text") > 100).select("doc_id", "text", F.posexplode(topics(F.col("text"), most)).alias("example_no", "topic"))
-    form = F.element_at(F.array(*(F.lit(f) for f in FORMS)), (F.pmod(F.xxhash64("doc_id", "topic"), F.lit(len(FORMS))) + 1).cast("int"))
+    drawn = F.conv(F.substring(F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(" "), "topic")), 1, 8), 16, 10).cast("bigint") % len(FORMS)
+    form = F.element_at(F.array(*(F.lit(f) for f in FORMS)), (drawn + 1).cast("int"))
     sentences = F.split("text", r"(?<=[.!?])[ \t\n\r]+")
     answer = F.get(F.filter(sentences, lambda s: F.contains(s, F.element_at(F.split(F.col("topic"), " "), 1))), F.lit(0))
     return t.select("doc_id", "example_no", F.replace(form, F.lit("{}"), F.col("topic")).alias("instruction"), F.substring(F.coalesce(answer, "text"), 1, 300).alias("output"))
@@ -114,3 +115,29 @@ def reading_order(elements: DataFrame) -> DataFrame:
     mean = F.avg("x0").over(Window.partitionBy("doc_id"))
     placed = elements.withColumn("side", F.when(F.col("x0") < mean, "left").otherwise("right"))
     return placed.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "y0", "x0")))
+
+
+def cluster_nodes(nodes: DataFrame, size: int = FAN, least: float = 0.7) -> DataFrame:
+    """(doc_id, i, cluster) of nodes (doc_id, i, embedding): greedily, each free node takes later free ones alike.
+
+    In the order of ``i``, a node that no cluster has begins one and takes the next free nodes of a cosine of at
+    least ``least`` until it has ``size``; ``cluster`` is its first ``i``. The nodes of one document are one group.
+    """
+    import numpy as np
+
+    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("i", ignore_index=True)
+        x = np.array(pdf["embedding"].tolist(), np.float64)
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-10)
+        free = np.ones(len(x), bool)
+        own = np.zeros(len(x), np.int64)
+        for k in range(len(x)):
+            if free[k]:
+                later = np.flatnonzero(free[k + 1 :]) + k + 1
+                taken = later[np.round(x[later] @ x[k], 9) >= least][: size - 1]
+                free[taken] = free[k] = False
+                own[taken] = own[k] = pdf["i"].iloc[k]
+        return pd.DataFrame({"doc_id": pdf["doc_id"], "i": pdf["i"], "cluster": own})
+
+    kinds = dict(nodes.dtypes)
+    return nodes.where(F.size("embedding") > 0).groupBy("doc_id").applyInPandas(cluster, f"doc_id {kinds['doc_id']}, i {kinds['i']}, cluster bigint")

@@ -6,7 +6,7 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 Step = Callable[[dict[str, DataFrame]], DataFrame]
 
@@ -31,6 +31,31 @@ class Pipeline:
         self.steps[name] = (step, (after,) if isinstance(after, str) else tuple(after), attempts)
         return self
 
+    def keep(self, name: str, after: str, condition: Column | str) -> Pipeline:
+        """A step with the rows of ``after`` that fulfil ``condition``."""
+        return self.add(name, lambda frames: frames[after].where(condition), after)
+
+    def map(self, name: str, after: str, columns: dict[str, Column]) -> Pipeline:
+        """A step with columns of ``after`` put in or replaced."""
+        return self.add(name, lambda frames: frames[after].withColumns(columns), after)
+
+    def when(self, name: str, after: str, test: Callable[[DataFrame], bool], step: Callable[[DataFrame], DataFrame], otherwise: Callable[[DataFrame], DataFrame] | None = None) -> Pipeline:
+        """A step that depends on a test of the whole frame, such as whether it has rows; without ``otherwise`` the frame stays."""
+        return self.add(name, lambda frames: step(f) if test(f := frames[after]) else otherwise(f) if otherwise else f, after)
+
+    def store(self, name: str, after: str, path: str, form: str = "parquet", mode: str = "overwrite") -> Pipeline:
+        """A step that writes ``after`` and gives what was written."""
+
+        def write(frames: dict[str, DataFrame]) -> DataFrame:
+            frames[after].write.format(form).mode(mode).save(path)
+            return frames[after].sparkSession.read.format(form).schema(frames[after].schema).load(path)
+
+        return self.add(name, write, after)
+
+    def trace(self, frames: dict[str, DataFrame]) -> list[tuple[str, float, int]]:
+        """(step, seconds, rows) of each step that ran; counts the rows."""
+        return [(name, self.timings[name], frames[name].count()) for name in self.order() if name in self.timings]
+
     def order(self) -> list[str]:
         """Names so that each stands after those it waits for."""
         missing = {d for _, after, _ in self.steps.values() for d in after} - self.steps.keys()
