@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from textquarry.session import cut_lineage, shuffle_width
 
-PRIME = (1 << 31) - 1
 PERMUTATIONS, BANDS, SHINGLE, THRESHOLD = 128, 16, 5, 0.7
+# So many of the bands join what is much alike before all pairs of the pieces' buckets are compared.
+FIRST_BANDS = 4
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:
@@ -33,34 +34,33 @@ def first_of_each(docs: DataFrame) -> DataFrame:
 
 
 def coefficients(n: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """Odd factors and summands of n permutations of the 64-bit numbers."""
     rng = np.random.default_rng(seed)
-    return rng.integers(1, PRIME, n, dtype=np.uint64), rng.integers(0, PRIME, n, dtype=np.uint64)
+    return rng.integers(0, 1 << 63, n, dtype=np.uint64) << np.uint64(1) | np.uint64(1), rng.integers(0, 1 << 63, n, dtype=np.uint64)
 
 
 def shingle_hashes(text: str, shingle: int = SHINGLE) -> np.ndarray:
-    """Different 31-bit hashes of the character shingles: a polynomial of the code points over a rolling window, mixed."""
+    """Different 64-bit hashes of the character shingles: a polynomial of the code points over a rolling window, mixed."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     h = np.zeros(len(codes) - shingle + 1, np.uint64)
     for k in range(shingle):
         h = h * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + len(h)] + np.uint64(1)
     for by, shift in ((0xBF58476D1CE4E5B9, 30), (0x94D049BB133111EB, 27)):
         h = (h ^ h >> np.uint64(shift)) * np.uint64(by)
-    return np.unique((h ^ h >> np.uint64(31)) % np.uint64(PRIME))
+    return np.unique(h ^ h >> np.uint64(31))
 
 
 def signature(text: str, a: np.ndarray, b: np.ndarray, shingle: int = SHINGLE) -> np.ndarray | None:
-    """Minima of (a * s + b) mod p over the hashes of the character shingles; None for shorter texts."""
+    """The high 31 bits of the minima of (a * s + b) mod 2 ** 64 over the hashes of the character shingles; None for shorter texts."""
     if len(text) < shingle:
         return None
-    s, p = shingle_hashes(text, shingle), np.uint64(PRIME)
-    best = np.full(len(a), PRIME, np.uint64)
-    for at in range(0, len(s), 1024):
-        x = a[:, None] * s[None, at : at + 1024] + b[:, None]
-        # p is 2 ** 31 - 1, so that the high part counts as much as the low one
-        x = (x & p) + (x >> np.uint64(31))
-        x = (x & p) + (x >> np.uint64(31))
-        np.minimum(best, np.where(x == p, np.uint64(0), x).min(axis=1), out=best)
-    return best
+    s = shingle_hashes(text, shingle)
+    best = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(s), 512):
+        x = np.multiply(a[:, None], s[None, at : at + 512])
+        x += b[:, None]
+        np.minimum(best, x.min(axis=1), out=best)
+    return best >> np.uint64(33)
 
 
 def sketch(places: np.ndarray) -> np.ndarray:
@@ -92,21 +92,23 @@ def _likely(tile: np.ndarray, sketches: np.ndarray, component: np.ndarray, most:
             yield i[keep], j[keep]
 
 
-def minhash_classes(docs: DataFrame, permutations: int = PERMUTATIONS, bands: int = BANDS, threshold: float = THRESHOLD, block_rows: int = 4096) -> DataFrame:
+def minhash_classes(
+    docs: DataFrame, permutations: int = PERMUTATIONS, bands: int = BANDS, threshold: float = THRESHOLD, block_rows: int = 4096, first_bands: int = FIRST_BANDS
+) -> DataFrame:
     """(doc_id, class_id): one row per document with a text.
 
     Documents whose signatures agree in at least ``threshold`` of the places are linked; ``class_id``
-    is the smallest id reachable by links. First, within each of ``bands`` bands, a text is compared
+    is the smallest id reachable by links. First, within each of ``first_bands`` of ``bands`` bands, a text is compared
     with its bucket's first one and its neighbour in the order of the next band's hash, which joins the
     texts that are much alike. Then the signature is cut into one piece more than the places in which
     two linked signatures can differ, so that linked ones agree in at least one whole piece: within
-    each piece's buckets all pairs not yet in one class are compared, by sketches and then by whole
-    signatures. So no link is missed. Buckets of more than ``block_rows`` texts are compared in tiles
+    each piece's buckets that hold more than one class all pairs not yet in one are compared, by sketches
+    and then by whole signatures. So no link is missed. Buckets of more than ``block_rows`` texts are compared in tiles
     of two blocks. Equal texts share a class. Texts shorter than a shingle are compared exactly; null
     and empty texts are left out; repeated rows of an id count once.
     """
     a, b = coefficients(permutations)
-    rows = permutations // bands
+    rows, joined = permutations // bands, min(bands, first_bands)
     most = permutations - next(k for k in range(permutations + 1) if k / permutations >= threshold)
     pieces = min(most + 1, permutations)
     cuts = [k * permutations // pieces for k in range(pieces + 1)]
@@ -120,7 +122,7 @@ def minhash_classes(docs: DataFrame, permutations: int = PERMUTATIONS, bands: in
             for key, text in zip(pdf["rep"], pdf["text"]):
                 s = signature(text, a, b)
                 if s is not None:
-                    whole = s[: rows * bands].reshape(bands, rows)
+                    whole = s[: rows * bands].reshape(bands, rows)[:joined]
                     out.append((key, hashed(list(whole)), hashed([s[p:q] for p, q in zip(cuts, cuts[1:])]), s.astype(np.uint32).tobytes(), sketch(s).tobytes()))
             yield pd.DataFrame(out, columns=["rep", "bands", "pieces", "sig", "sketch"])
 
@@ -140,7 +142,7 @@ def minhash_classes(docs: DataFrame, permutations: int = PERMUTATIONS, bands: in
         return cut_lineage(checked.mapInPandas(verify, "x bigint, y bigint"))
 
     each = signed.select("rep", F.posexplode("bands").alias("band", "hash"), F.col("bands"))
-    order = each.select("rep", "band", "hash", F.element_at("bands", (F.col("band") + 1) % bands + 1).alias("next"))
+    order = each.select("rep", "band", "hash", F.element_at("bands", (F.col("band") + 1) % joined + 1).alias("next"))
     w = Window.partitionBy("band", "hash").orderBy("next", "rep")
     near = order.select("rep", F.lag("rep").over(w).alias("other"))
     hub = order.groupBy("band", "hash").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
@@ -167,8 +169,12 @@ def minhash_classes(docs: DataFrame, permutations: int = PERMUTATIONS, bands: in
             for i, j in _likely(tile, sketches, component, most):
                 yield pd.DataFrame({"x": np.minimum(ids[i], ids[j]), "y": np.maximum(ids[i], ids[j])})
 
-    placed = signed.join(first.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "sketch", F.coalesce("component", "rep").alias("component"), F.explode("pieces").alias("key"))
-    hot = cut_lineage(signed.select(F.explode("pieces").alias("key")).groupBy("key").count().where(F.col("count") > block_rows))
+    # the pieces' buckets are first looked at by class alone: most hold one text, and only the others take sketches along
+    named = signed.join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    buckets = named.select("component", F.explode("pieces").alias("key")).groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("count"))
+    open_ = cut_lineage(buckets.where("low < high").select("key", "count"))
+    placed = named.select("rep", "sketch", "component", F.explode("pieces").alias("key")).join(open_.select("key"), "key", "left_semi")
+    hot = open_.where(F.col("count") > block_rows)
     tiles = placed.withColumns({"ti": F.lit(0), "tj": F.lit(0)})
     if hot.limit(1).count():
         blocks = F.ceil(F.col("count") / block_rows).cast("int")
@@ -279,3 +285,11 @@ def vector_classes(vectors: DataFrame, threshold: float = 0.92, block_rows: int
     return members.join(classes.withColumnRenamed("node", "rep"), "rep", "left").join(counts, "rep", "left").select(
         "vec_id", F.coalesce("component", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links")
     )
+
+
+def deduplicate(rows: DataFrame, strategy: str = "minhash", **options) -> DataFrame:
+    """The classes of a strategy by its name: minhash and lsh (texts), embedding (vectors), exact (groups of equal texts)."""
+    strategies = {"minhash": minhash_classes, "lsh": minhash_classes, "embedding": vector_classes, "exact": exact_groups}
+    if strategy not in strategies:
+        raise ValueError(f"unknown strategy {strategy!r}; one of {', '.join(strategies)}")
+    return strategies[strategy](rows, **options)
