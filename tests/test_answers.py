@@ -221,3 +221,46 @@ def test_pipeline_keeps_maps_chooses_and_stores(spark, tmp_path):
     frames = p.run(spark)
     assert [(r.doc_id, r.n, r.few) for r in frames["kept"].collect()] == [(2, 2, True)]
     assert [(name, rows) for name, _, rows in p.trace(frames)] == [("docs", 3), ("long", 1), ("sized", 1), ("checked", 1), ("kept", 1)]
+
+
+def test_printed_contents_fields_and_characters(spark):
+    d = docs(spark, [(1, "Intro .... 3\n  Part one  ...... 5\nno page here\n    Deep    12\n"), (2, None), (3, "")])
+    from textquarry.operators import graph
+
+    assert [tuple(r) for r in graph.printed_contents(d).orderBy("seq").collect()] == [(1, 1, 1, "Intro", 3), (1, 2, 2, "Part one", 5), (1, 3, 3, "Deep", 12)]
+    x = docs(spark, [(1, "a\n**Topic**: law\n"), (2, "none"), (3, None)])
+    assert [r[0] for r in x.orderBy("doc_id").select(T.field_of(F.col("text"), "topic", "-")).collect()] == ["law", "-", "-"]
+    ids = {r.doc_id: r.i for r in docs(spark, [(1, "aé漢"), (2, ""), (3, "b" * 9)]).select("doc_id", T.character_ids(F.col("text"), 4).alias("i")).collect()}
+    assert ids == {1: [97, 233, 28450, 0], 2: [0] * 4, 3: [98] * 4}
+
+
+def test_fixes_tenants_stubs_and_strategies(spark):
+    from textquarry.operators import governance
+
+    long = " ".join(["word"] * 12)
+    d = spark.createDataFrame([(1, None, "a"), (2, "few words", "a"), (3, long, "gone"), (4, long, None), (5, long, "a")], "doc_id int, text string, source string")
+    live = spark.createDataFrame([("a",), (None,), ("a",)], "source string")
+    assert {(r.doc_id, r.reason) for r in governance.index_fixes(d, live).collect()} == {(1, "empty"), (2, "short"), (3, "orphan"), (4, "orphan")}
+    assert governance.tenant_rows(d, "a", "source").count() == 3
+    with pytest.raises(ValueError):
+        governance.tenant_rows(d, "", "source")
+    c = spark.createDataFrame([(1, 1, 0, 0.9, "x" * 40), (1, 2, 1, 0.2, "y" * 3000), (1, 3, 2, 0.1, "z" * 3000), (2, 4, 0, 0.1, "short")], "query_id int, chunk_id int, position int, score double, text string")
+    got = {(r.query_id, r.chunk_id): (r.score, r.text) for r in context.pack_with_stub(c, 100).collect()}
+    assert set(got) == {(1, 1), (1, None), (2, 4)} and got[(1, None)] == (0.3, "y" * 1000)
+    with pytest.raises(ValueError):
+        dedup.deduplicate(d, "none")
+    assert dedup.deduplicate(docs(spark, [(1, "same text"), (2, "same text")]), "lsh").count() == 2
+
+
+def test_questions_in_other_languages_and_a_written_index(spark, tmp_path):
+    d = docs(spark, [(1, "The cat sat on the mat. The dog barked at night."), (2, None)])
+    q = spark.createDataFrame([(1, "Which dog barked?"), (2, "Welcher Hund?"), (3, None)], "query_id int, query string")
+    languages = spark.createDataFrame([(1, "en"), (2, "de")], "query_id int, lang string")
+
+    def model(prompts):
+        return ["Which dog barked?" if p.startswith("Translate into en") else "zurück" if p.startswith("Translate into de") else "the dog" for p in prompts]
+
+    got = {r.query_id: r.answer for r in answers.ask_translated(d, q, languages, model, wait=0).collect()}
+    assert got == {1: "the dog", 2: "zurück", 3: None}
+    written = answers.index_documents(d, str(tmp_path / "index"), 20, 0, 8)
+    assert written.columns == ["doc_id", "chunk_seq", "chunk", "embedding"] and written.count() == 3 and written.where("size(embedding) = 8").count() == 3

@@ -144,3 +144,25 @@ def merge_documents(docs: DataFrame, by: list[str]) -> DataFrame:
     rows = docs.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("doc_id", F.coalesce("text", F.lit("")).alias("text"), "source_path"))).alias("r"))
     paths = F.filter(F.transform("r", lambda x: x["source_path"]), lambda p: F.length(p) > 0)
     return rows.select(*by, F.size("r").alias("n"), F.array_join(F.transform("r", lambda x: x["text"]), "\n\n").alias("text"), F.array_join(paths, ";").alias("source_path"))
+
+
+def field_of(text: Column, name: str, default: str = "") -> Column:
+    """What stands after ``name`` and a colon in its line, in any case of letters; ``default`` without such a line."""
+    found = strip(F.regexp_extract(text, rf"(?im)^[ \t\"*-]*{name}[\"*]*[ \t]*:[ \t]*([^\n]*)$", 1))
+    return F.when(found != "", found).otherwise(F.lit(default))
+
+
+def character_ids(text: Column, most: int = 128) -> Column:
+    """The code points of the first ``most`` characters, filled up with zeros."""
+    characters = F.filter(F.split(F.substring(text, 1, most), ""), lambda c: c != "")
+    return F.slice(F.concat(F.transform(characters, lambda c: F.ascii(c)), F.array_repeat(F.lit(0), most)), 1, most)
+
+
+def document_hash(text: Column, *fields: Column) -> Column:
+    """SHA-256 of the text and the JSON of further fields."""
+    return F.sha2(F.concat(F.coalesce(text, F.lit("")), F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})), 256)
+
+
+def fields_key(*fields: Column) -> Column:
+    """Sixteen hexadecimal digits of the SHA-256 of fields joined by bars; nulls count as empty."""
+    return F.substring(F.sha2(F.concat_ws("|", *(F.coalesce(f.cast("string"), F.lit("")) for f in fields)), 256), 1, 16)

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textquarry.functions.text import split_words
+from textquarry.operators.chunking import fixed_chunks
 from textquarry.operators.context import pack_by_score
-from textquarry.operators.models import Model, answer_prompt, call_model, question_and_answer, test_prompt
+from textquarry.operators.models import Model, answer_prompt, call_model, question_and_answer, test_prompt, translation_prompt
 from textquarry.operators.retrieval import bm25, hashed_embeddings, linear_fusion, query_weights, vector_search
 
 
@@ -150,3 +151,28 @@ def chat_window(turns: DataFrame, most_turns: int = 10, budget: int = 4000) -> D
     tokens = F.greatest(F.lit(1), F.floor(F.length(F.coalesce("text", F.lit(""))) / 4))
     sized = turns.withColumns({"_r": F.row_number().over(back), "_t": F.sum(tokens).over(back.rowsBetween(Window.unboundedPreceding, 0))})
     return sized.where((F.col("_r") <= most_turns) & (F.col("_t") <= budget)).drop("_r", "_t")
+
+
+def ask_translated(docs: DataFrame, queries: DataFrame, languages: DataFrame, model: Model, base: str = "en", **options) -> DataFrame:
+    """(query_id, answer, doc_ids): as ``ask``, for questions in other languages than the corpus.
+
+    ``languages``: query_id, lang. Questions not in ``base`` are translated into it, and their answers back, by
+    the model; each different question is translated once.
+    """
+    asked = queries.select("query_id", "query").join(languages.select("query_id", "lang"), "query_id", "left").withColumn("lang", F.coalesce("lang", F.lit(base)))
+    foreign = asked.where(F.col("lang") != base)
+    told = call_model(foreign.select("query", "lang").distinct(), translation_prompt(F.col("query"), F.lit(base)), model, "said", **options).select("query", "lang", "said")
+    turned = asked.join(told, ["query", "lang"], "left")
+    found = ask(docs, turned.select("query_id", F.coalesce("said", "query").alias("query")), model, **options)
+    whole = found.select("query_id", "answer", "doc_ids").join(asked.select("query_id", "lang"), "query_id")
+    back = call_model(whole, F.when(F.col("lang") != base, translation_prompt(F.col("answer"), F.col("lang"))), model, "back", **options)
+    return back.select("query_id", F.coalesce("back", "answer").alias("answer"), "doc_ids")
+
+
+def index_documents(docs: DataFrame, path: str, size: int = 1000, overlap: int = 100, dims: int = 64) -> DataFrame:
+    """The index (doc_id, chunk_seq, chunk, embedding) of texts, cut, embedded and written to ``path`` as parquet."""
+    chunks = fixed_chunks(docs, size, overlap).select("doc_id", "chunk_seq", "chunk")
+    keyed = chunks.select(F.struct("doc_id", "chunk_seq").alias("key"), F.col("chunk").alias("text"))
+    embedded = hashed_embeddings(keyed, dims, "key").select("key.doc_id", "key.chunk_seq", "embedding")
+    chunks.join(embedded, ["doc_id", "chunk_seq"], "left").write.mode("overwrite").parquet(path)
+    return docs.sparkSession.read.parquet(path)

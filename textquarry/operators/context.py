@@ -149,3 +149,17 @@ def compressed(chunks: DataFrame, budget: int = 4000, most_tokens: int = 800) ->
     )["kept"]
     kept = fitted.select("query_id", F.when(F.col("fits"), F.col("parts")).otherwise(greedy).alias("parts"))
     return kept.select("query_id", F.posexplode("parts").alias("place", "p")).select("query_id", "place", "p.source", "p.score", "p.text")
+
+
+def pack_with_stub(chunks: DataFrame, budget: int, least: float = 0.5, stub: int = 1000) -> DataFrame:
+    """(query_id, chunk_id, score, text): all chunks that fit into ``budget`` tokens together, else those of a score of ``least`` and one stub.
+
+    The stub has a null chunk_id, the score 0.3 and the first ``stub`` characters of the other chunks in their order.
+    """
+    tokens = F.sum(estimated_tokens(F.col("text"))).over(Window.partitionBy("query_id"))
+    sized = chunks.select("query_id", "chunk_id", "position", "score", "text", (tokens <= budget).alias("fits"))
+    kept = sized.where(F.col("fits") | (F.col("score") >= least)).select("query_id", "chunk_id", "score", "text")
+    rest = sized.where(~F.col("fits") & (F.col("score") < least)).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("position", F.substring("text", 1, stub).alias("text")))).alias("r"))
+    joined = F.substring(F.array_join(F.transform("r", lambda x: x["text"]), " "), 1, stub)
+    kind = dict(chunks.dtypes)["chunk_id"]
+    return kept.unionByName(rest.select("query_id", F.lit(None).cast(kind).alias("chunk_id"), F.lit(0.3).alias("score"), joined.alias("text")))

@@ -103,3 +103,18 @@ def file_verdict(path: Column, length: Column, extensions: list[str], most: int
     """ok, or why a file isn't read: empty, too large, or of an unknown extension."""
     kind = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
     return F.when(length == 0, "empty").when(length > most, "too_large").when(~kind.isin(*extensions), "extension").otherwise("ok")
+
+
+def index_fixes(docs: DataFrame, live: DataFrame) -> DataFrame:
+    """(doc_id, reason): texts of an index to delete: empty, short (under 10 words) or orphan (source not among ``live``)."""
+    n = F.size(split_words(F.coalesce("text", F.lit(""))))
+    known = live.select("source").where(F.col("source").isNotNull()).distinct().withColumn("_live", F.lit(True))
+    reason = F.when(n == 0, "empty").when(n < 10, "short").when(F.col("_live").isNull(), "orphan")
+    return docs.select("doc_id", "text", "source").join(known, "source", "left").select("doc_id", reason.alias("reason")).where(F.col("reason").isNotNull())
+
+
+def tenant_rows(index: DataFrame, tenant: str, column: str = "tenant_id") -> DataFrame:
+    """The rows of one tenant of an index that is written partitioned by tenant; an empty name is an error."""
+    if not tenant:
+        raise ValueError("a tenant must be named")
+    return index.where(F.col(column) == tenant)

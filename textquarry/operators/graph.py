@@ -151,3 +151,17 @@ def node_matches(nodes: DataFrame, terms: list[str]) -> DataFrame:
     for t in terms:
         score = score + F.when(F.contains(F.lower("label"), F.lit(t.lower())), 2).otherwise(0) + F.when(F.contains(F.lower(F.coalesce("metadata", F.lit(""))), F.lit(t.lower())), 1).otherwise(0)
     return nodes.select("node", score.alias("score")).where("score > 0")
+
+
+def printed_contents(docs: DataFrame) -> DataFrame:
+    """(doc_id, seq, level, title, page) of printed lists of contents: titles, dots or blanks, and a page number at the end.
+
+    Two blanks of indentation make a level. Lines without a page are left out.
+    """
+    lines = docs.where(F.length("text") > 0).select("doc_id", F.posexplode(F.split("text", "\r\n|\n|\r")).alias("line", "s"))
+    form = r"^([ ]*)([^ ].*?)[ ]*(?:\.{2,}|[ ]{2,})[ ]*(\d{1,5})[ ]*$"
+    part = lambda k: F.regexp_extract("s", form, k)
+    found = lines.where(F.col("s").rlike(form)).select(
+        "doc_id", "line", (F.floor(F.length(part(1)) / 2) + 1).cast("int").alias("level"), part(2).alias("title"), part(3).cast("int").alias("page")
+    )
+    return found.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("line")).alias("seq"), "level", "title", "page")

@@ -206,3 +206,11 @@ def hashed_embeddings(docs: DataFrame, dims: int = 64, id_col: str = "doc_id", t
     m = hashed_terms(docs, dims, id_col, text_col).groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("m"))
     dense = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda k: F.coalesce(F.col("m")[k], F.lit(0.0)).cast("float"))
     return m.select(id_col, dense.alias("embedding"))
+
+
+def variant_union(lists: list[DataFrame], k: int = 10, id_col: str = "doc_id") -> DataFrame:
+    """(query_id, id, score, rank): the results of several wordings of each question, each text once with its best score."""
+    union = lists[0].select("query_id", id_col, "score")
+    for x in lists[1:]:
+        union = union.unionByName(x.select("query_id", id_col, "score"))
+    return top_per_query(union.groupBy("query_id", id_col).agg(F.max("score").alias("score")), k, id_col)

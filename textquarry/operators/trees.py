@@ -110,11 +110,11 @@ def made_examples(docs: DataFrame, most: int = 5) -> DataFrame:
     return t.select("doc_id", "example_no", F.replace(form, F.lit("{}"), F.col("topic")).alias("instruction"), F.substring(F.coalesce(answer, "text"), 1, 300).alias("output"))
 
 
-def reading_order(elements: DataFrame) -> DataFrame:
-    """Layout elements (doc_id, page, x0, y0, text) with their column (left or right of the mean x0) and place."""
+def reading_order(elements: DataFrame, *ties: str) -> DataFrame:
+    """Layout elements (doc_id, page, x0, y0, text) with their column (left or right of the mean x0) and place; ``ties`` decide between equal places."""
     mean = F.avg("x0").over(Window.partitionBy("doc_id"))
     placed = elements.withColumn("side", F.when(F.col("x0") < mean, "left").otherwise("right"))
-    return placed.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "y0", "x0")))
+    return placed.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "y0", "x0", *ties)))
 
 
 def cluster_nodes(nodes: DataFrame, size: int = FAN, least: float = 0.7) -> DataFrame:

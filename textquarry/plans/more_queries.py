@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textquarry.functions import redact, text as T
@@ -431,3 +431,153 @@ SQL["chunk_semantic"] = rf"""
              CASE WHEN k < len(p) AND length(now) + length(p[k + 1]) <= 1000 THEN now || chr(10) || chr(10) || p[k + 1] ELSE p[k + 1] END, CASE WHEN k < len(p) AND length(now) + length(p[k + 1]) <= 1000 THEN NULL ELSE now END FROM w WHERE k <= len(p))
     SELECT doc_id, (chunk_seq - 1)::INT AS chunk_seq, done AS chunk FROM w WHERE done IS NOT NULL
 """
+
+
+# ---- tables in which the links and relations are not empty
+
+_PAIR = r"^([A-Z][a-z]+ [A-Z][a-z]+)[^;|,]*[;|][ ]*([A-Z][a-z]+ [A-Z][a-z]+)"
+
+
+@query(
+    rf"""
+    WITH p AS (SELECT DISTINCT document_id, regexp_extract(metadata['participants'], '{_PAIR}', 1) AS a, regexp_extract(metadata['participants'], '{_PAIR}', 2) AS b FROM raw_documents)
+    SELECT document_id AS doc_id, 'works for' AS relation, a AS source, b AS target FROM p WHERE a <> '' AND a <> b UNION SELECT document_id, 'led by', b, a FROM p WHERE a <> '' AND a <> b
+    """
+)
+def participant_relations(spark: SparkSession, sf: str) -> DataFrame:
+    """Relations in sentences made of each transcript's first two participants."""
+    said = F.col("metadata")["participants"]
+    named = table(spark, sf, "raw_documents").select(F.col("document_id").alias("doc_id"), F.regexp_extract(said, _PAIR, 1).alias("a"), F.regexp_extract(said, _PAIR, 2).alias("b")).where("a <> ''")
+    return G.relations(named.select("doc_id", F.concat("a", F.lit(" works for "), "b", F.lit(". "), "b", F.lit(" is led by "), "a", F.lit(".")).alias("text")))
+
+
+@query(
+    r"""
+    WITH h AS (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/]+)', 1) AS o, unnest(regexp_extract_all(html, '<[aA][ \t\n][^>]*href="([^"#]+)', 1)) AS h FROM crawl_results WHERE length(html) > 0),
+    t AS (SELECT DISTINCT page_id, CASE WHEN regexp_matches(h, '^[a-z]+://') THEN h WHEN starts_with(h, '/') THEN o || h END AS target FROM h)
+    SELECT target, count(*)::BIGINT AS pages FROM t WHERE target IS NOT NULL AND target NOT IN (SELECT url FROM crawl_results WHERE url IS NOT NULL) GROUP BY 1
+    """
+)
+def orphan_targets(spark: SparkSession, sf: str) -> DataFrame:
+    """Link targets that no page of the crawl has as its address."""
+    crawl = table(spark, sf, "crawl_results")
+    known = crawl.select(F.col("url").alias("target")).where(F.col("target").isNotNull()).distinct()
+    return G.page_links(crawl).join(known, "target", "left_anti").groupBy("target").agg(F.count(F.lit(1)).alias("pages"))
+
+
+# ---- more of the inventory
+
+_CONTENTS = r"""
+    l AS (SELECT doc_id, i, string_split_regex(text, '\r\n|\n|\r')[i + 1] AS s FROM documents, LATERAL (SELECT unnest(range(0, len(string_split_regex(text, '\r\n|\n|\r')))) AS i) WHERE length(text) > 0),
+    h AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS seq, length(regexp_extract(s, '^(#{1,6})', 1)) AS level, regexp_replace(regexp_replace(s, '^#{1,6}[ \t]+', ''), '^[ \t\n\r\f]+|[ \t\n\r\f]+$', '', 'g') AS title
+          FROM l WHERE regexp_matches(s, '^#{1,6}[ \t]+[^ \t]'))
+"""
+
+
+@query(f"WITH {_CONTENTS} SELECT doc_id, seq::INT AS seq, level::INT AS level, title, (seq * 3)::INT AS page FROM h")
+def printed_contents(spark: SparkSession, sf: str) -> DataFrame:
+    """The headings of each text printed as a list of contents, and read again."""
+    h = G.headings(documents(spark, sf, "doc_id", "text"))
+    line = F.concat(F.repeat(F.lit("  "), F.col("level") - 1), "title", F.lit(" ..... "), F.col("seq") * 3)
+    printed = h.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", line.alias("l")))).alias("r")).select("doc_id", F.array_join(F.transform("r", lambda x: x["l"]), "\n").alias("text"))
+    return G.printed_contents(printed)
+
+
+@query(r"""SELECT doc_id, CASE WHEN t <> '' THEN t ELSE 'none' END AS topic FROM (SELECT doc_id, regexp_replace(regexp_extract(text, '(?im)^[ \t"*-]*topic["*]*[ \t]*:[ \t]*([^\n]*)$', 1), '^[ \t\n\r\f]+|[ \t\n\r\f]+$', '', 'g') AS t FROM documents WHERE text IS NOT NULL)""")
+def document_fields(spark: SparkSession, sf: str) -> DataFrame:
+    return documents(spark, sf, "doc_id", "text").where(F.col("text").isNotNull()).select("doc_id", T.field_of(F.col("text"), "topic", "none").alias("topic"))
+
+
+@query("SELECT doc_id, (list_concat(list_transform(list_filter(string_split(substr(title, 1, 32), ''), lambda c: c <> ''), lambda c: unicode(c)), list_transform(range(0, 32), lambda x: 0)))[1:32]::INT[] AS ids FROM documents WHERE title IS NOT NULL")
+def title_characters(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").where(F.col("title").isNotNull()).select("doc_id", T.character_ids(F.col("title"), 32).alias("ids"))
+
+
+@query("""SELECT doc_id, sha256(coalesce(text, '') || to_json({'source_type': source_type, 'source_path': source_path})::VARCHAR) AS document_hash, substr(sha256(coalesce(source, '') || '|' || coalesce(title, '') || '|' || doc_id), 1, 16) AS key FROM documents""")
+def document_hashes(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", T.document_hash(F.col("text"), F.col("source_type"), F.col("source_path")).alias("document_hash"), T.fields_key(F.col("source"), F.col("title"), F.col("doc_id")).alias("key"))
+
+
+@query(
+    rf"""
+    WITH v AS (SELECT source FROM documents WHERE source IS NOT NULL GROUP BY 1 HAVING count(*) > 20), n AS (SELECT doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '{_WS}+'), lambda x: x <> '')) AS n FROM documents),
+    r AS (SELECT doc_id, CASE WHEN n = 0 THEN 'empty' WHEN n < 10 THEN 'short' WHEN v.source IS NULL THEN 'orphan' END AS reason FROM n LEFT JOIN v USING (source)) SELECT * FROM r WHERE reason IS NOT NULL
+    """
+)
+def index_fixes(spark: SparkSession, sf: str) -> DataFrame:
+    d = documents(spark, sf, "doc_id", "text", "source")
+    return V.index_fixes(d, d.groupBy("source").count().where("count > 20"))
+
+
+@query("SELECT doc_id, lang FROM documents WHERE lang = 'de'")
+def tenant_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return V.tenant_rows(table(spark, sf, "documents").select("doc_id", "lang"), "de", "lang")
+
+
+_OVERLAPPED = rf"""
+    qw AS (SELECT doc_id AS query_id, list_distinct(list_filter(string_split_regex(lower(title), '{_WS}+'), lambda x: x <> '')) AS w FROM documents WHERE doc_id % 100 = 0 AND title IS NOT NULL),
+    qe AS (SELECT query_id, len(w) AS n, unnest(w) AS word FROM qw),
+    dw AS (SELECT doc_id, unnest(list_distinct(list_filter(string_split_regex(lower(text), '{_WS}+'), lambda x: x <> ''))) AS word FROM documents WHERE length(text) > 0),
+    os AS (SELECT query_id, doc_id, round(count(*) / any_value(n), 6) AS score FROM qe JOIN dw USING (word) GROUP BY 1, 2),
+    ov AS (SELECT query_id, doc_id, score FROM os QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 10)
+"""
+
+
+@query(
+    f"""
+    WITH {_BM25}, {_OVERLAPPED}, u AS (SELECT query_id, doc_id, max(score) AS score FROM (SELECT query_id, doc_id, score FROM bm UNION ALL SELECT * FROM ov) GROUP BY 1, 2)
+    SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM u QUALIFY rank <= 10
+    """
+)
+def variant_union(spark: SparkSession, sf: str) -> DataFrame:
+    d, q = documents(spark, sf, "doc_id", "text"), _title_queries(spark, sf)
+    return R.variant_union([R.bm25(d, q), R.keyword_overlap(d, q)])
+
+
+@query(
+    f"""
+    WITH {_BM25}, t AS (SELECT bm.query_id, bm.doc_id, bm.rank, bm.score / 40 AS score, d.text, greatest(1, length(d.text) // 4) AS n FROM bm JOIN documents d USING (doc_id)),
+    z AS (SELECT *, sum(n) OVER (PARTITION BY query_id) <= 800 AS fits FROM t)
+    SELECT query_id, doc_id AS chunk_id, score, text FROM z WHERE fits OR score >= 0.5
+    UNION ALL SELECT query_id, NULL, 0.3, substr(string_agg(substr(text, 1, 1000), ' ' ORDER BY rank), 1, 1000) FROM z WHERE NOT fits AND score < 0.5 GROUP BY 1
+    """
+)
+def stubbed_context(spark: SparkSession, sf: str) -> DataFrame:
+    return X.pack_with_stub(_retrieved(spark, sf).withColumn("score", F.col("score") / 40), 800)
+
+
+@query(
+    f"""
+    WITH {_BM25}, t AS (SELECT bm.query_id, bm.score / 100 AS score, d.source FROM bm JOIN documents d USING (doc_id)),
+    g AS (SELECT query_id, avg(score) - 0.2::DOUBLE * (max(score) - min(score)) AS retrieval, count(DISTINCT source) FILTER (source <> '') AS sources, count(*) AS n FROM t GROUP BY 1)
+    SELECT query_id, round(0.3::DOUBLE * greatest(0, least(1, retrieval)) + 0.2::DOUBLE * (CASE WHEN sources = 0 THEN 0.3 ELSE least(1, 2 * sources / n) END), 4) AS confidence FROM g
+    """
+)
+def chunk_confidence(spark: SparkSession, sf: str) -> DataFrame:
+    chunks = _retrieved(spark, sf).withColumn("score", F.col("score") / 100)
+    return X.confidence(chunks, chunks.select("query_id").distinct().withColumns({"question": F.lit(""), "answer": F.lit("")}))
+
+
+@query(
+    """
+    WITH e AS (SELECT l_orderkey AS doc_id, l_linenumber AS line, l_quantity AS x0, l_extendedprice AS y0 FROM lineitem), m AS (SELECT *, avg(x0) OVER (PARTITION BY doc_id) AS mean FROM e)
+    SELECT doc_id, line, CASE WHEN x0 < mean THEN 'left' ELSE 'right' END AS side, row_number() OVER (PARTITION BY doc_id ORDER BY y0, x0, line)::INT AS place FROM m
+    """
+)
+def reading_order(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.col("l_quantity").alias("x0"), F.col("l_extendedprice").alias("y0"), F.col("l_linenumber").alias("line"))
+    return trees.reading_order(e, "line").select("doc_id", "line", "side", "place")
+
+
+@query(
+    """
+    WITH t AS (SELECT user_id AS chat_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS turn_no, greatest(1, length(props) // 4) AS n FROM events),
+    b AS (SELECT *, row_number() OVER w AS r, sum(n) OVER (PARTITION BY chat_id ORDER BY turn_no DESC ROWS UNBOUNDED PRECEDING) AS s FROM t WINDOW w AS (PARTITION BY chat_id ORDER BY turn_no DESC))
+    SELECT chat_id, event_id FROM b WHERE r <= 10 AND s <= 16
+    """
+)
+def chat_windows(spark: SparkSession, sf: str) -> DataFrame:
+    turn = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    turns = table(spark, sf, "events").select(F.col("user_id").alias("chat_id"), turn.alias("turn_no"), "event_id", F.col("props").alias("text"))
+    return N.chat_window(turns, 10, 16).select("chat_id", "event_id")
