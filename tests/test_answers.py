@@ -264,3 +264,14 @@ def test_questions_in_other_languages_and_a_written_index(spark, tmp_path):
     assert got == {1: "the dog", 2: "zurück", 3: None}
     written = answers.index_documents(d, str(tmp_path / "index"), 20, 0, 8)
     assert written.columns == ["doc_id", "chunk_seq", "chunk", "embedding"] and written.count() == 3 and written.where("size(embedding) = 8").count() == 3
+
+
+def test_all_forms_of_personal_data(spark):
+    from textquarry.functions import redact
+
+    said = {
+        "1234-5678 9012-3456": "[CREDIT_CARD]", "1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6": "[CREDIT_CARD]", "2001:db8:0:0:0:0:0:1": "[IPV6_ADDRESS]",
+        "fe80:::1": "[IPV6_ADDRESS]", "http://go.news.bit.ly/x1": "[SHORT_URL]", "https://t.co/abc": "[SHORT_URL]", "http://orbit.lyon/x": "http://orbit.lyon/x",
+    }
+    rows = spark.createDataFrame([(k,) for k in said], "text string").select("text", redact.redact_pii(F.col("text")).alias("r"))
+    assert {r.text: r.r for r in rows.collect()} == said

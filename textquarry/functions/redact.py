@@ -13,12 +13,15 @@ PII = (
     (r"\b\d{3}[-. ]?\d{3}[-. ]?\d{4}\b", "[PHONE]"),
     (r"\b\d{3}-\d{2}-\d{4}\b", "[SSN]"),
     (r"\b(?:\d{4}[- ]?){3}\d{4}\b", "[CREDIT_CARD]"),
+    (r"\b(?:\d[- ]*){16}\b", "[CREDIT_CARD]"),
     (r"\b(?:(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\.){3}(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\b", "[IP_ADDRESS]"),
     (r"\b(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}\b", "[IPV6_ADDRESS]"),
+    (r"\b(?:[0-9a-fA-F]{1,4}:){1,6}::(?:[0-9a-fA-F]{1,4}:){0,5}[0-9a-fA-F]{1,4}?\b", "[IPV6_ADDRESS]"),
+    (r"\b::(?:[0-9a-fA-F]{1,4}:){0,6}[0-9a-fA-F]{1,4}?\b", "[IPV6_ADDRESS]"),
     (r"\b\d{1,2}[/-]\d{1,2}[/-]\d{4}\b", "[DATE]"),
     (r"\b[A-Z]{2}\d{6,9}\b", "[PASSPORT]"),
     (r"\b(?:sk|pk)-[a-zA-Z0-9]{20,}\b", "[API_KEY]"),
-    (r"https?://(?:bit\.ly|tinyurl\.com|short\.link|t\.co)/[^ \t\n\r]+", "[SHORT_URL]"),
+    (r"https?://(?:[^ \t\n\r/$.?#]+\.)*(?:bit\.ly|tinyurl\.com|short\.link|t\.co)/[^ \t\n\r]+", "[SHORT_URL]"),
 )
 # Fixed values: (name, severity, pattern, label) of secrets.
 SECRETS = (

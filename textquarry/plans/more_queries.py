@@ -581,3 +581,30 @@ def chat_windows(spark: SparkSession, sf: str) -> DataFrame:
     turn = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     turns = table(spark, sf, "events").select(F.col("user_id").alias("chat_id"), turn.alias("turn_no"), "event_id", F.col("props").alias("text"))
     return N.chat_window(turns, 10, 16).select("chat_id", "event_id")
+
+
+SQL["reasoned"] = rf"""
+    WITH p AS (SELECT item_id AS query_id, question, list_filter(list_transform(string_split_regex(question, '[ \t]+(?:and|or|but|,|\?)[ \t]+'),
+               lambda x: regexp_replace(regexp_replace(regexp_replace(x, '^[ \t\n\r\f]+|[ \t\n\r\f]+$', '', 'g'), '^\?+|\?+$', '', 'g'), '^[ \t\n\r\f]+|[ \t\n\r\f]+$', '', 'g')), lambda x: length(x) > 10) AS p FROM eval_items),
+    e AS (SELECT query_id, unnest(p) AS part, unnest(range(0, len(p))) AS i FROM p),
+    s AS (SELECT query_id, count(*) AS n, string_agg(part || ': ' || md5({_SAFE(f"('Answer in one sentence.' || {_NL} || part)")}), chr(10) ORDER BY i) AS context FROM e GROUP BY 1)
+    SELECT p.query_id, coalesce(n, 0)::INT AS steps, md5({_SAFE(f"('Answer the question from the context alone; say so if it isn''t there.' || {_NL} || 'Context:' || chr(10) || coalesce(context, '') || {_NL} || 'Question: ' || question)")}) AS answer
+    FROM p LEFT JOIN s USING (query_id)
+"""
+
+SQL["hashed_neighbours"] = (
+    "WITH "
+    + _EMBEDDED.format("d", f"SELECT doc_id AS id, unnest({_TERMS}) AS term FROM documents")
+    + """,
+    prod AS (SELECT q.id AS query_id, d.id AS vec_id, sum(q.w * d.w) AS s FROM de q JOIN de d USING (bucket) WHERE q.id % 100 = 0 GROUP BY 1, 2),
+    every AS (SELECT q.id AS query_id, r.id AS vec_id, round(coalesce(s, 0) / q.norm / r.norm, 6) AS score FROM dn q JOIN dn r ON q.id <> r.id LEFT JOIN prod ON prod.query_id = q.id AND prod.vec_id = r.id WHERE q.id % 100 = 0)
+    SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM every QUALIFY rank <= 5
+"""
+)
+
+SQL["vector_duplicates"] = """
+    WITH RECURSIVE l AS (SELECT a.vec_id AS x, b.vec_id AS y, a.embedding <> b.embedding AS other FROM embeddings a JOIN embeddings b
+                           ON a.vec_id <> b.vec_id AND (a.embedding = b.embedding OR round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) >= 0.92)),
+    r AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y)
+    SELECT r.x AS vec_id, min(r.y) AS class_id, coalesce(any_value(n), 0)::BIGINT AS links FROM r LEFT JOIN (SELECT x, count(*) FILTER (other) AS n FROM l GROUP BY 1) k ON k.x = r.x GROUP BY 1
+"""
