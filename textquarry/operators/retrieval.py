@@ -27,22 +27,26 @@ def term_statistics(docs: DataFrame) -> DataFrame:
     return postings(docs).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
-def sought_terms(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", most_sent: int = MOST_SENT_TERMS) -> tuple[DataFrame, DataFrame]:
-    """((id, term, tf, dl) of the sought ``terms``, (docs, avgdl) over all texts); each text is split into terms once.
+def sought_terms(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", most_sent: int = MOST_SENT_TERMS) -> DataFrame:
+    """(id, term, tf, dl, df, docs, avgdl) of the sought ``terms``, the last three over all texts; each text is split into terms once.
 
     Only the sought terms of a text leave it, so what is moved grows with the hits. Up to ``most_sent`` terms
     are part of the plan; more are joined as a table before anything is counted.
     """
     split = docs.where(F.length("text") > 0).select(id_col, ascii_terms(F.col("text")).alias("t"))
-    if terms.count() <= most_sent:
-        wanted = [r[0] for r in terms.collect()]
+    wanted = [r[0] for r in terms.limit(most_sent + 1).collect()]
+    if len(wanted) <= most_sent:
         kept = cut_lineage(split.select(id_col, F.size("t").alias("dl"), F.filter("t", lambda x: x.isin(wanted)).alias("t")))
-        found = kept.select(id_col, "dl", F.explode("t").alias("term"))
+        # a text's few sought terms are counted within its row
+        counts = F.transform(F.array_distinct("t"), lambda x: F.struct(x.alias("term"), F.size(F.filter("t", lambda y: y == x)).cast("bigint").alias("tf")))
+        found = kept.select(id_col, "dl", F.inline(counts)).select(id_col, "term", "tf", "dl")
     else:
         kept = cut_lineage(split.select(id_col, F.size("t").alias("dl"), "t"))
-        found = kept.select(id_col, "dl", F.explode("t").alias("term")).join(terms, "term", "left_semi")
+        each = kept.select(id_col, "dl", F.explode("t").alias("term")).join(terms, "term", "left_semi")
+        found = each.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
     size = kept.where("dl > 0").agg(F.count(F.lit(1)).alias("docs"), F.avg("dl").alias("avgdl"))
-    return found.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl")), size
+    df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return found.join(F.broadcast(df) if len(wanted) <= most_sent else df, "term").join(F.broadcast(size))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_id", k1: float = K1, b: float = B, most_sent: int = MOST_SENT_TERMS) -> DataFrame:
@@ -52,21 +56,8 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_id
     terms of a query count once; ties go to the smaller id; queries without a known term give no row.
     """
     wanted = queries.where(F.length("query") > 0).select("query_id", F.explode(F.array_distinct(ascii_terms(F.col("query")))).alias("term"))
-    found, size = sought_terms(docs, wanted.select("term").distinct(), id_col, most_sent)
-    df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weighted = (
-        found.join(df, "term")
-        .join(F.broadcast(size))
-        .select(
-            id_col,
-            "term",
-            (
-                F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
-                * (F.col("tf") * (k1 + 1))
-                / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-            ).alias("w"),
-        )
-    )
+    weight = F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0) * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    weighted = sought_terms(docs, wanted.select("term").distinct(), id_col, most_sent).select(id_col, "term", weight.alias("w"))
     scores = weighted.join(wanted, "term").groupBy("query_id", id_col).agg(F.round(F.sum("w"), 6).alias("score"))
     return top_per_query(scores, k, id_col)
 
