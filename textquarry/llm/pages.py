@@ -114,11 +114,10 @@ def parse(source: str) -> tuple[list[list], list[list]]:
     links, anchors, silent = 0, 0, None
 
     def close() -> None:
-        said = text[0] if len(text) == 1 else "".join(text)
+        low = text[0] if len(text) == 1 else "".join(text)
         text.clear()
-        if "&" in said:
-            said = html.unescape(said)
-        low = said.lower()
+        if "&" in low:
+            low = html.unescape(low).lower()
         if STOP.search(low):
             spoken = sentences(low)
             forms = [" ".join(s) for s in spoken]
@@ -132,10 +131,11 @@ def parse(source: str) -> tuple[list[list], list[list]]:
         if words:
             linked = "".join(link)
             n = len(WORDS.findall(html.unescape(linked) if "&" in linked else linked)) if linked else 0
-            trail = int(links >= 1 and "." not in said and len(TRAIL.findall(said)) >= 2)
+            trail = int(links >= 1 and "." not in low and len(TRAIL.findall(low)) >= 2)
             blocks.append([stack[-1][1], whole, words, n, links, trail, lengths, [_hash(f) for f in forms]])
 
-    pieces = TOKEN.split(source)
+    # names of tags and characters are only looked at in lower case
+    pieces = TOKEN.split(source.lower())
     for piece, slash, raw, attributes in zip(pieces[::4], pieces[1::4], pieces[2::4], pieces[3::4]):
         if piece and silent is None and (text or not piece.isspace()):
             text.append(piece)
@@ -215,8 +215,8 @@ def parse(source: str) -> tuple[list[list], list[list]]:
 
 
 def sentences(text: str) -> list[list[str]]:
-    """The words of each sentence that has any."""
-    return [w for w in map(WORDS.findall, SENTENCE.split(text.lower())) if w]
+    """The words of each sentence of a text in lower case that has any."""
+    return [w for w in map(WORDS.findall, SENTENCE.split(text)) if w]
 
 
 def _hash(text: str) -> int:

@@ -33,6 +33,8 @@ NOTHING = {"none", "null", "nil", "nan", "na", "n a", "tbd", "tba", "todo", "und
            "keine antwort", "keine", "sans réponse", "pas de réponse", "aucune réponse", "sin respuesta", "no hay respuesta"}
 LABELS = r"(?:answer|response|output|question|instruction|antwort|frage|ausgabe|réponse|question|respuesta|pregunta)"
 
+LABEL_START = re.compile(rf"^\W*{LABELS}\s*:", re.I)
+
 # Frequent words of each language that the others lack or seldom use.
 FUNCTION_WORDS = {
     "en": "the of and to is was with that for by from it this what who which an are were had has have be been not only but most as until before after"
@@ -137,8 +139,10 @@ def is_empty(output: str | None) -> bool:
     """No letter or digit left without mark-up, labels and words for a missing answer."""
     if not output:
         return True
+    if "<" not in output and sum(map(str.isalnum, output.split())) > 4:
+        return False
     bare = re.sub(r"</?[a-zA-Z][^>]*>", " ", output)
-    bare = re.sub(rf"^\W*{LABELS}\s*:", " ", bare, flags=re.I)
+    bare = LABEL_START.sub(" ", bare)
     bare = " ".join(re.findall(r"[^\W_]+", bare.lower()))
     return not bare or bare in NOTHING
 
@@ -204,7 +208,7 @@ def compressed_share(text: str, dictionary: str) -> float:
 
 def is_copy(instruction: str | None, input_: str | None, output: str) -> bool:
     """The response only repeats the instruction, the whole input, or both, perhaps slightly altered."""
-    said = words(re.sub(rf"^\W*{LABELS}\s*:\s*", "", output, flags=re.I))
+    said = words(LABEL_START.sub("", output))
     sources = [s for s in (words_of_instruction(instruction), words(input_)) if s]
     if not said or not sources:
         return False
@@ -324,13 +328,12 @@ def first_label(instruction: str | None, input_: str | None, output: str | None)
 def _context_counts(texts: list[str | None], asked: frozenset[str] | None = None) -> Counter:
     """How often two words stand together, and whether a sentence ends there; only for the ``asked`` second words, if given."""
     counts: Counter = Counter()
-    for text in texts:
+    for text, times in Counter(texts).items():
         if text:
             t = TOKEN.findall((ITEM_END.sub(r"\1.", text) if "\n" in text else text).lower())
-            if asked is None:
-                counts.update((a, b, c[0] in ".!?…。") for a, b, c in zip(t, t[1:], t[2:]) if a[0].isalnum() and b[0].isalnum())
-            elif not asked.isdisjoint(t):
-                counts.update((t[k - 1], b, t[k + 1][0] in ".!?…。") for k, b in enumerate(t[1:-1], 1) if b in asked and t[k - 1][0].isalnum())
+            for k, b in enumerate(t[1:-1], 1) if asked is None or not asked.isdisjoint(t) else ():
+                if (b[0].isalnum() if asked is None else b in asked) and t[k - 1][0].isalnum():
+                    counts[t[k - 1], b, t[k + 1][0] in ".!?…。"] += times
     return counts
 
 
