@@ -29,7 +29,7 @@ LEAST_DOCS, LEAST_SENTENCES = 3, 4
 # Bounds of the bins of the share of sentences; about a quarter makes a subject.
 BINS = (0.001, 0.1, 0.175, 0.25, 0.4)
 START = (0.005, 0.01, 0.08, 0.6, 0.97, 0.995)
-ANCHOR = 0.1
+ANCHOR = 0.5
 FUNCTIONS = {"lexicon": len(BINS) + 1, "section": 3, "address": 3, "source": 3, "hand": 3}
 ROUNDS = 60
 
