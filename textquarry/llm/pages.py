@@ -32,8 +32,8 @@ HOST_SHARE, HOST_LEAST = 0.01, 3
 # One is furniture everywhere if it stands on this share of all hosts, or if it is furniture on this share of
 # its hosts that can tell, and on this many. In places where a host has mostly text of its own it stays.
 HOSTS_SHARE, SURE_SHARE, HOSTS_LEAST = 0.1, 0.5, 3
-# A place (path) is looked at only if it holds this share of the host's blocks.
-PLACE_SHARE = 0.01
+# A place (path) is looked at only if it holds this share of the host's blocks, so that a host has at most 1 / PLACE_SHARE of them.
+PLACE_SHARE = 0.0001
 # A path wins on a host from this share of its votes on; the words of one page count as votes up to VOTE_WORDS.
 VOTE_SHARE, VOTE_WORDS = 0.1, 100.0
 CHUNK_PAGES = 512
