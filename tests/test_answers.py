@@ -275,3 +275,32 @@ def test_all_forms_of_personal_data(spark):
     }
     rows = spark.createDataFrame([(k,) for k in said], "text string").select("text", redact.redact_pii(F.col("text")).alias("r"))
     assert {r.text: r.r for r in rows.collect()} == said
+
+
+def test_ranking_by_blocks_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "BLOCK_DOCS", 7)
+    rng = random.Random(12)
+    words = ["the", "of", *(f"w{k}" for k in range(25))]
+    texts = {i: " ".join(rng.choice(words[: rng.randint(2, 27)]) for _ in range(rng.randint(1, 12))) for i in rng.sample(range(1000), 90)}
+    d = docs(spark, [*texts.items(), (2001, None), (2002, "")])
+    asked = {q: " ".join(["The", "of", *rng.sample(words, 3)][rng.randint(0, 2) :]) for q in range(20)}
+    q = spark.createDataFrame([*asked.items(), (50, None), (51, "unknown")], "query_id int, query string")
+    want = set()
+    for n, text in asked.items():
+        sought = set(text.lower().split())
+        scores = {i: round(len(sought & set(t.split())) / len(sought), 6) for i, t in texts.items()}
+        best = sorted((-s, i) for i, s in scores.items() if s)[:10]
+        want |= {(n, i, -s, rank) for rank, (s, i) in enumerate(best, 1)}
+    assert {tuple(r) for r in retrieval.keyword_overlap(d, q).collect()} == want
+    assert {tuple(r) for r in retrieval.keyword_overlap(d, q, most_sent=0).collect()} == want
+    ranked = {(r.query_id, r.doc_id, r.rank): r.score for r in retrieval.bm25(d, q).collect()}
+    joined = {(r.query_id, r.doc_id, r.rank): r.score for r in retrieval.bm25(d, q, most_sent=0).collect()}
+    assert ranked == joined
+
+
+def test_only_the_best_of_a_block_leave_it(spark):
+    d = docs(spark, [(i, "the notes of a place") for i in range(3000)])
+    q = spark.createDataFrame([(k, "the notes of") for k in range(40)], "query_id int, query string")
+    plan = retrieval.keyword_overlap(d, q)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
+    assert retrieval.keyword_overlap(d, q).groupBy("query_id").count().where("count = 10").count() == 40

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import re
+from array import array
+from collections.abc import Iterator
+from itertools import repeat
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from textquarry.functions.text import ascii_terms, split_words
 from textquarry.session import cut_lineage, shuffle_width
@@ -13,6 +21,9 @@ from textquarry.session import cut_lineage, shuffle_width
 K1, B = 1.5, 0.75
 RRF_K = 60
 MOST_SENT_TERMS = 10_000
+MOST_SENT_PAIRS = 500_000
+BLOCK_DOCS, BLOCK_HITS = 32_768, 4_000_000
+COMMON_SHARE = 0.1
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -27,26 +38,130 @@ def term_statistics(docs: DataFrame) -> DataFrame:
     return postings(docs).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
-def sought_terms(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", most_sent: int = MOST_SENT_TERMS) -> DataFrame:
-    """(id, term, tf, dl, df, docs, avgdl) of the sought ``terms``, the last three over all texts; each text is split into terms once.
+def _sent_queries(wanted: DataFrame, most_sent: int) -> tuple[list[str], dict] | None:
+    """The terms of (query_id, term) and each query's numbers of them; None if they are too many to be sent to the executors."""
+    pairs = wanted.select("query_id", "term").limit(MOST_SENT_PAIRS + 1).collect()
+    terms = sorted({t for _, t in pairs})
+    if len(pairs) > MOST_SENT_PAIRS or len(terms) > most_sent:
+        return None
+    number, of = {t: k for k, t in enumerate(terms)}, {}
+    for query, term in pairs:
+        of.setdefault(query, []).append(number[term])
+    return terms, of
+
 
-    Only the sought terms of a text leave it, so what is moved grows with the hits. Up to ``most_sent`` terms
-    are part of the plan; more are joined as a table before anything is counted.
+def _hit_blocks(batches: Iterator[pa.RecordBatch], terms: list[str], pattern: str) -> Iterator[tuple]:
+    """(ids, terms of each text, hits of each term, their texts, their counts) of up to BLOCK_DOCS lower-case texts.
+
+    Texts are numbered in the order of their ids, hits stand in the order of term and text.
+    """
+    get, find = {t: k for k, t in enumerate(terms)}.get, re.compile(pattern).findall
+    ids, sizes, keys, counts, width = [], [], [], [], max(1, len(terms))
+
+    def count(codes: array, first: int) -> None:
+        doc, code = np.repeat(np.arange(first, len(sizes)), sizes[first:]), np.frombuffer(codes, np.int32)
+        key, n = np.unique((doc * width + code)[code >= 0], return_counts=True)
+        keys.append(key)
+        counts.append(n)
+
+    def block() -> tuple:
+        order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i]))
+        place = np.empty(len(ids), np.int64)
+        place[order] = np.arange(len(ids))
+        key, n = np.concatenate(keys), np.concatenate(counts)
+        doc, term = place[key // width], key % width
+        by = np.lexsort((doc, term))
+        return [ids[i] for i in order], np.array(sizes, np.int64)[order], np.bincount(term, minlength=len(terms)), doc[by].astype(np.int32), n[by].astype(np.int32)
+
+    for batch in batches:
+        first, codes = len(sizes), array("i")
+        for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            found = find(text.as_py())
+            ids.append(i)
+            sizes.append(len(found))
+            codes.extend(map(get, found, repeat(-1)))
+            if len(ids) >= BLOCK_DOCS or len(codes) >= BLOCK_HITS:
+                count(codes, first)
+                first, codes = len(sizes), array("i")
+                if len(ids) >= BLOCK_DOCS or sum(map(len, keys)) >= BLOCK_HITS:
+                    yield block()
+                    ids, sizes, keys, counts, first = [], [], [], [], 0
+        if len(sizes) > first:
+            count(codes, first)
+    if ids:
+        yield block()
+
+
+def _rounded(x: np.ndarray) -> np.ndarray:
+    """To 6 digits, halves away from zero, for x >= 0."""
+    y = x * 1e6
+    low = np.floor(y)
+    return (low + (y - low >= 0.5)) / 1e6
+
+
+def _leading(score: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k highest scores; of equal ones the first."""
+    if len(score) <= k:
+        return np.arange(len(score))
+    kth = np.partition(score, len(score) - k)[len(score) - k]
+    over = np.flatnonzero(score > kth)
+    return np.concatenate([over, np.flatnonzero(score == kth)[: k - len(over)]])
+
+
+def best_of_block(size: int, hits: np.ndarray, docs: np.ndarray, weights: np.ndarray, queries: list[tuple], k: int) -> list[tuple]:
+    """(query_id, places of its k best texts, their scores); ``queries``: (query_id, its numbers of terms, what the sum is divided by).
+
+    Weights are positive, so a text with none of a query's rarer terms can only be among the k best by the
+    common terms (COMMON_SHARE of the texts). Those are found once for all queries with the same common terms;
+    besides them only texts with a rarer term are looked at. Nothing is lost.
     """
-    split = docs.where(F.length("text") > 0).select(id_col, ascii_terms(F.col("text")).alias("t"))
-    wanted = [r[0] for r in terms.limit(most_sent + 1).collect()]
-    if len(wanted) <= most_sent:
-        kept = cut_lineage(split.select(id_col, F.size("t").alias("dl"), F.filter("t", lambda x: x.isin(wanted)).alias("t")))
-        # a text's few sought terms are counted within its row
-        counts = F.transform(F.array_distinct("t"), lambda x: F.struct(x.alias("term"), F.size(F.filter("t", lambda y: y == x)).cast("bigint").alias("tf")))
-        found = kept.select(id_col, "dl", F.inline(counts)).select(id_col, "term", "tf", "dl")
-    else:
-        kept = cut_lineage(split.select(id_col, F.size("t").alias("dl"), "t"))
-        each = kept.select(id_col, "dl", F.explode("t").alias("term")).join(terms, "term", "left_semi")
-        found = each.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+    start = np.r_[0, np.cumsum(hits)]
+    common = hits > COMMON_SHARE * size
+    shared_of = sorted((tuple(sorted(t for t in terms if common[t])), q) for q, (_, terms, _) in enumerate(queries))
+    at, mark, out = None, np.zeros(size, bool), []
+    for shared, q in shared_of:
+        query, terms, divisor = queries[q]
+        if shared != at:
+            at, whole = shared, np.zeros(size)
+            for t in shared:
+                whole[docs[start[t] : start[t + 1]]] += weights[start[t] : start[t + 1]]
+            hit = np.flatnonzero(whole > 0)
+            first, score = hit[_leading(_rounded(whole[hit]), k)], whole.copy()
+        for t in terms:
+            if not common[t]:
+                d = docs[start[t] : start[t + 1]]
+                score[d] += weights[start[t] : start[t + 1]]
+                mark[d] = True
+        mark[first] = True
+        seen = np.flatnonzero(mark)
+        rounded = _rounded(score[seen] / divisor)
+        best = _leading(rounded, k)
+        if len(best):
+            out.append((query, seen[best], rounded[best]))
+        score[seen] = whole[seen]
+        mark[seen] = False
+    return out
+
+
+def _best_rows(ids: list, found: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    places = np.concatenate([p for _, p, _ in found]) if found else []
+    query = [q for q, p, _ in found for _ in p]
+    score = np.concatenate([s for _, _, s in found]) if found else []
+    return pa.RecordBatch.from_arrays([pa.array(query, schema.field(0).type), pa.array([ids[i] for i in places], schema.field(1).type), pa.array(score, pa.float64())], schema=schema)
+
+
+def _lowered(docs: DataFrame, id_col: str) -> DataFrame:
+    return docs.where(F.length("text") > 0).select(id_col, F.lower("text").alias("text"))
+
+
+def _sought_table(docs: DataFrame, terms: DataFrame, id_col: str) -> DataFrame:
+    """(id, term, tf, dl, df, docs, avgdl) of the sought ``terms``, the last three over all texts; for terms too many to send."""
+    kept = cut_lineage(docs.where(F.length("text") > 0).select(id_col, ascii_terms(F.col("text")).alias("t")).select(id_col, F.size("t").alias("dl"), "t"))
+    each = kept.select(id_col, "dl", F.explode("t").alias("term")).join(terms, "term", "left_semi")
+    found = each.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
     size = kept.where("dl > 0").agg(F.count(F.lit(1)).alias("docs"), F.avg("dl").alias("avgdl"))
     df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return found.join(F.broadcast(df) if len(wanted) <= most_sent else df, "term").join(F.broadcast(size))
+    return found.join(df, "term").join(F.broadcast(size))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_id", k1: float = K1, b: float = B, most_sent: int = MOST_SENT_TERMS) -> DataFrame:
@@ -54,12 +169,42 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_id
 
     ``queries`` has query_id and query. Only the distinct terms of the queries are counted; repeated
     terms of a query count once; ties go to the smaller id; queries without a known term give no row.
+    Each text is split once, its hits stay where they are in blocks, and of each block only the k best of a
+    query are moved. More than ``most_sent`` terms, or MOST_SENT_PAIRS of query and term, are joined as a table.
+    Ids are unique.
     """
     wanted = queries.where(F.length("query") > 0).select("query_id", F.explode(F.array_distinct(ascii_terms(F.col("query")))).alias("term"))
-    weight = F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0) * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    weighted = sought_terms(docs, wanted.select("term").distinct(), id_col, most_sent).select(id_col, "term", weight.alias("w"))
-    scores = weighted.join(wanted, "term").groupBy("query_id", id_col).agg(F.round(F.sum("w"), 6).alias("score"))
-    return top_per_query(scores, k, id_col)
+    sent = _sent_queries(wanted, most_sent)
+    if sent is None:
+        weight = F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0) * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+        weighted = _sought_table(docs, wanted.select("term").distinct(), id_col).select(id_col, "term", weight.alias("w"))
+        return top_per_query(weighted.join(wanted, "term").groupBy("query_id", id_col).agg(F.round(F.sum("w"), 6).alias("score")), k, id_col)
+    context = docs.sparkSession.sparkContext
+    told, id_type = context.broadcast((sent[0], [(q, terms, 1.0) for q, terms in sent[1].items()])), docs.schema[id_col].dataType
+    packed_type = T.StructType([T.StructField("ids", T.ArrayType(id_type)), *(T.StructField(c, T.BinaryType()) for c in ("dl", "hits", "docs", "tf")), T.StructField("sums", T.ArrayType(T.LongType()))])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = to_arrow_schema(packed_type)
+        for ids, dl, hits, places, tf in _hit_blocks(batches, told.value[0], "[a-z0-9]+"):
+            sums = [*hits.tolist(), int((dl > 0).sum()), int(dl.sum())]
+            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((ids, dl.tobytes(), hits.tobytes(), places.tobytes(), tf.tobytes(), sums), schema)], schema=schema)
+
+    packed = cut_lineage(_lowered(docs, id_col).mapInArrow(pack, packed_type))
+    sums = {r[0]: r[1] for r in packed.select(F.posexplode("sums").alias("at", "n")).groupBy("at").agg(F.sum("n")).collect()}
+    df, n = np.array([sums.get(t, 0) for t in range(len(sent[0]))]), sums.get(len(sent[0]), 0)
+    idf, average = np.log((n - df + 0.5) / (df + 0.5) + 1.0), sums.get(len(sent[0]) + 1, 0) / max(1, n)
+    out_type = T.StructType([queries.schema["query_id"], T.StructField(id_col, id_type), T.StructField("score", T.DoubleType())])
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = to_arrow_schema(out_type)
+        for batch in batches:
+            for row in (x for at in range(batch.num_rows) for x in batch.slice(at, 1).to_pylist()):
+                dl, hits = np.frombuffer(row["dl"], np.int64), np.frombuffer(row["hits"], np.int64)
+                places, tf = np.frombuffer(row["docs"], np.int32), np.frombuffer(row["tf"], np.int32)
+                w = np.repeat(idf, hits) * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * dl[places] / average))
+                yield _best_rows(row["ids"], best_of_block(len(dl), hits, places, w, told.value[1], k), schema)
+
+    return top_per_query(packed.drop("sums").mapInArrow(rank, out_type), k, id_col)
 
 
 def top_per_query(scores: DataFrame, k: int, id_col: str = "doc_id") -> DataFrame:
@@ -77,13 +222,28 @@ def reciprocal_rank_fusion(lists: list[DataFrame], k: int = 10, id_col: str = "d
     return top_per_query(fused, k, id_col)
 
 
-def keyword_overlap(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """(query_id, doc_id, score, rank): the share of a query's distinct words that a text has."""
+def keyword_overlap(docs: DataFrame, queries: DataFrame, k: int = 10, most_sent: int = MOST_SENT_TERMS) -> DataFrame:
+    """(query_id, doc_id, score, rank): the share of a query's distinct words that a text has.
+
+    Of each block of texts only the k best of a query are moved, as in bm25; more than ``most_sent`` words are joined as a table.
+    """
     words = lambda c: F.array_distinct(split_words(F.lower(c)))
-    wanted = queries.where(F.length("query") > 0).select("query_id", F.size(words(F.col("query"))).alias("n"), F.explode(words(F.col("query"))).alias("word"))
-    have = docs.where(F.length("text") > 0).select("doc_id", F.explode(words(F.col("text"))).alias("word"))
-    hits = have.join(wanted, "word").groupBy("query_id", "doc_id").agg(F.round(F.count(F.lit(1)) / F.first("n"), 6).alias("score"))
-    return top_per_query(hits, k)
+    wanted = queries.where(F.length("query") > 0).select("query_id", F.explode(words(F.col("query"))).alias("term"))
+    sent = _sent_queries(wanted, most_sent)
+    if sent is None:
+        size = wanted.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+        have = docs.where(F.length("text") > 0).select("doc_id", F.explode(words(F.col("text"))).alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
+        hits = have.join(wanted, "term").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("hits")).join(size, "query_id")
+        return top_per_query(hits.select("query_id", "doc_id", F.round(F.col("hits") / F.col("n"), 6).alias("score")), k)
+    told = docs.sparkSession.sparkContext.broadcast((sent[0], [(q, terms, len(terms)) for q, terms in sent[1].items()]))
+    out_type = T.StructType([queries.schema["query_id"], docs.schema["doc_id"], T.StructField("score", T.DoubleType())])
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = to_arrow_schema(out_type)
+        for ids, _, hits, places, _ in _hit_blocks(batches, told.value[0], r"[^ \t\n\r\f]+"):
+            yield _best_rows(ids, best_of_block(len(ids), hits, places, np.ones(len(places)), told.value[1], k), schema)
+
+    return top_per_query(_lowered(docs, "doc_id").mapInArrow(rank, out_type), k)
 
 
 def query_weights(query: Column) -> dict[str, Column]:
@@ -96,8 +256,8 @@ def query_weights(query: Column) -> dict[str, Column]:
 
 def linear_fusion(dense: DataFrame, sparse: DataFrame, weights: DataFrame, k: int = 10, id_col: str = "doc_id") -> DataFrame:
     """dense_weight * dense + sparse_weight * sparse / max sparse, over the union of both lists; ``weights`` per query_id."""
-    top = sparse.groupBy("query_id").agg(F.max("score").alias("top"))
-    s = sparse.join(top, "query_id").select("query_id", id_col, F.coalesce(F.try_divide("score", "top"), F.lit(0.0)).alias("sparse"))
+    top = F.max("score").over(Window.partitionBy("query_id"))
+    s = sparse.select("query_id", id_col, F.coalesce(F.try_divide("score", top), F.lit(0.0)).alias("sparse"))
     both = dense.select("query_id", id_col, F.col("score").alias("dense")).join(s, ["query_id", id_col], "full_outer").join(weights, "query_id")
     score = F.coalesce("dense", F.lit(0.0)) * F.col("dense_weight") + F.coalesce("sparse", F.lit(0.0)) * F.col("sparse_weight")
     return top_per_query(both.select("query_id", id_col, F.round(score, 6).alias("score")), k, id_col)
