@@ -304,3 +304,14 @@ def test_only_the_best_of_a_block_leave_it(spark):
     plan = retrieval.keyword_overlap(d, q)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Generate" not in plan
     assert retrieval.keyword_overlap(d, q).groupBy("query_id").count().where("count = 10").count() == 40
+
+
+def no_words_leave_the_texts(spark, sf, name):
+    from textquarry.plans import core_queries, more_queries
+
+    plan = {**core_queries.QUERIES, **more_queries.QUERIES}[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    return "explode(" not in plan and plan.count("MapInArrow") >= 2
+
+
+def test_linear_fusion_moves_no_words(spark, sf):
+    assert no_words_leave_the_texts(spark, sf, "linear_fusion")
