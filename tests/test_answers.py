@@ -315,3 +315,7 @@ def no_words_leave_the_texts(spark, sf, name):
 
 def test_linear_fusion_moves_no_words(spark, sf):
     assert no_words_leave_the_texts(spark, sf, "linear_fusion")
+
+
+def test_variant_union_moves_no_words(spark, sf):
+    assert no_words_leave_the_texts(spark, sf, "variant_union")
