@@ -319,3 +319,7 @@ def test_linear_fusion_moves_no_words(spark, sf):
 
 def test_variant_union_moves_no_words(spark, sf):
     assert no_words_leave_the_texts(spark, sf, "variant_union")
+
+
+def test_rank_fusion_moves_no_words(spark, sf):
+    assert no_words_leave_the_texts(spark, sf, "rank_fusion")
