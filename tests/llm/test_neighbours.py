@@ -71,3 +71,21 @@ def test_bound_never_loses_a_neighbour():
         assert {(i, j) for j in range(50) for i in np.argsort(-s[:, j])[:5]} <= kept
         codes, scale, error, _ = quantise(a)
         assert np.allclose(np.linalg.norm(a - codes * scale[:, None], axis=1), error)
+
+
+def test_blocks_are_not_sent_to_each_tile(spark):
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(20, 16))
+    rows = [(i, "a", 16, (centres[i % 20] + rng.normal(size=16) * 0.2).astype(np.float32).tolist()) for i in range(500)]
+    rows += [(1000 + i, "a", 16, rows[7][3]) for i in range(60)]
+    df = nearest_vectors(store(spark, rows), 5, block_rows=30)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "FlatMapGroups" not in plan
+    got = {}
+    for r in df.collect():
+        got.setdefault(r.vec_id, set()).add(r.other_id)
+    want = {}
+    for a, b in brute(rows):
+        want.setdefault(a, set()).add(b)
+    equal = {7, *range(1000, 1060)}
+    assert all(got[i] == want[i] for i in want if i not in equal) and all(len(got[i]) == 5 and got[i] <= equal for i in equal)
