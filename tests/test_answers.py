@@ -323,3 +323,45 @@ def test_variant_union_moves_no_words(spark, sf):
 
 def test_rank_fusion_moves_no_words(spark, sf):
     assert no_words_leave_the_texts(spark, sf, "rank_fusion")
+
+
+def test_terms_are_found_like_the_pattern_does():
+    import re
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    pool = ["a", "ab", "a\0", "abcdefgh", "abcdefghi", "abcdefghj", "abcdefghabcdefgh", "abcdefghabcdefgx", "7", "été", "naïve", "x" * 70, "x" * 71, "ab,", "\v"]
+    texts = ["".join(rng.choice([*pool, *" \t\n\f\r,.-ß"]) for _ in range(rng.randint(1, 60))) for _ in range(300)] + [" ", "a"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["id", "text"]).slice(3)
+    for pattern, inside in (("[a-z0-9]+", retrieval._in_terms), (r"[^ \t\n\r\f]+", retrieval._in_words)):
+        found = {i: re.findall(pattern, t) for i, t in enumerate(texts) if i >= 3}
+        terms = sorted({t for p in pool for t in re.findall(pattern, p)} | {"missing"})
+        ((ids, [(sizes, hits, docs, n)]),) = retrieval._hit_blocks([batch], [retrieval.Sought(terms, inside)])
+        assert sizes.tolist() == [len(found[i]) for i in ids]
+        got = {(terms[t], ids[d]): c for t, d, c in zip(np.repeat(np.arange(len(terms)), hits), docs.tolist(), n.tolist())}
+        assert got == {(t, i): words.count(t) for i, words in found.items() for t in terms if t in words}
+
+
+def texts_are_read_once(spark, sf, name, monkeypatch):
+    from textquarry.plans import core_queries, more_queries
+
+    lowered, read = retrieval._lowered, []
+    monkeypatch.setattr(retrieval, "_lowered", lambda *a: read.append(a) or lowered(*a))
+    return {**core_queries.QUERIES, **more_queries.QUERIES}[name](spark, sf).count() and len(read) == 1
+
+
+def test_lists_of_one_reading_equal_those_of_two(spark, sf):
+    d = docs(spark, [*((i, " ".join(f"w{i * k % 11}" for k in range(i % 9))) for i in range(200)), (500, None), (501, "")])
+    q = spark.createDataFrame([(1, "w1 w2 w3"), (2, "W4, w5 w4,"), (3, None), (4, "unknown")], "query_id int, query string")
+    one = retrieval.lexical_lists(d, q)
+    two = retrieval.bm25(d, q), retrieval.keyword_overlap(d, q)
+    tables = retrieval.lexical_lists(d, q, most_sent=0)
+    for a, b, c in zip(one, two, tables):
+        assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect())) == sorted(map(tuple, c.collect()))
+        assert a.columns == b.columns == c.columns and a.count()
+
+
+def test_linear_fusion_reads_texts_once(spark, sf, monkeypatch):
+    assert texts_are_read_once(spark, sf, "linear_fusion", monkeypatch)

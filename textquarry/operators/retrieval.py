@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import re
-from array import array
-from collections.abc import Iterator
-from itertools import repeat
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,7 +20,10 @@ RRF_K = 60
 MOST_SENT_TERMS = 10_000
 MOST_SENT_PAIRS = 500_000
 BLOCK_DOCS, BLOCK_HITS = 32_768, 4_000_000
+PIECE_BYTES = 1 << 20
 COMMON_SHARE = 0.1
+SPREAD_WORD, SPREAD_STATE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -50,44 +50,114 @@ def _sent_queries(wanted: DataFrame, most_sent: int) -> tuple[list[str], dict] |
     return terms, of
 
 
-def _hit_blocks(batches: Iterator[pa.RecordBatch], terms: list[str], pattern: str) -> Iterator[tuple]:
-    """(ids, terms of each text, hits of each term, their texts, their counts) of up to BLOCK_DOCS lower-case texts.
+def _in_terms(b: np.ndarray) -> np.ndarray:
+    """Which bytes are letters or digits of ascii_terms."""
+    return (b - np.uint8(97) < 26) | (b - np.uint8(48) < 10)
 
-    Texts are numbered in the order of their ids, hits stand in the order of term and text.
+
+def _in_words(b: np.ndarray) -> np.ndarray:
+    """Which bytes are none of the spaces that split_words splits at."""
+    return (b != 32) & (b != 10) & (b != 9) & (b != 13) & (b != 12)
+
+
+class Sought:
+    """Finds a set of terms in texts' UTF-8, whole pieces of text at once.
+
+    A term is looked up by its length and its first 8 bytes, what this leaves by the next 8 and so on; the
+    last step knows all its bytes, so nothing but the term itself is found.
     """
-    get, find = {t: k for k, t in enumerate(terms)}.get, re.compile(pattern).findall
-    ids, sizes, keys, counts, width = [], [], [], [], max(1, len(terms))
 
-    def count(codes: array, first: int) -> None:
-        doc, code = np.repeat(np.arange(first, len(sizes)), sizes[first:]), np.frombuffer(codes, np.int32)
-        key, n = np.unique((doc * width + code)[code >= 0], return_counts=True)
-        keys.append(key)
-        counts.append(n)
+    def __init__(self, terms: list[str], inside: Callable[[np.ndarray], np.ndarray]):
+        self.width, self.inside, self.levels = len(terms), inside, []
+        raw = [t.encode() for t in terms]
+        state, left = [len(t) for t in raw], range(len(raw))
+        while left:
+            at = 8 * len(self.levels)
+            nodes: dict[tuple[int, int], int] = {}
+            node = {i: nodes.setdefault((state[i], int.from_bytes(raw[i][at : at + 8], "little")), len(nodes)) for i in left}
+            states, words = np.array([s for s, _ in nodes], np.int64), np.array([w for _, w in nodes], np.uint64)
+            then = np.arange(len(nodes))
+            for i in left:
+                state[i] = node[i]
+                if len(raw[i]) <= at + 8:
+                    then[node[i]] = i
+            mixer = SPREAD_STATE
+            while len(np.unique(h := words * SPREAD_WORD + states.astype(np.uint64) * mixer)) < len(h):
+                mixer += np.uint64(2)
+            by, maybe = np.argsort(h), np.zeros(1 << 18, bool)
+            maybe[h >> np.uint64(46)] = True
+            self.levels.append((mixer, maybe, h[by], states[by], then[by]))
+            left = [i for i in left if len(raw[i]) > at + 8]
+
+    def find(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(terms of each text, texts of the hits, their terms, their counts); text i is ``data[offsets[i] : offsets[i + 1]]``, 8 more bytes follow the last."""
+        inside = self.inside(data[: offsets[-1]])
+        first, last = np.zeros_like(inside), np.zeros_like(inside)
+        first[1:], last[:-1] = inside[1:] > inside[:-1], inside[:-1] > inside[1:]
+        some = offsets[1:] > offsets[:-1]
+        for edge, at in ((first, offsets[:-1][some]), (last, offsets[1:][some] - 1)):
+            edge[at] = inside[at]
+        starts = np.flatnonzero(first)
+        sizes, lengths = np.diff(np.searchsorted(starts, offsets)), np.flatnonzero(last) + 1 - starts
+        eight = np.ndarray(offsets[-1], "<u8", data, strides=(1,))
+        place, state, left, docs, codes = starts, lengths, lengths, [], []
+        for mixer, maybe, known, states, then in self.levels:
+            h = (eight[place] & FIRST_BYTES[np.minimum(left, 8)]) * SPREAD_WORD + state.astype(np.uint64) * mixer
+            may = np.flatnonzero(maybe[h >> np.uint64(46)])
+            at = np.minimum(np.searchsorted(known, h[may]), len(known) - 1)
+            same = (known[at] == h[may]) & (states[at] == state[may])
+            may, state = may[same], then[at[same]]
+            place, left = place[may], left[may]
+            whole = left <= 8
+            docs.append(np.searchsorted(offsets, place[whole], "right") - 1)
+            codes.append(state[whole])
+            place, state, left = place[~whole] + 8, state[~whole], left[~whole] - 8
+        key, n = np.unique(np.concatenate(docs) * self.width + np.concatenate(codes) if docs else np.zeros(0, np.int64), return_counts=True)
+        return sizes, key // max(1, self.width), key % max(1, self.width), n
+
+
+def _pieces(texts: pa.Array, most: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first text, number of texts, their bytes and 8 more, offsets) of up to PIECE_BYTES or one text; never more than ``most`` texts."""
+    wide = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    _, offsets, data = texts.buffers()
+    offsets = np.frombuffer(offsets, wide)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data, at = np.frombuffer(data or b"", np.uint8), 0
+    while at < len(texts):
+        stop = min(max(int(np.searchsorted(offsets, offsets[at] + PIECE_BYTES, "right")) - 1, at + 1), at + most, len(texts))
+        yield at, stop - at, np.concatenate([data[offsets[at] : offsets[stop]], np.zeros(8, np.uint8)]), offsets[at : stop + 1] - offsets[at]
+        at = stop
+
+
+def _hit_blocks(batches: Iterator[pa.RecordBatch], seekers: list[Sought]) -> Iterator[tuple[list, list[tuple]]]:
+    """(ids, for each of the seekers: terms of each text, hits of each term, their texts, their counts) of up to BLOCK_DOCS lower-case texts.
+
+    Texts are numbered in the order of their ids, hits stand in the order of term and text.
+    """
+    ids, parts, held = [], [[] for _ in seekers], [0] * len(seekers)
 
     def block() -> tuple:
         order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i]))
         place = np.empty(len(ids), np.int64)
         place[order] = np.arange(len(ids))
-        key, n = np.concatenate(keys), np.concatenate(counts)
-        doc, term = place[key // width], key % width
-        by = np.lexsort((doc, term))
-        return [ids[i] for i in order], np.array(sizes, np.int64)[order], np.bincount(term, minlength=len(terms)), doc[by].astype(np.int32), n[by].astype(np.int32)
+        found = []
+        for seeker, part in zip(seekers, parts):
+            sizes, doc, term, n = (np.concatenate(x) for x in zip(*part))
+            doc = place[doc]
+            by = np.argsort(term * len(ids) + doc)
+            found.append((sizes[order], np.bincount(term, minlength=seeker.width), doc[by].astype(np.int32), n[by].astype(np.int32)))
+        return [ids[i] for i in order], found
 
     for batch in batches:
-        first, codes = len(sizes), array("i")
-        for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            found = find(text.as_py())
-            ids.append(i)
-            sizes.append(len(found))
-            codes.extend(map(get, found, repeat(-1)))
-            if len(ids) >= BLOCK_DOCS or len(codes) >= BLOCK_HITS:
-                count(codes, first)
-                first, codes = len(sizes), array("i")
-                if len(ids) >= BLOCK_DOCS or sum(map(len, keys)) >= BLOCK_HITS:
-                    yield block()
-                    ids, sizes, keys, counts, first = [], [], [], [], 0
-        if len(sizes) > first:
-            count(codes, first)
+        named = batch.column(0).to_pylist()
+        for first, number, data, offsets in _pieces(batch.column(1), BLOCK_DOCS):
+            if len(ids) + number > BLOCK_DOCS or max(held) >= BLOCK_HITS:
+                yield block()
+                ids, parts, held = [], [[] for _ in seekers], [0] * len(seekers)
+            for k, seeker in enumerate(seekers):
+                sizes, doc, term, n = seeker.find(data, offsets)
+                parts[k].append((sizes, doc + len(ids), term, n))
+                held[k] += len(n)
+            ids += named[first : first + number]
     if ids:
         yield block()
 
@@ -111,43 +181,52 @@ def _leading(score: np.ndarray, k: int) -> np.ndarray:
 def best_of_block(size: int, hits: np.ndarray, docs: np.ndarray, weights: np.ndarray, queries: list[tuple], k: int) -> list[tuple]:
     """(query_id, places of its k best texts, their scores); ``queries``: (query_id, its numbers of terms, what the sum is divided by).
 
-    Weights are positive, so a text with none of a query's rarer terms can only be among the k best by the
-    common terms (COMMON_SHARE of the texts). Those are found once for all queries with the same common terms;
-    besides them only texts with a rarer term are looked at. Nothing is lost.
+    Weights are positive. The sums of common terms (COMMON_SHARE of the texts) are made once for all queries
+    that share them. The k-th best of any k texts can't be better than the k-th best of all, so that only texts that
+    reach those with a query's rarest term, or the best by its common terms, are rounded and sorted. Nothing is lost.
     """
     start = np.r_[0, np.cumsum(hits)]
     common = hits > COMMON_SHARE * size
+    docs = docs.astype(np.int64)  # as an index twice as fast
+    of = [(docs[a:b], weights[a:b]) for a, b in zip(start[:-1], start[1:])]
     shared_of = sorted((tuple(sorted(t for t in terms if common[t])), q) for q, (_, terms, _) in enumerate(queries))
-    at, mark, out = None, np.zeros(size, bool), []
+    at, score, out = None, np.empty(size), []
     for shared, q in shared_of:
         query, terms, divisor = queries[q]
+        rare = sorted((t for t in terms if hits[t] and not common[t]), key=lambda t: hits[t])
+        if not shared and not rare:
+            continue
         if shared != at:
             at, whole = shared, np.zeros(size)
             for t in shared:
-                whole[docs[start[t] : start[t + 1]]] += weights[start[t] : start[t + 1]]
-            hit = np.flatnonzero(whole > 0)
-            first, score = hit[_leading(_rounded(whole[hit]), k)], whole.copy()
-        for t in terms:
-            if not common[t]:
-                d = docs[start[t] : start[t + 1]]
-                score[d] += weights[start[t] : start[t + 1]]
-                mark[d] = True
-        mark[first] = True
-        seen = np.flatnonzero(mark)
+                whole[of[t][0]] += of[t][1]
+            best = np.argpartition(whole, size - k)[size - k :] if shared and size > k else np.arange(0)
+        np.copyto(score, whole)
+        for t in rare:
+            d, w = of[t]
+            score[d] += w
+        least = score[best].min(initial=np.inf) if len(best) else 0.0
+        led = next((of[t][0] for t in rare if hits[t] >= k), None)
+        if led is not None:
+            least = max(least, np.partition(score[led], len(led) - k)[len(led) - k])
+        least -= 2e-6 * divisor
+        seen = np.flatnonzero(score >= least if least > 0 else score > 0)
         rounded = _rounded(score[seen] / divisor)
-        best = _leading(rounded, k)
-        if len(best):
-            out.append((query, seen[best], rounded[best]))
-        score[seen] = whole[seen]
-        mark[seen] = False
+        leading = _leading(rounded, k)
+        out.append((query, seen[leading], rounded[leading]))
     return out
 
 
-def _best_rows(ids: list, found: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    places = np.concatenate([p for _, p, _ in found]) if found else []
-    query = [q for q, p, _ in found for _ in p]
-    score = np.concatenate([s for _, _, s in found]) if found else []
-    return pa.RecordBatch.from_arrays([pa.array(query, schema.field(0).type), pa.array([ids[i] for i in places], schema.field(1).type), pa.array(score, pa.float64())], schema=schema)
+def _best_rows(ids: list, query: list, places: np.ndarray, score: np.ndarray, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(query, schema.field(0).type), pa.array([ids[i] for i in places.tolist()], schema.field(1).type), pa.array(score, pa.float64())], schema=schema)
+
+
+def _joined(found: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(queries' numbers, places, scores) of all that best_of_block found."""
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    query, places, score = zip(*found)
+    return np.repeat(np.array(query, np.int64), [len(p) for p in places]), np.concatenate(places), np.concatenate(score)
 
 
 def _lowered(docs: DataFrame, id_col: str) -> DataFrame:
@@ -164,47 +243,79 @@ def _sought_table(docs: DataFrame, terms: DataFrame, id_col: str) -> DataFrame:
     return found.join(df, "term").join(F.broadcast(size))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_id", k1: float = K1, b: float = B, most_sent: int = MOST_SENT_TERMS) -> DataFrame:
-    """(query_id, id, score, rank) of the k best texts for each query, by Okapi BM25.
+def _wanted_terms(queries: DataFrame) -> DataFrame:
+    """(query_id, term): the distinct terms of each query."""
+    return queries.where(F.length("query") > 0).select("query_id", F.explode(F.array_distinct(ascii_terms(F.col("query")))).alias("term"))
 
-    ``queries`` has query_id and query. Only the distinct terms of the queries are counted; repeated
-    terms of a query count once; ties go to the smaller id; queries without a known term give no row.
-    Each text is split once, its hits stay where they are in blocks, and of each block only the k best of a
-    query are moved. More than ``most_sent`` terms, or MOST_SENT_PAIRS of query and term, are joined as a table.
-    Ids are unique.
-    """
-    wanted = queries.where(F.length("query") > 0).select("query_id", F.explode(F.array_distinct(ascii_terms(F.col("query")))).alias("term"))
-    sent = _sent_queries(wanted, most_sent)
-    if sent is None:
-        weight = F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0) * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-        weighted = _sought_table(docs, wanted.select("term").distinct(), id_col).select(id_col, "term", weight.alias("w"))
-        return top_per_query(weighted.join(wanted, "term").groupBy("query_id", id_col).agg(F.round(F.sum("w"), 6).alias("score")), k, id_col)
-    context = docs.sparkSession.sparkContext
-    told, id_type = context.broadcast((sent[0], [(q, terms, 1.0) for q, terms in sent[1].items()])), docs.schema[id_col].dataType
-    packed_type = T.StructType([T.StructField("ids", T.ArrayType(id_type)), *(T.StructField(c, T.BinaryType()) for c in ("dl", "hits", "docs", "tf")), T.StructField("sums", T.ArrayType(T.LongType()))])
+
+def _words(c: Column) -> Column:
+    return F.array_distinct(split_words(F.lower(c)))
+
+
+def _wanted_words(queries: DataFrame) -> DataFrame:
+    return queries.where(F.length("query") > 0).select("query_id", F.explode(_words(F.col("query"))).alias("term"))
+
+
+def _list_type(docs: DataFrame, queries: DataFrame, id_col: str) -> T.StructType:
+    return T.StructType([queries.schema["query_id"], T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("score", T.DoubleType())])
+
+
+def _packed_hits(docs: DataFrame, id_col: str, terms: list[str], words: tuple[list[str], dict] | None = None, k: int = 0) -> DataFrame:
+    """Blocks of texts with their hits of ``terms`` and, if ``words`` are given, each query's k best by keyword overlap, from one reading of the texts."""
+    told = docs.sparkSession.sparkContext.broadcast((terms, words))
+    kinds = [T.StructField("ids", T.ArrayType(docs.schema[id_col].dataType)), *(T.StructField(c, T.BinaryType()) for c in ("dl", "hits", "docs", "tf")), T.StructField("sums", T.ArrayType(T.LongType()))]
+    packed_type = T.StructType(kinds + [T.StructField(c, T.BinaryType()) for c in ("query", "place", "score") if words])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = to_arrow_schema(packed_type)
-        for ids, dl, hits, places, tf in _hit_blocks(batches, told.value[0], "[a-z0-9]+"):
+        schema, (terms, words) = to_arrow_schema(packed_type), told.value
+        seekers = [Sought(terms, _in_terms), *([Sought(words[0], _in_words)] if words else [])]
+        queries = [(q, numbers, len(numbers)) for q, numbers in enumerate(words[1].values())] if words else []
+        for ids, ((dl, hits, places, tf), *other) in _hit_blocks(batches, seekers):
             sums = [*hits.tolist(), int((dl > 0).sum()), int(dl.sum())]
-            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((ids, dl.tobytes(), hits.tobytes(), places.tobytes(), tf.tobytes(), sums), schema)], schema=schema)
+            row = [ids, dl.tobytes(), hits.tobytes(), places.tobytes(), tf.tobytes(), sums]
+            for _, its_hits, its_places, _ in other:
+                row += [x.tobytes() for x in _joined(best_of_block(len(ids), its_hits, its_places, np.ones(len(its_places)), queries, k))]
+            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema)], schema=schema)
 
-    packed = cut_lineage(_lowered(docs, id_col).mapInArrow(pack, packed_type))
+    return cut_lineage(_lowered(docs, id_col).mapInArrow(pack, packed_type))
+
+
+def _bm25_of(packed: DataFrame, out_type: T.StructType, sent: tuple[list[str], dict], k: int, k1: float, b: float) -> DataFrame:
+    id_col, asked = out_type.names[1], list(sent[1])
     sums = {r[0]: r[1] for r in packed.select(F.posexplode("sums").alias("at", "n")).groupBy("at").agg(F.sum("n")).collect()}
     df, n = np.array([sums.get(t, 0) for t in range(len(sent[0]))]), sums.get(len(sent[0]), 0)
     idf, average = np.log((n - df + 0.5) / (df + 0.5) + 1.0), sums.get(len(sent[0]) + 1, 0) / max(1, n)
-    out_type = T.StructType([queries.schema["query_id"], T.StructField(id_col, id_type), T.StructField("score", T.DoubleType())])
+    told = packed.sparkSession.sparkContext.broadcast((asked, [(q, numbers, 1.0) for q, numbers in enumerate(sent[1].values())]))
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = to_arrow_schema(out_type)
+        schema, (asked, queries) = to_arrow_schema(out_type), told.value
         for batch in batches:
             for row in (x for at in range(batch.num_rows) for x in batch.slice(at, 1).to_pylist()):
                 dl, hits = np.frombuffer(row["dl"], np.int64), np.frombuffer(row["hits"], np.int64)
                 places, tf = np.frombuffer(row["docs"], np.int32), np.frombuffer(row["tf"], np.int32)
                 w = np.repeat(idf, hits) * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * dl[places] / average))
-                yield _best_rows(row["ids"], best_of_block(len(dl), hits, places, w, told.value[1], k), schema)
+                query, found, score = _joined(best_of_block(len(dl), hits, places, w, queries, k))
+                yield _best_rows(row["ids"], [asked[q] for q in query.tolist()], found, score, schema)
+
+    return top_per_query(packed.select("ids", "dl", "hits", "docs", "tf").mapInArrow(rank, out_type), k, id_col)
 
-    return top_per_query(packed.drop("sums").mapInArrow(rank, out_type), k, id_col)
+
+def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_id", k1: float = K1, b: float = B, most_sent: int = MOST_SENT_TERMS) -> DataFrame:
+    """(query_id, id, score, rank) of the k best texts for each query, by Okapi BM25.
+
+    ``queries`` has query_id and query. Only the distinct terms of the queries are counted; repeated
+    terms of a query count once; ties go to the smaller id; queries without a known term give no row.
+    Each text is split once, its hits stay where they are in blocks, and of each block only the k best of a
+    query are moved. More than ``most_sent`` terms, or MOST_SENT_PAIRS of query and term, are joined as a table.
+    Ids are unique.
+    """
+    wanted = _wanted_terms(queries)
+    sent = _sent_queries(wanted, most_sent)
+    if sent is None:
+        weight = F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0) * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+        weighted = _sought_table(docs, wanted.select("term").distinct(), id_col).select(id_col, "term", weight.alias("w"))
+        return top_per_query(weighted.join(wanted, "term").groupBy("query_id", id_col).agg(F.round(F.sum("w"), 6).alias("score")), k, id_col)
+    return _bm25_of(_packed_hits(docs, id_col, sent[0]), _list_type(docs, queries, id_col), sent, k, k1, b)
 
 
 def top_per_query(scores: DataFrame, k: int, id_col: str = "doc_id") -> DataFrame:
@@ -227,25 +338,43 @@ def keyword_overlap(docs: DataFrame, queries: DataFrame, k: int = 10, most_sent:
 
     Of each block of texts only the k best of a query are moved, as in bm25; more than ``most_sent`` words are joined as a table.
     """
-    words = lambda c: F.array_distinct(split_words(F.lower(c)))
-    wanted = queries.where(F.length("query") > 0).select("query_id", F.explode(words(F.col("query"))).alias("term"))
+    wanted = _wanted_words(queries)
     sent = _sent_queries(wanted, most_sent)
     if sent is None:
         size = wanted.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
-        have = docs.where(F.length("text") > 0).select("doc_id", F.explode(words(F.col("text"))).alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
+        have = docs.where(F.length("text") > 0).select("doc_id", F.explode(_words(F.col("text"))).alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
         hits = have.join(wanted, "term").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("hits")).join(size, "query_id")
         return top_per_query(hits.select("query_id", "doc_id", F.round(F.col("hits") / F.col("n"), 6).alias("score")), k)
-    told = docs.sparkSession.sparkContext.broadcast((sent[0], [(q, terms, len(terms)) for q, terms in sent[1].items()]))
-    out_type = T.StructType([queries.schema["query_id"], docs.schema["doc_id"], T.StructField("score", T.DoubleType())])
+    told, out_type = docs.sparkSession.sparkContext.broadcast(sent), _list_type(docs, queries, "doc_id")
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = to_arrow_schema(out_type)
-        for ids, _, hits, places, _ in _hit_blocks(batches, told.value[0], r"[^ \t\n\r\f]+"):
-            yield _best_rows(ids, best_of_block(len(ids), hits, places, np.ones(len(places)), told.value[1], k), schema)
+        schema, asked = to_arrow_schema(out_type), list(told.value[1])
+        numbered = [(q, numbers, len(numbers)) for q, numbers in enumerate(told.value[1].values())]
+        for ids, [(_, hits, places, _)] in _hit_blocks(batches, [Sought(told.value[0], _in_words)]):
+            query, found, score = _joined(best_of_block(len(ids), hits, places, np.ones(len(places)), numbered, k))
+            yield _best_rows(ids, [asked[q] for q in query.tolist()], found, score, schema)
 
     return top_per_query(_lowered(docs, "doc_id").mapInArrow(rank, out_type), k)
 
 
+def lexical_lists(docs: DataFrame, queries: DataFrame, k: int = 10, most_sent: int = MOST_SENT_TERMS) -> tuple[DataFrame, DataFrame]:
+    """The lists of bm25 and of keyword_overlap, from one reading of the texts."""
+    terms, words = _sent_queries(_wanted_terms(queries), most_sent), _sent_queries(_wanted_words(queries), most_sent)
+    if terms is None or words is None:
+        return bm25(docs, queries, k, most_sent=most_sent), keyword_overlap(docs, queries, k, most_sent)
+    packed, out_type = _packed_hits(docs, "doc_id", terms[0], words, k), _list_type(docs, queries, "doc_id")
+    told = docs.sparkSession.sparkContext.broadcast(list(words[1]))
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema, asked = to_arrow_schema(out_type), told.value
+        for row in (x for batch in batches for at in range(batch.num_rows) for x in batch.slice(at, 1).to_pylist()):
+            query, found, score = np.frombuffer(row["query"], np.int64), np.frombuffer(row["place"], np.int64), np.frombuffer(row["score"], np.float64)
+            yield _best_rows(row["ids"], [asked[q] for q in query.tolist()], found, score, schema)
+
+    overlap = packed.select("ids", "query", "place", "score").mapInArrow(unpack, out_type)
+    return _bm25_of(packed, out_type, terms, k, K1, B), top_per_query(overlap, k)
+
+
 def query_weights(query: Column) -> dict[str, Column]:
     """Columns dense_weight and sparse_weight from the lexical density of a query."""
     terms = ascii_terms(query)

@@ -291,7 +291,8 @@ def rank_fusion(spark: SparkSession, sf: str) -> DataFrame:
 def linear_fusion(spark: SparkSession, sf: str) -> DataFrame:
     d, q = documents(spark, sf, "doc_id", "text"), _title_queries(spark, sf)
     weights = q.select("query_id", *(c.alias(n) for n, c in R.query_weights(F.col("query")).items()))
-    return R.linear_fusion(R.keyword_overlap(d, q), R.bm25(d, q), weights)
+    sparse, dense = R.lexical_lists(d, q)
+    return R.linear_fusion(dense, sparse, weights)
 
 
 @query(
