@@ -365,3 +365,7 @@ def test_lists_of_one_reading_equal_those_of_two(spark, sf):
 
 def test_linear_fusion_reads_texts_once(spark, sf, monkeypatch):
     assert texts_are_read_once(spark, sf, "linear_fusion", monkeypatch)
+
+
+def test_variant_union_reads_texts_once(spark, sf, monkeypatch):
+    assert texts_are_read_once(spark, sf, "variant_union", monkeypatch)

@@ -20,7 +20,7 @@ RRF_K = 60
 MOST_SENT_TERMS = 10_000
 MOST_SENT_PAIRS = 500_000
 BLOCK_DOCS, BLOCK_HITS = 32_768, 4_000_000
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
 COMMON_SHARE = 0.1
 SPREAD_WORD, SPREAD_STATE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
@@ -84,9 +84,9 @@ class Sought:
             mixer = SPREAD_STATE
             while len(np.unique(h := words * SPREAD_WORD + states.astype(np.uint64) * mixer)) < len(h):
                 mixer += np.uint64(2)
-            by, maybe = np.argsort(h), np.zeros(1 << 18, bool)
-            maybe[h >> np.uint64(46)] = True
-            self.levels.append((mixer, maybe, h[by], states[by], then[by]))
+            by, slots = np.argsort(h), np.full(1 << 18, -1, np.int32)
+            slots[h[by] >> np.uint64(46)] = np.arange(len(h))
+            self.levels.append((mixer, slots, h[by], states[by], then[by]))
             left = [i for i in left if len(raw[i]) > at + 8]
 
     def find(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -100,18 +100,21 @@ class Sought:
         starts = np.flatnonzero(first)
         sizes, lengths = np.diff(np.searchsorted(starts, offsets)), np.flatnonzero(last) + 1 - starts
         eight = np.ndarray(offsets[-1], "<u8", data, strides=(1,))
-        place, state, left, docs, codes = starts, lengths, lengths, [], []
-        for mixer, maybe, known, states, then in self.levels:
+        place, state, left, doc, docs, codes = starts, lengths, lengths, np.repeat(np.arange(len(sizes)), sizes), [], []
+        for mixer, slots, known, states, then in self.levels:
             h = (eight[place] & FIRST_BYTES[np.minimum(left, 8)]) * SPREAD_WORD + state.astype(np.uint64) * mixer
-            may = np.flatnonzero(maybe[h >> np.uint64(46)])
-            at = np.minimum(np.searchsorted(known, h[may]), len(known) - 1)
-            same = (known[at] == h[may]) & (states[at] == state[may])
+            slot = slots[h >> np.uint64(46)]
+            may = np.flatnonzero(slot >= 0)
+            at, h = slot[may], h[may]
+            others = np.flatnonzero(known[at] != h)  # of a slot that several share only one is in it
+            at[others] = np.minimum(np.searchsorted(known, h[others]), len(known) - 1)
+            same = (known[at] == h) & (states[at] == state[may])
             may, state = may[same], then[at[same]]
-            place, left = place[may], left[may]
+            place, left, doc = place[may], left[may], doc[may]
             whole = left <= 8
-            docs.append(np.searchsorted(offsets, place[whole], "right") - 1)
+            docs.append(doc[whole])
             codes.append(state[whole])
-            place, state, left = place[~whole] + 8, state[~whole], left[~whole] - 8
+            place, state, left, doc = place[~whole] + 8, state[~whole], left[~whole] - 8, doc[~whole]
         key, n = np.unique(np.concatenate(docs) * self.width + np.concatenate(codes) if docs else np.zeros(0, np.int64), return_counts=True)
         return sizes, key // max(1, self.width), key % max(1, self.width), n
 
@@ -230,7 +233,7 @@ def _joined(found: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _lowered(docs: DataFrame, id_col: str) -> DataFrame:
-    return docs.where(F.length("text") > 0).select(id_col, F.lower("text").alias("text"))
+    return docs.where(F.col("text") != "").select(id_col, F.lower("text").alias("text"))
 
 
 def _sought_table(docs: DataFrame, terms: DataFrame, id_col: str) -> DataFrame:

@@ -532,7 +532,7 @@ _OVERLAPPED = rf"""
 )
 def variant_union(spark: SparkSession, sf: str) -> DataFrame:
     d, q = documents(spark, sf, "doc_id", "text"), _title_queries(spark, sf)
-    return R.variant_union([R.bm25(d, q), R.keyword_overlap(d, q)])
+    return R.variant_union(list(R.lexical_lists(d, q)))
 
 
 @query(
