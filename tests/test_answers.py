@@ -369,3 +369,7 @@ def test_linear_fusion_reads_texts_once(spark, sf, monkeypatch):
 
 def test_variant_union_reads_texts_once(spark, sf, monkeypatch):
     assert texts_are_read_once(spark, sf, "variant_union", monkeypatch)
+
+
+def test_rank_fusion_reads_texts_once(spark, sf, monkeypatch):
+    assert texts_are_read_once(spark, sf, "rank_fusion", monkeypatch)

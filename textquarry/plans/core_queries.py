@@ -274,7 +274,7 @@ def keyword_top(spark: SparkSession, sf: str) -> DataFrame:
 )
 def rank_fusion(spark: SparkSession, sf: str) -> DataFrame:
     d, q = documents(spark, sf, "doc_id", "text"), _title_queries(spark, sf)
-    return R.reciprocal_rank_fusion([R.bm25(d, q), R.keyword_overlap(d, q)])
+    return R.reciprocal_rank_fusion(list(R.lexical_lists(d, q)))
 
 
 @query(
